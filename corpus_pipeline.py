@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataframe.llm import decontaminate, mixing, sharding
+from strataframe.llm import decontaminate, language_id, mixing, near_dedup, sharding
 from strataframe.llm.common import saved
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and those without a letter.  ``lang`` stays as it is."""
+    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "lang"))
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("doc.*")
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one of least doc_id."""
+    return near_dedup.deduplicate(docs)
+
+
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -24,6 +36,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language identification", identify_language),
+    ("near-duplicate removal", remove_near_copies),
     ("benchmark decontamination", remove_benchmark),
     ("mixing", mix_sources),
     ("sharding", shard),
