@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def basename(path: Column) -> Column:
@@ -35,7 +36,7 @@ def json_number(value: Column, path: str) -> Column:
     return F.get_json_object(value, path).cast("double")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def edit_distance_with_swaps(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance that counts a swap of neighbours as one step; null if either side is."""
 

@@ -152,6 +152,8 @@ def panoptic_quality(df: DataFrame, image: str, pred: str, truth: str, least: fl
     """PQ of each image from pixel rows with instance ids, 0 being background.
 
     At IoU above one half at most one prediction fits an instance, so matching is a filter."""
+    if least < 0.5:
+        raise ValueError("below one half a match isn't unique")
     pairs = df.where((F.col(pred) > 0) & (F.col(truth) > 0)).groupBy(image, pred, truth).agg(F.count(F.lit(1)).alias("inter"))
     sizes_p = df.where(F.col(pred) > 0).groupBy(image, pred).agg(F.count(F.lit(1)).alias("size_p"))
     sizes_t = df.where(F.col(truth) > 0).groupBy(image, truth).agg(F.count(F.lit(1)).alias("size_t"))

@@ -19,7 +19,6 @@ def sliding_merge(df: DataFrame, keys: list[str], position: str, value: str, siz
     the windows over each position, weighted by nearness to the window's centre."""
     ends = df.groupBy(*keys).agg((F.max(position) + 1).alias("n__"))
     windows = ends.withColumn("start", F.explode(window_starts(F.col("n__"), size, overlap))).drop("n__")
-    step = max(int(size * (1 - overlap)), 1)
     # A position meets windows whose start lies within one window before it: both are dealt into
     # blocks of the window's length, so the join is an equality on series and block.
     blocks = windows.withColumn("b__", F.explode(F.array((F.col("start") / size).cast("long"), ((F.col("start") + size - 1) / size).cast("long")))).distinct()
@@ -29,7 +28,6 @@ def sliding_merge(df: DataFrame, keys: list[str], position: str, value: str, siz
     middle = (size - 1) / 2.0
     weight = 1.0 / (1.0 + F.abs(F.col(position) - F.col("start") - middle)) if center_weight else F.lit(1.0)
     merged = inside.join(scored, [*keys, "start"]).withColumn("w__", weight)
-    del step
     return merged.groupBy(*keys, position).agg((F.sum(F.col("w__") * F.col("score")) / F.sum("w__")).alias("merged"), F.count(F.lit(1)).alias("n_windows"))
 
 
