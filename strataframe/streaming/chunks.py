@@ -6,9 +6,10 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def file_chunks(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv", files: int = 1, **options) -> DataFrame:
@@ -16,41 +17,31 @@ def file_chunks(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).options(**options).load(path)
 
 
-def shuffled(stream: DataFrame, buffer: int, seed: int = 0, lanes: int = 8) -> DataFrame:
+def shuffled(stream: DataFrame, buffer: int, seed: int = 0) -> DataFrame:
     """Rows in a random order that looks ``buffer`` rows ahead.
 
-    Rows are dealt into lanes by hash; a lane holds at most ``buffer`` rows as state and, when it is
-    full, swaps a random one for each that comes.  What is held when the stream ends stays in the
-    state until its time-out of a minute, when it is emitted too."""
+    Each partition of a micro-batch holds at most ``buffer`` rows; once they are that many, a random
+    one is emitted and the next takes its place, and the rest follow at the end of the partition.  No
+    state outlives the micro-batch, so nothing is held back when the stream ends."""
     names = stream.columns
-    lane = F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(lanes)).cast("int")
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, turn = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        held = [tuple(x) for x in held]
-        if state.hasTimedOut:
-            state.remove()
-            random.Random(f"{seed}:{key[0]}:{turn}").shuffle(held)
-            yield pd.DataFrame(held, columns=names)
-            return
-        pick, out = random.Random(f"{seed}:{key[0]}:{turn}"), []
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pick, held = random.Random(f"{seed}:{TaskContext.get().partitionId()}"), []
         for frame in frames:
-            for row in frame[names].itertuples(index=False, name=None):
+            out = []
+            for row in frame.itertuples(index=False, name=None):
                 if len(held) < buffer:
                     held.append(row)
                 else:
                     i = pick.randrange(buffer)
                     out.append(held[i])
                     held[i] = row
-        state.update((held, turn + 1))
-        state.setTimeoutDuration(60_000)
-        yield pd.DataFrame(out, columns=names)
-
-    from pyspark.sql.types import ArrayType
+            yield pd.DataFrame(out, columns=names).astype(frame.dtypes)
+        pick.shuffle(held)
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
-    inner = StructType(stream.schema.fields)
-    kept = StructType([StructField("held", ArrayType(inner)), StructField("turn", IntegerType())])
-    return stream.withColumn("lane__", lane).groupBy("lane__").applyInPandasWithState(step, inner, kept, "append", "ProcessingTimeTimeout")
+    return stream.mapInPandas(run, stream.schema)
 
 
 def rolling_cache(df: DataFrame, index: str, size: int, replace: int, total: int, epoch: int) -> DataFrame:

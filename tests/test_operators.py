@@ -178,16 +178,17 @@ def test_streams(spark, tmp_path):
     data.repartition(4).write.parquet(str(tmp_path / "in"))
 
     def run(df, mode, name):
-        q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
-        q.processAllAvailable()
+        q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        ended = q.awaitTermination(90)
         q.stop()
+        assert ended
         return spark.table(name)
 
     stream = lambda: chunks.file_chunks(spark, str(tmp_path / "in"), data.schema, "parquet")
     assert dict(values(run(aggregates.running_average(stream(), ["k"], "v"), "complete", "avg1"), "k", "average")) == {0: 19.0, 1: 20.0}
     assert sum(n for (n,) in values(run(aggregates.tumbling(stream(), "t", ["k"], "v", "10 minutes", "1 hour"), "update", "win1").groupBy("start", "k").agg(F.max("n").alias("n")), "n")) == 40
-    out = [i for (i,) in values(run(chunks.shuffled(stream(), 2, 1, 2), "append", "shuf1"), "id")]
-    assert len(out) == len(set(out)) >= 36
+    out = [i for (i,) in values(run(chunks.shuffled(stream(), 5, 1), "append", "shuf1"), "id")]
+    assert sorted(out) == list(range(40)) and out != [i for (i,) in values(run(stream(), "append", "plain1"), "id")]
 
 
 def test_report_of_confusion_metrics(spark):
