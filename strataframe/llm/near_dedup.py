@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.common import hinted, packed, saved, small_enough, unpacked
 from strataframe.llm.components import connected_components
-from strataframe.llm.shingles import U, chunks, mixed, shingled
+from strataframe.llm.shingles import U, chunks, mixed, shingled, slices
 
 SIMILARITY = 0.8
 WORDS = 5
@@ -65,8 +65,8 @@ def samples(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int
 
 
 def _frequent_somewhere(batches):
-    """Shingles in RARE / 2 of a batch's documents: every one in RARE of all is that in some batch."""
-    for batch in batches:
+    """Shingles in RARE / 2 of a slice's documents: every one in RARE of all is that in some slice."""
+    for batch in (part for whole in batches for part in slices(whole)):
         texts = batch.column(0).to_pylist()
         found = [s for _, part in chunks(texts) for s in [shingled(part, WORDS)[1]]]
         shingle, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
@@ -78,7 +78,7 @@ def _exactly(candidates):
     def run(batches):
         own = candidates.value
         total = np.zeros(len(own), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for _, part in chunks(batch.column(0).to_pylist()):
                 shingle = shingled(part, WORDS)[1]
                 at = np.searchsorted(own, shingle)
@@ -123,7 +123,7 @@ def corpus_weights(texts: DataFrame) -> Weights:
 def _signed(shared):
     def run(batches):
         salt = (np.arange(BANDS, dtype=U) + U(1)) * U(0xA0761D6478BD642F)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, bands = batch.column("text").to_pylist(), []
             for _, part in chunks(texts):
                 owner, shingle, times = shingled(part, WORDS)
@@ -148,30 +148,36 @@ def weighted_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
     return both / every if a and b else 0.0
 
 
-def _similar(shared):
-    @F.pandas_udf("double")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+def _similar(shared, least: float):
+    """Pairs (a, b) of rows (a, b, t, u) whose texts t and u are similar enough."""
+
+    def run(batches):
         held: dict[str, tuple] = {}
 
         def vector(text):
             if text not in held:
-                if len(held) > 64:
+                if len(held) > 16:
                     held.clear()
                 _, shingle, times = shingled([text.encode("utf-8", "surrogatepass")], WORDS)
                 held[text] = shingle, shared.value.of(shingle, times)
             return held[text]
 
-        def one(a, b):
+        def similarity(a, b):
             (s, v), (t, w) = vector(a), vector(b)
+            if not len(s) or not len(t):
+                return 0.0
             at = np.searchsorted(t, s)
             at[at == len(t)] = 0
-            same = t[at] == s if len(t) else np.zeros(len(s), bool)
+            same = t[at] == s
             both = np.minimum(v[same], w[at[same]]).sum()
             return float(both / (v.sum() + w.sum() - both))
 
-        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
+        for batch in (part for whole in batches for part in slices(whole)):
+            left, right = batch.column("t").to_pylist(), batch.column("u").to_pylist()
+            ok = pa.array([similarity(x, y) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    return similar
+    return run
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, shared, least: float) -> DataFrame:
@@ -181,7 +187,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, shared, least: float) -> DataFr
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("t"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("u"))
     both = pairs.join(left, "a").join(right, "b")
-    return saved(both.where(_similar(shared)("t", "u") >= least).select("a", "b"))
+    return saved(both.select("a", "b", "t", "u").mapInArrow(_similar(shared, least), "a long, b long"))
 
 
 def _united(edges: DataFrame, buckets: DataFrame) -> DataFrame:

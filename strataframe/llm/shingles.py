@@ -11,7 +11,9 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are hashed together in chunks of about this many bytes; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Rows of an Arrow batch that are Python strings at once.
+SLICE = 1000
 #: Bits of a shingle's number; the rest of 64 tells the texts of a chunk apart.
 SHINGLE_BITS = 48
 MOST_TEXTS = 1 << (64 - SHINGLE_BITS)
@@ -74,6 +76,12 @@ def chunks(texts) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def slices(batch) -> Iterator:
+    """An Arrow batch in parts of few rows, so that only those become Python objects together."""
+    for i in range(0, batch.num_rows, SLICE):
+        yield batch.slice(i, SLICE)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and at which word each text begins, with the end appended."""
     data = WORD_BYTES[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
