@@ -114,8 +114,8 @@ def diffuse(cells: DataFrame, case: str, axes: Sequence[str], label: str, alpha:
         spread = pairs.join(there, ["case", *[f"{a}_b" for a in axes]])
         new = spread.groupBy("case", *[F.col(f"{a}_a").alias(a) for a in axes], "label").agg((alpha * F.sum(F.col("score") / F.col("degree"))).alias("score"))
         now = saved(new.join(seeds.select(*key), key, "left_anti").union(seeds.select(*key, "label", "score")))
-    best = now.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("label").alias("l"))).alias("x"))
-    return best.select(*key, F.col("x.l").alias("label"), (-F.col("x.s")).alias("score"))
+    best = now.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("label").alias("l"))).alias("best__"))
+    return best.select(*key, F.col("best__.l").alias("label"), (-F.col("best__.s")).alias("score"))
 
 
 def frechet_distance(mean_a: np.ndarray, cov_a: np.ndarray, mean_b: np.ndarray, cov_b: np.ndarray) -> float:

@@ -405,11 +405,11 @@ def surface_dice(limit: float) -> Callable[[np.ndarray, np.ndarray], float]:
 
 
 def ssim(peak: float = 1.0, window: int = 7, k1: float = 0.01, k2: float = 0.03) -> Callable[[np.ndarray, np.ndarray], float]:
-    """Mean structural similarity over all whole windows."""
+    """Mean structural similarity over all whole windows; an axis shorter than the window is one window."""
 
     def run(a, b):
         def mean(x):
-            view = np.lib.stride_tricks.sliding_window_view(x, (window,) * x.ndim)
+            view = np.lib.stride_tricks.sliding_window_view(x, tuple(min(window, n) for n in x.shape))
             return view.mean(tuple(range(-x.ndim, 0)))
 
         c1, c2 = (k1 * peak) ** 2, (k2 * peak) ** 2
