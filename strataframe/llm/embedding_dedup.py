@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Each pass orders the vectors of a label lexicographically by a concatenation of random hash bits,
-compares every vector with the neighbours in a bounded window, and keeps verified pairs; the pairs
-of all passes are united into components.  Links are then counted exactly within each component."""
+A label of up to ``EXACT`` vectors has all its pairs compared, block by block.  For a larger one,
+each pass orders its vectors lexicographically by a concatenation of random hash bits, compares
+every vector with the neighbours in a bounded window, and keeps verified pairs; vectors that agree
+on a pass's leading bits, but are more than a window holds, are compared block by block too.  The
+pairs are united into components.  Links are then counted exactly within each component."""
 
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import packed, saved, unpacked
+from strataframe.llm.common import hinted, packed, saved, small_enough, unpacked
 from strataframe.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -27,13 +29,19 @@ RECALL = 0.9995
 BITS = 63
 #: Vectors of a component that one task compares with as many others.
 BLOCK = 2048
+#: Vectors of a label up to which comparing all pairs takes no more work than the passes.
+EXACT = 32768
+
+
+def leading_bits(group: int, window: int = WINDOW) -> int:
+    """Bits that tell ``group / window`` blocks apart."""
+    return min(BITS, max(1, ceil(log2(max(2, group / window)))))
 
 
 def passes_needed(group: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes for the largest group of vectors: a pair meets if it agrees on the bits that tell
-    ``group / window`` blocks apart, each with chance 1 - angle / pi."""
-    bits = max(1, ceil(log2(max(2, group / window))))
-    met = (1 - acos(threshold) / pi) ** bits
+    """Passes for the largest group of vectors: a pair meets if it agrees on the leading bits, each
+    with chance 1 - angle / pi."""
+    met = (1 - acos(threshold) / pi) ** leading_bits(group, window)
     return max(2, ceil(log(1 - recall) / log(1 - met)))
 
 
@@ -171,17 +179,69 @@ def _counted(threshold: float):
     return run
 
 
+def _spanning(keys: list[str], threshold: float):
+    """Links between block ``i`` and block ``j`` of each group of ``keys``, less those that others imply."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in frame.groupby(keys, sort=False):
+            rep, x, own = part["rep"].to_numpy(), _unit(part["emb"]), part["block"].to_numpy()
+            here, there = (np.flatnonzero(own == part[k].iloc[0]) for k in ("i", "j"))
+            group = np.arange(len(part))
+            for a in range(0, len(here), 512):
+                rows = here[a : a + 512]
+                close = x[rows] @ x[there].T >= threshold
+                close[rows[:, None] == there[None, :]] = False
+                for at in np.flatnonzero(close.any(axis=1)).tolist():
+                    p, others = rows[at], there[close[at]]
+                    names, first = np.unique(group[others], return_index=True)
+                    fresh = names != group[p]
+                    if fresh.any():
+                        out += [(int(rep[p]), int(rep[q])) for q in others[first[fresh]]]
+                        group[np.isin(group, names)] = group[p]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _compared(rows: DataFrame, sizes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs (a, b) that connect what links within the groups ``sizes(*keys, n)``, all pairs compared."""
+    sizes = sizes.select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(hinted(sizes, small_enough(sizes.count(), 48)), keys)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(*keys), F.lit(1024))).otherwise(F.xxhash64(*keys))
+    every = every.select(*keys, "rep", "emb", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), task.alias("task"))
+    return every.groupBy("task", "i", "j").applyInPandas(_spanning(keys, threshold), "a long, b long")
+
+
 def _links(classes: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
-    """Verified pairs (a, b) of class representatives from all passes, enough to connect what links."""
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_needed(largest, threshold, window, recall)
-    rows = classes.select("label", "dim", "rep", "emb")
-    keyed = rows.mapInPandas(_keys(passes), "label int, dim int, rep long, emb array<float>, turn int, sortkey long")
+    """Verified pairs (a, b) of class representatives, enough to connect what links.
+
+    Vectors that agree on the leading bits of a pass are all compared, so a pair is met with chance
+    ``recall`` however crowded its neighbourhood is.  A label whose crowds make that more work than
+    comparing all its pairs gets the latter."""
+    label, rows = ["label", "dim"], classes.select("label", "dim", "rep", "emb")
+    groups = saved(classes.groupBy(*label).agg(F.count(F.lit(1)).alias("n")))
+    whole, large = groups.where(F.col("n") <= EXACT), groups.where(F.col("n") > EXACT)
+    largest = large.agg(F.max("n")).first()[0]
+    if not largest:
+        return _compared(rows, whole, label, threshold).distinct()
+    passes, crowd = passes_needed(largest, threshold, window, recall), [*label, "turn", "prefix"]
+    many = rows.join(hinted(large.select(*label), small_enough(large.count(), 16)), label, "left_semi").select("label", "dim", "rep", "emb")
+    keyed = many.mapInPandas(_keys(passes), "label int, dim int, rep long, emb array<float>, turn int, sortkey long")
+    prefixed = keyed.withColumn("prefix", F.shiftright("sortkey", BITS - leading_bits(largest, window)))
+    # Up to a window and one more, each vector of a crowd is within the window of all others.
+    crowds = saved(prefixed.groupBy(*crowd).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window + 1))
+    work = crowds.groupBy(*label).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+    dense = saved(large.join(work, label).where(F.col("work") > F.col("n").cast("double") * F.col("n")).select(*label, "n"))
+    crowds = crowds.join(hinted(dense.select(*label), small_enough(dense.count(), 16)), label, "left_anti").select(*crowd, "n")
     order = ["turn", "label", "dim", "sortkey", "rep"]
     found = saved(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(window, threshold), EDGE))
     within = found.where("a is not null").select("a", "b")
     across = found.where("a is null").groupBy("at").applyInPandas(_bridge(window, threshold), "a long, b long")
-    return within.union(across).distinct()
+    exact = _compared(rows, whole.select(*label, "n").union(dense), label, threshold)
+    return within.union(across).union(_compared(prefixed, crowds, crowd, threshold)).union(exact).distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -192,8 +252,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     other.  What is null, zero, has a null or non-finite component, or a null label or vec_id links
     with nothing and is its own component.  Repeated rows count as copies; an empty table gives none.
 
-    A pair is met with chance ``recall`` or more on its own; links are counted over whole
-    components, block by block, so none within a component is missed, however large the window."""
+    All pairs of a label of up to ``EXACT`` vectors are compared; in a larger one, a pair is met with
+    chance ``recall`` or more on its own, however many vectors lie near it.  Links are counted over
+    whole components, block by block, so none within a component is missed."""
     rows = packed(vectors).select(
         "row__",
         F.col("row__.vec_id").cast("long").alias("id"),

@@ -227,6 +227,25 @@ def test_embedding_blocks(spark, monkeypatch):
     assert all((r.n_links, r.component_id, r.rep) == (59, 0, 1) for r in found)
 
 
+@pytest.mark.parametrize("exact", [None, 0])
+def test_crowded_embeddings_lose_no_link(spark, monkeypatch, exact):
+    """A vector and its copies with noise, most of which link with it alone, among unrelated ones."""
+    if exact is not None:
+        monkeypatch.setattr(embedding_dedup, "EXACT", exact, raising=False)
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    noise = rng.standard_normal((700, 64))
+    noise = unit(noise - (noise @ centre)[:, None] * centre)
+    x = np.concatenate([rng.standard_normal((2300, 64)), 0.94 * centre + np.sqrt(1 - 0.94**2) * noise, centre[None]]).astype("f4")
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, window=8).collect()}
+    u = unit(x.astype("f8"))
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert links[3000] == 700
+    assert found == {i: (int(links[i]), min(i, 2300)) for i in range(3001)}
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     alphabets = {"aa": ["la", "mo", "ne"], "bb": ["kra", "zut", "wo"], "cc": ["ñi", "éc", "ua"]}
