@@ -1,25 +1,29 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-Weights are times in the text x (1 + ln(documents / document frequency)), the frequency counted
-exactly over all documents and taken as ``RARE`` of them at least.  So only shingles in more
-documents than that need a table, and there are at most (mean shingles of a text) / RARE of those."""
+Weights are times in the text x (1 + ln(documents / document frequency)), every frequency counted
+over all documents.  Texts are dealt into slices; each slice sends its shingles to ranges of shingles,
+where they are counted, and gets back those that more than one document holds."""
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm.common import hinted, packed, saved, small_enough, unpacked
 from strataframe.llm.components import connected_components
-from strataframe.llm.shingles import U, chunks, mixed, shingled, slices
+from strataframe.llm.shingles import SHINGLE_BITS, U, chunks, mixed, shingled, slices
 
 SIMILARITY = 0.8
 WORDS = 5
 BANDS, ROWS = 9, 3
-RARE = 0.005
+#: Part of the documents below which a frequency isn't counted: none.
+RARE = 0.0
+#: Bytes of text, and documents, of a slice; bytes of text whose shingles are one range on average.
+SLICE_BYTES, SLICE_DOCUMENTS, RANGE_BYTES = 2 << 20, 4096, 8 << 20
 #: Rounds in which neighbours in random order are compared before all pairs that are left.
 ROUNDS = 3
 
@@ -64,83 +68,132 @@ def samples(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int
     return out & U(0xFFFFFFFF)
 
 
-def _frequent_somewhere(batches):
-    """Shingles in RARE / 2 of a slice's documents: every one in RARE of all is that in some slice."""
-    for batch in (part for whole in batches for part in slices(whole)):
-        texts = batch.column(0).to_pylist()
-        found = [s for _, part in chunks(texts) for s in [shingled(part, WORDS)[1]]]
-        shingle, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-        keep = n >= RARE / 2 * len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(n[keep].astype(np.int64))], names=["s", "n"])
+def _bytes(shingles: np.ndarray) -> bytes:
+    """Sorted shingles with all first bytes first, so that they compress."""
+    return shingles.astype("<i8").view(np.uint8).reshape(-1, 8).T[: SHINGLE_BITS // 8].tobytes()
 
 
-def _exactly(candidates):
-    def run(batches):
-        own = candidates.value
-        total = np.zeros(len(own), np.int64)
-        for batch in (part for whole in batches for part in slices(whole)):
-            for _, part in chunks(batch.column(0).to_pylist()):
-                shingle = shingled(part, WORDS)[1]
-                at = np.searchsorted(own, shingle)
-                at[at == len(own)] = 0
-                total += np.bincount(at[own[at] == shingle], minlength=len(own))
-        keep = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(total[keep])], names=["s", "n"])
+def _of_bytes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(SHINGLE_BITS // 8, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : SHINGLE_BITS // 8] = planes.T
+    return out.view("<i8")[:, 0].astype(np.int64)
+
+
+SENT = "range long, slice long, s binary, n binary"
+TOLD = "slice long, s binary, n binary"
+
+
+def _sent(bits: int):
+    """Distinct shingles of a slice with the number of its texts that hold them, by ranges of 2**-bits of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [shingled(part, WORDS)[1] for _, part in chunks(table.column("text").to_pylist())]
+        shingle, n = np.unique(np.concatenate(found), return_counts=True)
+        place = shingle >> (SHINGLE_BITS - bits)
+        at = np.flatnonzero(np.diff(place, prepend=-1))
+        ends = np.append(at[1:], len(shingle))
+        return pa.table(
+            {
+                "range": pa.array(place[at], pa.int64()),
+                "slice": pa.array([table.column("slice")[0].as_py()] * len(at), pa.int64()),
+                "s": pa.array([_bytes(shingle[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+                "n": pa.array([n[i:j].astype(np.uint32).tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
+            }
+        )
 
     return run
 
 
+def _told(table: pa.Table) -> pa.Table:
+    """For each slice, those of its shingles in a range that several documents hold, with how many do."""
+    sent = [_of_bytes(x) for x in table.column("s").to_pylist()]
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
+    _, at = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.bincount(at, weights=times)[at].astype(np.uint32)
+    out, first = [], 0
+    for name, shingle in zip(table.column("slice").to_pylist(), sent, strict=True):
+        n = total[first : first + len(shingle)]
+        first += len(shingle)
+        if (n > 1).any():
+            out.append((name, _bytes(shingle[n > 1]), n[n > 1].tobytes()))
+    return pa.table({c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate((("slice", pa.int64()), ("s", pa.binary()), ("n", pa.binary())))})
+
+
 class Weights:
-    """Shingle weights: the documents there are, and the frequent shingles with their frequencies."""
+    """Shingle weights: the documents there are, and the frequencies of shingles that several hold."""
 
     def __init__(self, documents: int, frequent: dict[int, int]):
-        self.most = 1 + np.log(1 / RARE) if documents * RARE >= 1 else 1 + np.log(max(1, documents))
+        self.documents = documents
         self.shingles = np.array(sorted(frequent), np.int64)
-        n = np.array([frequent[s] for s in self.shingles.tolist()], np.float64)
-        self.idf = np.minimum(self.most, 1 + np.log(documents / np.maximum(n, 1)))
+        self.n = np.array([frequent[s] for s in self.shingles.tolist()], np.int64)
+
+    @classmethod
+    def told(cls, documents: int, table: pa.Table) -> Weights:
+        """Those of one slice, from what was told to it."""
+        out = cls(documents, {})
+        if table.num_rows:
+            shingles = np.concatenate([_of_bytes(x) for x in table.column("s").to_pylist()])
+            n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
+            order = np.argsort(shingles)
+            out.shingles, out.n = shingles[order], n[order].astype(np.int64)
+        return out
 
-    def of(self, shingles: np.ndarray, times: np.ndarray) -> np.ndarray:
-        idf = np.full(len(shingles), self.most)
+    def frequencies(self, shingles: np.ndarray) -> np.ndarray:
+        n = np.ones(len(shingles), np.int64)
         if len(self.shingles):
             at = np.searchsorted(self.shingles, shingles)
             at[at == len(self.shingles)] = 0
             known = self.shingles[at] == shingles
-            idf[known] = self.idf[at[known]]
-        return idf * times
+            n[known] = self.n[at[known]]
+        return n
 
+    def of(self, shingles: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return weighted(self.documents, self.frequencies(shingles), times)
 
-def corpus_weights(texts: DataFrame) -> Weights:
-    """Exact document frequencies of all shingles in ``RARE`` of the documents or more."""
-    n = texts.count()
-    met = texts.mapInArrow(_frequent_somewhere, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    rows = met.where(F.col("n") >= RARE / 2 * n).select("s").toPandas()  # 2 x (mean shingles) / RARE at most
-    shared = texts.sparkSession.sparkContext.broadcast(np.sort(rows["s"].to_numpy(np.int64)))
-    counts = texts.mapInArrow(_exactly(shared), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    best = counts.where((F.col("n") >= RARE * n) & (F.col("n") > 1)).toPandas() if len(rows) else pd.DataFrame({"s": [], "n": []})
-    return Weights(n, dict(zip(best["s"].astype(int), best["n"].astype(int), strict=True)))
 
+def weighted(documents: int, n: np.ndarray, times: np.ndarray) -> np.ndarray:
+    return (1 + np.log(documents / n)) * times
 
-def _signed(shared):
-    def run(batches):
-        salt = (np.arange(BANDS, dtype=U) + U(1)) * U(0xA0761D6478BD642F)
-        for batch in (part for whole in batches for part in slices(whole)):
-            texts, bands = batch.column("text").to_pylist(), []
+
+SIGNED = "id long, h1 long, h2 long, bands array<long>, df binary"
+
+
+def _signed(documents: int):
+    """Bands of a slice's texts, and the frequency of each of a text's distinct shingles, in their order."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        weights, salt, out = Weights.told(documents, told), (np.arange(BANDS, dtype=U) + U(1)) * U(0xA0761D6478BD642F), []
+        for batch in slices(table):
+            texts, bands, held = batch.column("text").to_pylist(), [], []
             for _, part in chunks(texts):
                 owner, shingle, times = shingled(part, WORDS)
-                sampled = samples(owner, shingle, shared.value.of(shingle, times), len(part)).reshape(len(part), BANDS, ROWS)
+                n = weights.frequencies(shingle)
+                sampled = samples(owner, shingle, weighted(documents, n, times), len(part)).reshape(len(part), BANDS, ROWS)
                 key = np.zeros((len(part), BANDS), U) + salt
                 for j in range(ROWS):
                     key = mixed(key ^ sampled[:, :, j])
-                has = np.zeros(len(part), bool)
-                has[owner] = True
-                bands += [row if ok else None for row, ok in zip(key.view(np.int64), has, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("id", "h1", "h2")] + [pa.array(bands, pa.list_(pa.int64()))], names=["id", "h1", "h2", "bands"]
-            )
+                at = np.searchsorted(owner, np.arange(len(part) + 1))
+                for i, (row, low, high) in enumerate(zip(key.view(np.int64), at[:-1], at[1:], strict=True)):
+                    bands.append(row if low < high else None)
+                    held.append(n[low:high].astype(np.uint32).tobytes())
+            columns = [batch.column(c).combine_chunks() for c in ("id", "h1", "h2")]
+            out.append(pa.table([*columns, pa.array(bands, pa.list_(pa.int64())), pa.array(held, pa.binary())], names=["id", "h1", "h2", "bands", "df"]))
+        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64())), "df": pa.array([], pa.binary())})
 
     return run
 
 
+def signatures(rows: DataFrame) -> tuple[int, DataFrame]:
+    """How many ``rows(id, text, h1, h2)`` there are, and for each its bands and frequencies."""
+    documents, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    many = max(1, ceil((size or 0) / SLICE_BYTES), ceil(documents / SLICE_DOCUMENTS))
+    bits = ceil(log2(max(1, (size or 0) / RANGE_BYTES)))
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id", "h1", "h2"), F.lit(many)))
+    told = sliced.groupBy("slice").applyInArrow(_sent(bits), SENT).groupBy("range").applyInArrow(_told, TOLD)
+    return documents, sliced.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_signed(documents), SIGNED)
+
+
 def weighted_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
     """Sum of the lesser weights over sum of the greater ones; 0 if either has none."""
     both = sum(min(w, b[s]) for s, w in a.items() if s in b)
@@ -148,22 +201,22 @@ def weighted_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
     return both / every if a and b else 0.0
 
 
-def _similar(shared, least: float):
-    """Pairs (a, b) of rows (a, b, t, u) whose texts t and u are similar enough."""
+def _similar(documents: int, least: float):
+    """Pairs (a, b) of rows (a, b, t, u, f, g) whose texts t and u, of frequencies f and g, are similar enough."""
 
     def run(batches):
         held: dict[str, tuple] = {}
 
-        def vector(text):
+        def vector(text, df):
             if text not in held:
                 if len(held) > 16:
                     held.clear()
                 _, shingle, times = shingled([text.encode("utf-8", "surrogatepass")], WORDS)
-                held[text] = shingle, shared.value.of(shingle, times)
+                held[text] = shingle, weighted(documents, np.frombuffer(df, np.uint32), times)
             return held[text]
 
-        def similarity(a, b):
-            (s, v), (t, w) = vector(a), vector(b)
+        def similarity(a, b, f, g):
+            (s, v), (t, w) = vector(a, f), vector(b, g)
             if not len(s) or not len(t):
                 return 0.0
             at = np.searchsorted(t, s)
@@ -173,21 +226,23 @@ def _similar(shared, least: float):
             return float(both / (v.sum() + w.sum() - both))
 
         for batch in (part for whole in batches for part in slices(whole)):
-            left, right = batch.column("t").to_pylist(), batch.column("u").to_pylist()
-            ok = pa.array([similarity(x, y) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
+            both = zip(*[batch.column(c).to_pylist() for c in "tufg"], strict=True)
+            ok = pa.array([similarity(*x) >= least for x in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, shared, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame, documents: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar enough."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = rows.join(hinted(ids, small_enough(ids.count(), 16)), "id", "left_semi").select("id", "text")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("t"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("u"))
+    ids = hinted(ids, small_enough(ids.count(), 16))
+    told = signed.join(ids, "id", "left_semi").select("id", "h1", "h2", "df").dropDuplicates(["id", "h1", "h2"])
+    texts = rows.join(ids, "id", "left_semi").join(told, ["id", "h1", "h2"]).select("id", "text", "df")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("t"), F.col("df").alias("f"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("u"), F.col("df").alias("g"))
     both = pairs.join(left, "a").join(right, "b")
-    return saved(both.select("a", "b", "t", "u").mapInArrow(_similar(shared, least), "a long, b long"))
+    return saved(both.select("a", "b", "t", "u", "f", "g").mapInArrow(_similar(documents, least), "a long, b long"))
 
 
 def _united(edges: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -202,7 +257,7 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def find_links(rows: DataFrame, signed: DataFrame, shared, least: float) -> DataFrame:
+def find_links(rows: DataFrame, signed: DataFrame, documents: int, least: float) -> DataFrame:
     """Edges (a, b) of similar texts, enough to connect all candidates of a bucket that are.
 
     Each bucket's least node is compared with the others; most buckets are one component then.  In
@@ -215,7 +270,7 @@ def find_links(rows: DataFrame, signed: DataFrame, shared, least: float) -> Data
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = saved(keys.join(lead.select("key", "lead"), "key"))
     tried = saved(_pairs(buckets.where("node != lead"), "lead", "node"))
-    edges = _verified(tried, rows, shared, least)
+    edges = _verified(tried, rows, signed, documents, least)
     buckets = _united(edges, buckets.select("key", "node"))
     for turn in range(ROUNDS + 1):
         sums = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
@@ -233,7 +288,7 @@ def find_links(rows: DataFrame, signed: DataFrame, shared, least: float) -> Data
             near = placed.groupBy("key", "place").agg(F.min("node").alias("other"), F.min_by("component", "node").alias("c2"))
             met = placed.join(near, ["key", "place"]).where("component != c2")
         fresh = saved(_pairs(met, "node", "other").join(tried, ["a", "b"], "left_anti"))
-        more = _verified(fresh, rows, shared, least)
+        more = _verified(fresh, rows, signed, documents, least)
         edges = saved(edges.union(more))
         if last:
             break
@@ -252,10 +307,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Texts that are null or have no word link with nothing; a null doc_id has no component and is
     kept; rows that share an id are one document; an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_weights(rows.select("text")))
-    hashed = rows.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.reverse("text"), F.lit(1)).alias("h2"))
-    signed = saved(hashed.mapInArrow(_signed(shared), "id long, h1 long, h2 long, bands array<long>"))
-    links = find_links(rows.where("id is not null"), signed.where("id is not null"), shared, least)
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.reverse("text"), F.lit(1))})
+    documents, signed = signatures(rows)
+    signed = saved(signed)
+    links = find_links(rows.where("id is not null"), signed.where("id is not null"), documents, least)
     worded = signed.where("bands is not null and id is not null")
     copies = worded.join(worded.groupBy("h1", "h2").agg(F.min("id").alias("a")), ["h1", "h2"]).where("id != a").select("a", F.col("id").alias("b"))
     found = connected_components(links.union(copies))
