@@ -498,6 +498,15 @@ def test_personal_data(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_text_leave_its_terms(spark):
+    texts = [f"Mister Zanzibar wrote from zan@bar.org and {x}" for x in ("one", "two", "three")]
+    texts += texts[:1] * 100 + [" ".join(words(random.Random(i), 20)) for i in range(200)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    for r in pii.personal_data(df).collect():
+        terms = [texts[r.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in filter(None, r["spans"].split(","))) if k == "term"]
+        assert ("Zanzibar" in terms) == (r.doc_id < 103)
+
+
 def test_urls(spark):
     page = lambda u: f'<html><head><LINK href="{u}" rel="canonical"></head></html>'
     move = "<meta http-equiv='refresh' content='0; url=/de/1'>"
