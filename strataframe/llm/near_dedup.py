@@ -2,7 +2,11 @@
 
 Weights are times in the text x (1 + ln(documents / document frequency)), every frequency counted
 over all documents.  Texts are dealt into slices; each slice sends its shingles to ranges of shingles,
-where they are counted, and gets back those that more than one document holds."""
+where they are counted, and gets back those that more than one document holds.
+
+A shingle of one document can't be shared, so a text is carried as its shared shingles and its whole
+weight; sampling sees all its other shingles as one element of their summed weight, which leaves the
+chance of equal samples, the weighted Jaccard similarity, as it is."""
 
 from __future__ import annotations
 
@@ -20,12 +24,15 @@ from strataframe.llm.shingles import SHINGLE_BITS, U, chunks, mixed, shingled, s
 SIMILARITY = 0.8
 WORDS = 5
 BANDS, ROWS = 9, 3
-#: Part of the documents below which a frequency isn't counted: none.
-RARE = 0.0
 #: Bytes of text, and documents, of a slice; bytes of text whose shingles are one range on average.
 SLICE_BYTES, SLICE_DOCUMENTS, RANGE_BYTES = 2 << 20, 4096, 8 << 20
-#: Rounds in which neighbours in random order are compared before all pairs that are left.
-ROUNDS = 3
+#: Partners that one copy of a hub is compared with; members, and shared shingles, of a block of a bucket.
+PARTNERS, BLOCK, BLOCK_SHINGLES = 256, 1024, 1 << 19
+#: Members of a bucket beyond which it is split by further samples, and the bands and rows of these:
+#: a pair just at 0.8 that shares the bucket shares one of its parts with chance 0.99985.
+CROWD, DEEP_BANDS, DEEP_ROWS = 8192, 48, 8
+#: Rounding of a similarity that may be least exactly.
+ROUNDING = 1e-9
 
 
 def _quantiles() -> tuple[np.ndarray, np.ndarray]:
@@ -43,20 +50,20 @@ def _quantiles() -> tuple[np.ndarray, np.ndarray]:
 GAMMA, LOG_GAMMA = _quantiles()
 
 
-def samples(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """BANDS x ROWS consistent weighted samples of each of n texts; owners ascend.
+def samples(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int, first: int = 0, many: int = BANDS * ROWS) -> np.ndarray:
+    """``many`` consistent weighted samples, from number ``first`` on, of each of n texts; owners ascend.
 
     For each shingle and sample, r and c from Gamma(2, 1) and b uniform come from 48 bits of a hash;
     t = floor(ln w / r + b), and the shingle with the least ln c - r (t - b + 1) is the sample,
     together with its t.  One integer holds both: the order's bits above, a hash of what was
     sampled below, so one minimum per text finds it."""
-    out = np.zeros((n, BANDS * ROWS), U)
+    out = np.zeros((n, many), U)
     if not len(owner):
         return out
-    texts, first = np.unique(owner, return_index=True)
+    texts, begins = np.unique(owner, return_index=True)
     base, log_w = mixed(shingles.astype(U)), np.log(weights).astype(np.float32)
-    for k in range(BANDS * ROWS):
-        h = mixed(base + U((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+    for k in range(many):
+        h = mixed(base + U((first + k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
         r = GAMMA[(h & U(0xFFFF)).astype(np.intp)]
         c = LOG_GAMMA[((h >> U(16)) & U(0xFFFF)).astype(np.intp)]
         b = ((h >> U(32)) & U(0xFFFF)).astype(np.float32) / np.float32(65536)
@@ -64,10 +71,24 @@ def samples(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int
         bits = (c - r * (t - b + 1)).view(np.uint32)
         order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(U)
         what = (mixed(base ^ (t.astype(np.int64).view(U) * U(0x9FB21C651E98DF25))) >> U(32))
-        out[texts, k] = np.minimum.reduceat((order << U(32)) | what, first)
+        out[texts, k] = np.minimum.reduceat((order << U(32)) | what, begins)
     return out & U(0xFFFFFFFF)
 
 
+def band_keys(owner: np.ndarray, shared: np.ndarray, weights: np.ndarray, rest: np.ndarray, own: np.ndarray, first: int = 0, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of the bands of texts: shared shingles by owner, and for each text the weight ``rest`` of its
+    other ones, which are one element named by ``own``."""
+    n = len(rest)
+    alone = np.flatnonzero(rest > 0)
+    owner, shared, weights = (np.concatenate(x) for x in ((owner, alone), (shared.view(U), own[alone]), (weights, rest[alone])))
+    order = np.argsort(owner, kind="stable")
+    sampled = samples(owner[order], shared[order], weights[order], n, first, bands * rows).reshape(n, bands, rows)
+    key = np.zeros((n, bands), U) + (np.arange(bands, dtype=U) + U(1 + first)) * U(0xA0761D6478BD642F)
+    for j in range(rows):
+        key = mixed(key ^ sampled[:, :, j])
+    return key
+
+
 def _bytes(shingles: np.ndarray) -> bytes:
     """Sorted shingles with all first bytes first, so that they compress."""
     return shingles.astype("<i8").view(np.uint8).reshape(-1, 8).T[: SHINGLE_BITS // 8].tobytes()
@@ -156,36 +177,45 @@ def weighted(documents: int, n: np.ndarray, times: np.ndarray) -> np.ndarray:
     return (1 + np.log(documents / n)) * times
 
 
-SIGNED = "id long, h1 long, h2 long, bands array<long>, df binary"
+SIGNED = "id long, h1 long, h2 long, bands array<long>, total double, s binary, n binary, t binary"
 
 
 def _signed(documents: int):
-    """Bands of a slice's texts, and the frequency of each of a text's distinct shingles, in their order."""
+    """A slice's texts: bands, whole weight, and shared shingles in order with their frequencies and times."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        weights, salt, out = Weights.told(documents, told), (np.arange(BANDS, dtype=U) + U(1)) * U(0xA0761D6478BD642F), []
+        weights, out = Weights.told(documents, told), []
         for batch in slices(table):
-            texts, bands, held = batch.column("text").to_pylist(), [], []
-            for _, part in chunks(texts):
+            rows: list[tuple] = []
+            marks = mixed(batch.column("h1").to_numpy().view(U) ^ mixed(batch.column("h2").to_numpy().view(U)))
+            for first, part in chunks(batch.column("text").to_pylist()):
                 owner, shingle, times = shingled(part, WORDS)
                 n = weights.frequencies(shingle)
-                sampled = samples(owner, shingle, weighted(documents, n, times), len(part)).reshape(len(part), BANDS, ROWS)
-                key = np.zeros((len(part), BANDS), U) + salt
-                for j in range(ROWS):
-                    key = mixed(key ^ sampled[:, :, j])
+                w = weighted(documents, n, times)
+                total, held = np.bincount(owner, w, len(part)), n > 1
+                rest = np.bincount(owner[~held], w[~held], len(part))
+                owner, shingle, n, times, w = owner[held], shingle[held], n[held], times[held], w[held]
+                key = band_keys(owner, shingle, w, rest, marks[first : first + len(part)]).view(np.int64)
                 at = np.searchsorted(owner, np.arange(len(part) + 1))
-                for i, (row, low, high) in enumerate(zip(key.view(np.int64), at[:-1], at[1:], strict=True)):
-                    bands.append(row if low < high else None)
-                    held.append(n[low:high].astype(np.uint32).tobytes())
+                n, times = n.astype(np.uint32), times.astype(np.uint32)
+                for i, (low, high) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    rows.append((key[i] if total[i] else None, total[i], _bytes(shingle[low:high]), n[low:high].tobytes(), times[low:high].tobytes()))
             columns = [batch.column(c).combine_chunks() for c in ("id", "h1", "h2")]
-            out.append(pa.table([*columns, pa.array(bands, pa.list_(pa.int64())), pa.array(held, pa.binary())], names=["id", "h1", "h2", "bands", "df"]))
-        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64())), "df": pa.array([], pa.binary())})
+            kinds = (pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+            columns += [pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)]
+            out.append(pa.table(columns, names=[c.split()[0] for c in SIGNED.split(", ")]))
+        return pa.concat_tables(out) if out else _none(SIGNED)
 
     return run
 
 
+def _none(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.table({c.split()[0]: pa.array([], kinds[c.split()[1]]) for c in schema.split(", ")})
+
+
 def signatures(rows: DataFrame) -> tuple[int, DataFrame]:
-    """How many ``rows(id, text, h1, h2)`` there are, and for each its bands and frequencies."""
+    """How many ``rows(id, text, h1, h2)`` there are, and for each its bands, weight and shared shingles."""
     documents, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     many = max(1, ceil((size or 0) / SLICE_BYTES), ceil(documents / SLICE_DOCUMENTS))
     bits = ceil(log2(max(1, (size or 0) / RANGE_BYTES)))
@@ -201,100 +231,219 @@ def weighted_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
     return both / every if a and b else 0.0
 
 
-def _similar(documents: int, least: float):
-    """Pairs (a, b) of rows (a, b, t, u, f, g) whose texts t and u, of frequencies f and g, are similar enough."""
+class _Vectors:
+    """Shared shingles of texts as sorted (shingle, weight of one occurrence, times)."""
+
+    def __init__(self, documents: int):
+        self.documents = documents
+
+    def of(self, s: bytes, n: bytes, t: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _of_bytes(s), weighted(self.documents, np.frombuffer(n, np.uint32), 1), np.frombuffer(t, np.uint32)
+
+
+def _overlap(x: tuple, y: tuple) -> float:
+    """Summed lesser weights of two vectors."""
+    (s, w, m), (t, _, n) = x, y
+    if not len(s) or not len(t):
+        return 0.0
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    same = t[at] == s
+    return float((w[same] * np.minimum(m[same], n[at[same]])).sum())
+
+
+def _linked_partners(documents: int, least: float):
+    """Links (a, b) from rows sorted by (a, part, side): a hub of side 0, then its partners b."""
+
+    def run(batches):
+        vectors, hub, whole = _Vectors(documents), None, 0.0
+        for batch in (part for every in batches for part in slices(every)):
+            links = []
+            for a, b, side, total, *row in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "side", "total", "s", "n", "t")], strict=True):
+                if side == 0:
+                    hub, whole = vectors.of(*row), total
+                elif min(whole, total) >= (least - ROUNDING) * max(whole, total):
+                    both = _overlap(hub, vectors.of(*row))
+                    if both >= (least - ROUNDING) * (whole + total - both):
+                        links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, vectors: DataFrame, documents: int, least: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) that are similar enough; a hub is sent once to each PARTNERS of its own."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    held = [F.col(c) for c in ("total", "s", "n", "t")]
+    hubs = dealt.select("a", "part").distinct().join(vectors, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), F.lit(0).alias("side"), *held)
+    others = dealt.join(vectors, F.col("b") == F.col("node")).select("a", "part", "b", F.lit(1).alias("side"), *held)
+    rows = hubs.union(others).repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    return saved(rows.mapInArrow(_linked_partners(documents, least), "a long, b long"))
+
+
+def _levels(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as (row, element, weight); a shingle that stands k times is k elements, so that the summed
+    lesser weights of two vectors are the summed weights of the elements that both have."""
+    size = [len(x[0]) for x in held]
+    row = np.repeat(np.arange(len(held)), size)
+    s, w, m = (np.concatenate([x[k] for x in held]) for k in range(3))
+    again = np.repeat(np.arange(len(s)), m)
+    level = np.arange(len(again)) - np.repeat(np.cumsum(m) - m, m)
+    element = np.where(level > 0, mixed(s[again].view(U) + level.astype(U) * U(0xD1B54A32D192ED03)), s[again].view(U))
+    return row[again], element, w[again]
+
+
+def overlaps(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Summed lesser weights of each vector of ``left`` with each of ``right``.
+
+    Elements that many hold are multiplied as matrices, some columns at a time; others are counted pair by pair."""
+    (row, x, w), (col, y, _) = _levels(left), _levels(right)
+    n, m = len(left), len(right)
+    out = np.zeros(n * m)
+    both = np.intersect1d(x, y)
+    if not len(both):
+        return out.reshape(n, m)
+
+    def among(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, e), len(both) - 1)
+        ok = np.flatnonzero(both[at] == e)
+        ok = ok[np.argsort(at[ok], kind="stable")]
+        return ok, at[ok]
+
+    (i, u), (j, v) = among(x), among(y)
+    row, w, col = row[i], w[i], col[j]
+    here, there = np.bincount(u, minlength=len(both)), np.bincount(v, minlength=len(both))
+    heavy = here * there > max(64, n * m // 100)
+    number = np.cumsum(heavy) - 1
+    dense = out.reshape(n, m)
+    for a in range(0, int(heavy.sum()), 2048):
+        p, q = (heavy[k] & (number[k] >= a) & (number[k] < a + 2048) for k in (u, v))
+        one, two = np.zeros((n, 2048)), np.zeros((m, 2048))
+        one[row[p], number[u[p]] - a] = w[p]
+        two[col[q], number[v[q]] - a] = 1
+        dense += one @ two.T
+    begin = np.cumsum(there) - there
+    light = np.flatnonzero(~heavy[u])
+    ends = np.cumsum(there[u[light]])
+    for a in range(0, int(ends[-1]) if len(ends) else 0, 1 << 21):
+        part = light[np.searchsorted(ends, a, "right") if a else 0 : np.searchsorted(ends, a + (1 << 21), "right")]
+        times = there[u[part]]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[u[part]], times)
+        out += np.bincount(np.repeat(row[part], times) * m + col[at], np.repeat(w[part], times), n * m)
+    return dense
+
+
+def _between(rows: list[tuple], i: int, j: int, vectors: _Vectors, least: float) -> list[tuple[int, int]]:
+    """Links between blocks i and j of a bucket, rows (block, node, component, total, s, n, t), enough to
+    connect the components that link."""
+    held = [vectors.of(*x[4:]) for x in rows]
+    here, there = ([k for k, x in enumerate(rows) if x[0] == b] for b in (i, j))
+    if not here or not there:
+        return []
+    left, right = ([held[k] for k in side] for side in (here, there))
+    both = overlaps(left, right)
+    total, group = np.array([x[3] for x in rows]), np.array([x[2] for x in rows])
+    every = total[here][:, None] + total[there][None, :] - both
+    close = (both >= (least - ROUNDING) * every) & (group[here][:, None] != group[there][None, :])
+    links, up = [], {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in np.argwhere(close).tolist():
+        p, q = rows[here[a]], rows[there[b]]
+        g, h = root(p[2]), root(q[2])
+        if g != h:
+            up[max(g, h)] = min(g, h)
+            links.append((p[1], q[1]))
+    return links
+
+
+def _linked_blocks(documents: int, least: float):
+    """Links (a, b) from rows sorted by (key, i, j), all pairs of two blocks in different components compared."""
 
     def run(batches):
-        held: dict[str, tuple] = {}
-
-        def vector(text, df):
-            if text not in held:
-                if len(held) > 16:
-                    held.clear()
-                _, shingle, times = shingled([text.encode("utf-8", "surrogatepass")], WORDS)
-                held[text] = shingle, weighted(documents, np.frombuffer(df, np.uint32), times)
-            return held[text]
-
-        def similarity(a, b, f, g):
-            (s, v), (t, w) = vector(a, f), vector(b, g)
-            if not len(s) or not len(t):
-                return 0.0
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            same = t[at] == s
-            both = np.minimum(v[same], w[at[same]]).sum()
-            return float(both / (v.sum() + w.sum() - both))
-
-        for batch in (part for whole in batches for part in slices(whole)):
-            both = zip(*[batch.column(c).to_pylist() for c in "tufg"], strict=True)
-            ok = pa.array([similarity(*x) >= least for x in both], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+        vectors, name, held = _Vectors(documents), None, []
+        for batch in (part for every in batches for part in slices(every)):
+            links = []
+            for key, i, j, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "node", "component", "total", "s", "n", "t")], strict=True):
+                if name != (key, i, j):
+                    links += _between(held, *name[1:], vectors, least) if name else []
+                    name, held = (key, i, j), []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if name:
+            links = _between(held, *name[1:], vectors, least)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame, documents: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    ids = hinted(ids, small_enough(ids.count(), 16))
-    told = signed.join(ids, "id", "left_semi").select("id", "h1", "h2", "df").dropDuplicates(["id", "h1", "h2"])
-    texts = rows.join(ids, "id", "left_semi").join(told, ["id", "h1", "h2"]).select("id", "text", "df")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("t"), F.col("df").alias("f"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("u"), F.col("df").alias("g"))
-    both = pairs.join(left, "a").join(right, "b")
-    return saved(both.select("a", "b", "t", "u", "f", "g").mapInArrow(_similar(documents, least), "a long, b long"))
+def _deeper(documents: int):
+    """Members of crowded buckets once for each further band: (key, node, component)."""
 
+    def run(batches):
+        vectors = _Vectors(documents)
+        for batch in (part for every in batches for part in slices(every)):
+            held = [vectors.of(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("s", "n", "t")], strict=True)]
+            if not held:
+                continue
+            owner = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+            s, w, m = (np.concatenate([x[k] for x in held]) for k in range(3))
+            node = batch.column("node").to_numpy()
+            rest = batch.column("total").to_numpy() - np.bincount(owner, w * m, len(held))
+            rest[rest < ROUNDING] = 0
+            key = band_keys(owner, s, w * m, rest, mixed(node.view(U)), BANDS * ROWS, DEEP_BANDS, DEEP_ROWS)
+            key = mixed(key ^ batch.column("key").to_numpy().view(U)[:, None]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.ravel())] + [pa.array(np.repeat(batch.column(c).to_numpy(), DEEP_BANDS)) for c in ("node", "component")], names=["key", "node", "component"]
+            )
 
-def _united(edges: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Buckets (key, node) that hold several components, with each node's component."""
-    found = connected_components(edges)
-    named = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed_ = named.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("m")).where("l != m").select("key")
-    return saved(named.join(mixed_, "key", "left_semi"))
+    return run
 
 
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def _open(buckets: DataFrame) -> DataFrame:
+    """Rows (key, node, component) of the buckets that hold several components, with their number ``n``."""
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return buckets.join(sizes.where("low != high").select("key", "n"), "key")
 
 
-def find_links(rows: DataFrame, signed: DataFrame, documents: int, least: float) -> DataFrame:
+def find_links(signed: DataFrame, documents: int, least: float) -> DataFrame:
     """Edges (a, b) of similar texts, enough to connect all candidates of a bucket that are.
 
     Each bucket's least node is compared with the others; most buckets are one component then.  In
-    the rest, neighbours in a random order that lie in different components are compared for some
-    rounds, so that groups of near copies grow together; and at last all pairs of a bucket that
-    still lie in different components are, so no candidate link is left out."""
-    whole = signed.where("bands is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    reps = signed.where("bands is not null").join(whole, ["h1", "h2"]).where("id = node").dropDuplicates(["node"])
-    keys = reps.select("node", F.explode("bands").alias("key"))
+    the rest all pairs in different components are compared, a block of the bucket with another, and
+    only links leave the task.  A bucket of more than CROWD members is first split by further samples."""
+    worded = signed.where("bands is not null and id is not null")
+    whole = worded.groupBy("h1", "h2").agg(F.min("id").alias("node")).groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    nodes = saved(whole.select("node", F.col("h.h1").alias("x"), F.col("h.h2").alias("y")))
+    own = (F.col("id") == F.col("node")) & (F.col("h1") == F.col("x")) & (F.col("h2") == F.col("y"))
+    keys = saved(worded.select("id", "h1", "h2", "bands").join(nodes, own).select("node", F.explode("bands").alias("key")).distinct())
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = saved(keys.join(lead.select("key", "lead"), "key"))
-    tried = saved(_pairs(buckets.where("node != lead"), "lead", "node"))
-    edges = _verified(tried, rows, signed, documents, least)
-    buckets = _united(edges, buckets.select("key", "node"))
-    for turn in range(ROUNDS + 1):
-        sums = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        apart, members = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.sum("n")).first()
-        if not members:
-            break
-        last = turn == ROUNDS or apart <= 4 * members
-        if last:
-            other = buckets.select("key", F.col("node").alias("other"), F.col("component").alias("c2"))
-            met = buckets.join(other, "key").where("component < c2")
-        else:
-            # Places in random order are numbers by hash; equal places meet, and so do neighbouring ones.
-            place = F.floor(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) / 2)
-            placed = buckets.join(sums.select("key", "n"), "key").withColumn("place", place)
-            near = placed.groupBy("key", "place").agg(F.min("node").alias("other"), F.min_by("component", "node").alias("c2"))
-            met = placed.join(near, ["key", "place"]).where("component != c2")
-        fresh = saved(_pairs(met, "node", "other").join(tried, ["a", "b"], "left_anti"))
-        more = _verified(fresh, rows, signed, documents, least)
-        edges = saved(edges.union(more))
-        if last:
-            break
-        tried = saved(tried.union(fresh))
-        buckets = _united(edges, buckets.select("key", "node"))
-    return edges
+    met = nodes.join(buckets.select("node").distinct(), "node")
+    vectors = saved(worded.join(met, own).dropDuplicates(["node"]).select("node", "total", "s", "n", "t"))
+    stars = buckets.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    edges = _verified(saved(stars), vectors, documents, least)
+    found = saved(connected_components(edges))
+    named = buckets.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = saved(_open(named))
+    crowded = members.where(F.col("n") > CROWD)
+    if crowded.limit(1).count():
+        deep = crowded.join(vectors.withColumnRenamed("n", "df"), "node").select("key", "node", "component", "total", "s", F.col("df").alias("n"), "t")
+        split = _open(deep.mapInArrow(_deeper(documents), "key long, node long, component long"))
+        members = saved(members.where(F.col("n") <= CROWD).unionByName(split))
+    sized = members.join(vectors.select("node", (F.octet_length("t") / 4).alias("shingles")), "node")
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+    placed = members.drop("n").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = each.join(vectors, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = rows.mapInArrow(_linked_blocks(documents, least), "a long, b long")
+    return saved(found.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -305,12 +454,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     and ``kept`` says that it is the document's own.  Equal texts are one node of the search.
 
     Texts that are null or have no word link with nothing; a null doc_id has no component and is
-    kept; rows that share an id are one document; an empty table gives no rows."""
+    kept; rows that share an id are one document, of whose texts the one of least hash is compared;
+    an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.reverse("text"), F.lit(1))})
     documents, signed = signatures(rows)
     signed = saved(signed)
-    links = find_links(rows.where("id is not null"), signed.where("id is not null"), documents, least)
+    links = find_links(signed, documents, least)
     worded = signed.where("bands is not null and id is not null")
     copies = worded.join(worded.groupBy("h1", "h2").agg(F.min("id").alias("a")), ["h1", "h2"]).where("id != a").select("a", F.col("id").alias("b"))
     found = connected_components(links.union(copies))

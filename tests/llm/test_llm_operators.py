@@ -114,18 +114,25 @@ def test_substring_dedup_crowded_and_edges(spark, docs, monkeypatch):
 
 
 def plain_weights(rows):
+    """TF-IDF weights of shingles of five words, word by word, without the operator's code."""
     sets = {}
     for i, t, *_ in rows:
-        for _, part in chunks([t]):
-            _, s, n = shingled(part)
-            sets[i] = dict(zip(s.tolist(), n.tolist(), strict=True))
+        found = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        if found:
+            per = sets[i] = {}
+            for at in range(max(1, len(found) - 4)):
+                key = " ".join(found[at : at + 5])
+                per[key] = per.get(key, 0) + 1
     df = {}
     for s in sets.values():
         for x in s:
             df[x] = df.get(x, 0) + 1
-    frequent = {x: n for x, n in df.items() if n >= near_dedup.RARE * len(rows) and n > 1}
-    w = near_dedup.Weights(len(rows), frequent)
-    return {i: dict(zip(s, w.of(np.array(list(s), np.int64), np.array(list(s.values()))), strict=True)) for i, s in sets.items() if s}
+    return {i: {x: n * (1 + np.log(len(rows) / df[x])) for x, n in s.items()} for i, s in sets.items()}
+
+
+def similarity(a, b):
+    both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+    return both / (sum(a.values()) + sum(b.values()) - both)
 
 
 def test_shingles_are_those_of_the_words():
@@ -158,7 +165,7 @@ def test_near_dedup_equals_brute_force(spark, docs):
     ids = sorted(weights)
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
-            if near_dedup.weighted_jaccard(weights[i], weights[j]) >= 0.8:
+            if similarity(weights[i], weights[j]) >= 0.8:
                 a, b = root(i), root(j)
                 comp[max(a, b)] = min(a, b)
     assert {i: r.component_id for i, r in found.items()} == {i: root(i) for i in comp}
@@ -188,12 +195,77 @@ def test_near_dedup_counts_every_frequency(spark, monkeypatch):
             df[x] = df.get(x, 0) + 1
     weights = [{x: n * (1 + np.log(len(texts) / df[x])) for x, n in s.items()} for s in sets[:2]]
     floored = [{x: n * (1 + np.log(min(200, len(texts) / df[x]))) for x, n in s.items()} for s in sets[:2]]
-    assert near_dedup.weighted_jaccard(*weights) < 0.8 < near_dedup.weighted_jaccard(*floored)
+    assert similarity(*weights) < 0.8 < similarity(*floored)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
     assert all(r.kept for r in near_dedup.near_duplicates(docs).collect())
     documents, signed = near_dedup.signatures(docs.selectExpr("doc_id id", "text", "doc_id h1", "doc_id h2"))
-    found = {r.id: np.frombuffer(r.df, np.uint32).tolist() for r in signed.collect()}
-    assert documents == len(texts) and found == {i: [df[x] for x in sorted(s)] for i, s in enumerate(sets)}
+    found = {r.id: np.frombuffer(r.n, np.uint32).tolist() for r in signed.collect()}
+    assert documents == len(texts) and found == {i: [df[x] for x in sorted(s) if df[x] > 1] for i, s in enumerate(sets)}
+
+
+def crowd(seed=3, groups=3, members=40):
+    """Near copies of a few texts with more or fewer words changed, so that many pairs lie near the threshold."""
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        base = words(rng, 90) + ["again and again and again"] * 3
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), "en", "s1", 0))
+    return rows + [(10_000 + i, " ".join(words(rng, 60)), "en", "s1", 0) for i in range(40)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 3, "PARTNERS": 2}, {"CROWD": 5, "BLOCK": 4}])
+def test_near_dedup_crowds_equal_brute_force(spark, monkeypatch, limits):
+    """All pairs of a crowded bucket count, however it is cut into blocks or split by further samples."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = crowd()
+    weights, comp = plain_weights(rows), {i: i for i, *_ in rows}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    ids, near = sorted(weights), 0
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            like = similarity(weights[i], weights[j])
+            near += 0.7 <= like < 0.8
+            if like >= 0.8:
+                a, b = root(i), root(j)
+                comp[max(a, b)] = min(a, b)
+    assert near > 100 and len({root(i) for i in comp if i < 10_000}) > 6
+    df = spark.createDataFrame(rows, DOC)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == {i: root(i) for i in comp}
+
+
+def test_overlaps_equal_brute_force():
+    rng = np.random.default_rng(9)
+    held = []
+    for _ in range(60):
+        s = np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(100, 4000, 20)]))
+        held.append((s.astype(np.int64), 1.0 + s % 7, rng.integers(1, 4, len(s)).astype(np.uint32)))
+    plain = [dict(zip(s.tolist(), zip(w.tolist(), m.tolist(), strict=True), strict=True)) for s, w, m in held]
+    want = [[sum(w * min(m, b[s][1]) for s, (w, m) in a.items() if s in b) for b in plain[20:]] for a in plain[:45]]
+    assert np.allclose(near_dedup.overlaps(held[:45], held[20:]), want, rtol=1e-12)
+
+
+def test_near_dedup_recall_of_pairs_just_at_the_threshold(spark):
+    """Pairs at similarity 0.8 to 0.85 in different texts, each alone: the bands meet nearly all of them."""
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        w = words(rng, 120)
+        v = list(w)
+        for at in rng.sample(range(10, 110, 10), 2):
+            v[at] = f"edit{rng.randrange(10**9)}"
+        rows += [(2 * i, " ".join(w), None, None, 0), (2 * i + 1, " ".join(v), None, None, 0)]
+    weights = plain_weights(rows)
+    true = {i for i in range(0, 800, 2) if 0.8 <= similarity(weights[i], weights[i + 1]) < 0.85}
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(true) > 100 and sum(found[i + 1] == i for i in true) >= 0.99 * len(true)
 
 
 def test_samples_estimate_weighted_similarity():
