@@ -27,8 +27,10 @@ HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 
 #: A value that takes 10**10 guesses or more counts as a secret.
 LEAST_DIGITS = 10.0
-#: Values are scanned whole; from this length on the cost of brute force alone decides.
-LONG_VALUE = 256
+#: Size of the dictionary learned from the corpus, and the documents a word of it stands in at least.
+MOST_WORDS, LEAST_DOCUMENTS = 20_000, 3
+#: Letters of a dictionary word.
+SHORTEST, LONGEST = 3, 20
 
 #: Frequent words of passwords and of prose, most frequent first.
 WORDS = (
@@ -42,11 +44,12 @@ WORDS = (
     "hello world computer internet server database system service public private access account"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, WORDS))
 #: Rows of keyboards.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:], strict=False), *zip(row[1:], row, strict=False)]}
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._](?:0[1-9]|1[0-2])[-/._](?:19|20)\d\d")
+DATES = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._](?:0[1-9]|1[0-2])[-/._](?:19|20)\d\d")
+#: Lengths of a date.
+DATE_SIZES = (4, 6, 7, 8, 9, 10)
 LEET = str.maketrans("430157@$!", "aeoistasi")
 
 
@@ -59,52 +62,88 @@ def _alphabet(value: str) -> float:
     return math.log10(max(size, 10))
 
 
-def guess_digits(value: str) -> float:
+class _Starts:
+    """Starts of segments whose cost is cost[start] + log10(units) for growing units.
+
+    A later start that is no better when it enters never is, and an earlier one that costs as much
+    never again is; so few are held, however long the run."""
+
+    def __init__(self):
+        self.held: list[tuple[int, float]] = []
+
+    def least(self, end: int, unit: int) -> float:
+        return min((c + math.log10((end - s) / unit) for s, c in self.held), default=math.inf)
+
+    def add(self, start: int, cost: float, end: int, unit: int) -> None:
+        if cost + math.log10((end - start) / unit) < self.least(end, unit):
+            self.held = [x for x in self.held if x[1] < cost] + [(start, cost)]
+
+
+def guess_digits(value: str, ranks: dict[str, int] = RANK, enough: float = math.inf) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes.
 
-    ``cost[i]`` is the least cost of the first i characters; a segment is a word of the list (also
-    with capitals or digits for letters), a date, a run of one character or a repeated unit, a walk
-    over the keyboard, or a span of brute force.  Each further segment adds log10(2) for its place."""
-    n, one = len(value), _alphabet(value)
-    if n > LONG_VALUE and len(set(value)) > 4:
-        return n * one
-    low, plain = value.lower(), value.lower().translate(LEET)
-    run, walk, runs, walks = 1, 1, [1] * n, [1] * n
-    for i in range(1, n):
-        run = run + 1 if value[i] == value[i - 1] else 1
-        walk = walk + 1 if (low[i - 1], low[i]) in NEXT else 1
-        runs[i], walks[i] = run, walk
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
-    cost, step = [0.0] + [math.inf] * n, math.log10(2)
+    ``cost[i]`` is the least cost of the first i characters, over all last segments: a character by
+    brute force; a word of ``ranks`` of up to LONGEST letters (also with capitals, or digits for
+    letters); a date; one character said three times or more, or a longer unit said twice or more,
+    the unit by brute force; a walk of three keys or more over the keyboard.  Each segment but brute
+    force adds log10(2) for its place.  Any result of ``enough`` or more only says that the least
+    cost is no less than ``enough``; a unit that costs as much on its own needn't be tried, and no
+    more characters once all that may go on costs as much."""
+    n, one, step = len(value), _alphabet(value), math.log10(2)
+    most = n // 2 if enough == math.inf else min(n // 2, math.ceil(enough / one))
+    low = value.lower() if len(value.lower()) == n else value
+    plain, cost = low.translate(LEET), [0.0]
+    walk, walks, streak = 0, _Starts(), [0] * (most + 1)
+    units: list[dict[int, _Starts]] = [{} for _ in range(most + 1)]
     for end in range(1, n + 1):
-        best = min(cost[end - 1] + one, math.inf)  # one more character by brute force
-        for size in range(3, min(LONGEST, end) + 1):
+        best = cost[end - 1] + one
+        for size in range(SHORTEST, min(LONGEST, end) + 1):
             word = low[end - size : end]
-            rank = RANK.get(word) or (RANK.get(plain[end - size : end], 0) * 4)
+            rank = ranks.get(word) or ranks.get(plain[end - size : end], 0) * 4
             if rank:
                 capital = step if word != value[end - size : end] else 0.0
                 best = min(best, cost[end - size] + math.log10(rank + 1) + capital + step)
-        for start in dates.get(end, ()):
-            best = min(best, cost[start] + math.log10(365 * 119) + step)
-        if runs[end - 1] >= 3:
-            best = min(best, cost[end - runs[end - 1]] + one + math.log10(runs[end - 1]) + step)
-        if walks[end - 1] >= 3:
-            size = walks[end - 1]
-            best = min(best, cost[end - size] + math.log10(47 * size) + step)
-        for unit in range(2, min(end // 2, 16) + 1):  # a unit said at least twice
-            times = 1
-            while (times + 1) * unit <= end and value[end - (times + 1) * unit : end - times * unit] == value[end - unit : end]:
-                times += 1
-            if times >= 2:
-                best = min(best, cost[end - times * unit] + unit * one + math.log10(times) + step)
-        cost[end] = best
-    return cost[n]
-
-
-def scan(text: str | None, least: float = LEAST_DIGITS) -> list[tuple[int, int, int]]:
+        if value[end - 1].isdigit():
+            for size in DATE_SIZES:
+                if size <= end and DATES.fullmatch(value, end - size, end):
+                    best = min(best, cost[end - size] + math.log10(365 * 119) + step)
+        if end > 1 and (low[end - 2], low[end - 1]) not in NEXT:
+            walk, walks = end - 1, _Starts()
+        if end - 3 >= walk:
+            walks.add(end - 3, cost[end - 3], end, 1)
+            best = min(best, walks.least(end, 1) + math.log10(47) + step)
+        for unit in range(1, most + 1):
+            if end <= unit or value[end - 1] != value[end - 1 - unit]:
+                if streak[unit]:
+                    streak[unit], units[unit] = 0, {}
+                continue
+            streak[unit] += 1
+            times = 3 if unit == 1 else 2
+            if streak[unit] >= (times - 1) * unit:
+                starts = units[unit].setdefault(end % unit, _Starts())
+                starts.add(end - times * unit, cost[end - times * unit], end, unit)
+                best = min(best, starts.least(end, unit) + unit * one + step)
+        cost.append(best)
+        if best >= enough and end > 2 * most + LONGEST and min(cost[-2 * most - LONGEST :]) >= enough:
+            going = [walks, *(x for each in units for x in each.values())]
+            if all(c >= enough for x in going for _, c in x.held):
+                break
+    return cost[-1]
+
+
+def frequent_words(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_DOCUMENTS) -> dict[str, int]:
+    """Ranks of words: the fixed list first, then the corpus's words of 3 to 20 letters by the number of
+    documents of ``docs(text)`` they stand in.  All documents count; ``most`` is the dictionary's size."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    said = docs.select(F.explode(words).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
+    often = said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    ranks = dict(RANK)
+    for row in often.orderBy(F.desc("n"), "w").limit(most).collect():
+        ranks.setdefault(row.w, len(ranks) + 1)
+    return ranks
+
+
+def scan(text: str | None, least: float = LEAST_DIGITS, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
     """All spans (start, number of the kind, end) of a whole text, sorted; null is empty."""
     if not text:
         return []
@@ -115,7 +154,7 @@ def scan(text: str | None, least: float = LEAST_DIGITS) -> list[tuple[int, int,
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(h in low for h in HINTS):
-        found += [(m.start(2), 3, m.end(2)) for m in CONTEXT.finditer(text) if len(m[2]) >= 6 and guess_digits(m[2]) >= least]
+        found += [(m.start(2), 3, m.end(2)) for m in CONTEXT.finditer(text) if len(m[2]) >= 6 and guess_digits(m[2], ranks, least) >= least]
     return sorted(found)
 
 
@@ -130,15 +169,18 @@ def digest(spans: list[tuple[int, int, int]], n_base: int, kinds) -> tuple:
     return (*counts, hashlib.sha256(joined(base, kinds).encode()).hexdigest(), joined(spans, kinds))
 
 
-def find_secrets(docs: DataFrame, least_digits: float = LEAST_DIGITS) -> DataFrame:
+def find_secrets(docs: DataFrame, least_digits: float = LEAST_DIGITS, ranks: dict[str, int] | None = None) -> DataFrame:
     """All columns of ``docs(text, ...)`` and n_assign, n_access, n_hex, base_sha256, spans.
 
     Offsets count code points, ends are exclusive; the method's own spans have kind ``guess``.
-    Null and empty texts have no spans; repeated rows get equal results."""
+    ``ranks`` is the dictionary, learned from ``docs`` if not given.  Whole texts of any length are
+    searched, and values of any length judged.  Null and empty texts have no spans; repeated rows
+    get equal results; an empty table gives no rows."""
+    ranks = frequent_words(docs.select("text")) if ranks is None else ranks
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def find(texts: pd.Series) -> pd.DataFrame:
-        rows = [digest(scan(t, least_digits), 3, KINDS) for t in texts]
+        rows = [digest(scan(t, least_digits, ranks), 3, KINDS) for t in texts]
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     rows = packed(docs).withColumn("f__", find(F.col("row__.text")))
@@ -146,12 +188,13 @@ def find_secrets(docs: DataFrame, least_digits: float = LEAST_DIGITS) -> DataFra
     return unpacked(rows, docs.columns, **{c: F.col(f"f__.{c}") for c in names})
 
 
-def mask_secrets(docs: DataFrame, mark: str = "[secret]", least_digits: float = LEAST_DIGITS) -> DataFrame:
+def mask_secrets(docs: DataFrame, mark: str = "[secret]", least_digits: float = LEAST_DIGITS, ranks: dict[str, int] | None = None) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; overlapping spans merge."""
+    ranks = frequent_words(docs.select("text")) if ranks is None else ranks
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else masked(t, scan(t, least_digits), lambda _: mark))
+        return texts.map(lambda t: t if t is None else masked(t, scan(t, least_digits, ranks), lambda _: mark))
 
     text = mask(F.col("text"))
     return docs.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on nulls, empties, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -524,11 +525,64 @@ def test_secrets(spark):
     assert secret_scan.mask_secrets(df).where("doc_id = 1").first().text == "[secret] é AKIA123"
 
 
+def plain_guess(value, ranks):
+    """Least cost over all cuts of ``value`` into segments, each looked at on its own."""
+    one, step = secret_scan._alphabet(value), math.log10(2)
+    day, month, year = "(0[1-9]|[12][0-9]|3[01])", "(0[1-9]|1[0-2])", "(19|20)[0-9][0-9]"
+    sep = "[-/._]"
+    dates = [year, f"{year}{sep}?{month}", f"{year}{sep}?{month}{sep}?{day}", f"{day}{sep}{month}{sep}{year}"]
+    leet = dict(zip("430157@$!", "aeoistasi", strict=True))
+
+    def segment(x):
+        costs, low = [len(x) * one], x.lower()
+        rank = ranks.get(low) or 4 * ranks.get("".join(leet.get(c, c) for c in low), 0)
+        if rank and 3 <= len(x) <= 20:
+            costs.append(math.log10(rank + 1) + step * (low != x) + step)
+        if any(re.fullmatch(d, x) for d in dates):
+            costs.append(math.log10(365 * 119) + step)
+        for unit in range(1, len(x)):
+            times = len(x) // unit
+            if x == x[:unit] * times and times >= (3 if unit == 1 else 2):
+                costs.append(unit * one + math.log10(times) + step)
+        if len(x) >= 3 and all((p, q) in secret_scan.NEXT for p, q in zip(low, low[1:], strict=False)):
+            costs.append(math.log10(47 * len(x)) + step)
+        return min(costs)
+
+    cost = [0.0]
+    for end in range(1, len(value) + 1):
+        cost.append(min(cost[s] + segment(value[s:end]) for s in range(end)))
+    return cost[-1]
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
-    weak = ["password", "P4ssw0rd", "qwertyuiop", "aaaaaaaaaaaa", "19900101", "abcabcabcabc", "letmein2015"]
-    strong = ["x9Kq2LmZ8vRt", "b7db7aa4a5fcc78305", "Tr7#kW2!pQz"]
-    assert max(map(secret_scan.guess_digits, weak)) < min(map(secret_scan.guess_digits, strong))
-    assert secret_scan.guess_digits("password") < 1 and secret_scan.guess_digits("x9Kq2LmZ8vRt") > 15
+    rng, ranks = random.Random(6), {**secret_scan.RANK, "zanzibar": 900, "kolme": 40}
+    parts = ["admin", "nnn", "Pa55word", "qwe", "asdf", "2019", "2019-11-03", "03.11.2019", "aaa", "ab", "ab", "xyz", "7", "Q", "-", "zanzibar", "K0lme", "1234", "passw", "ll", "20191"]
+    values = ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(300)] + ["adminnnn", "abcde" * 12, "a" * 40, "qwertrewqwerty" * 3, "İx" * 5]
+    for v in values:
+        assert secret_scan.guess_digits(v, ranks) == pytest.approx(plain_guess(v, ranks)), v
+        for enough in (4.0, 10.0):
+            assert (secret_scan.guess_digits(v, ranks, enough) >= enough) == (plain_guess(v, ranks) >= enough), v
+    assert secret_scan.guess_digits("adminnnn") < 3.5 and secret_scan.guess_digits("password") < 1 and secret_scan.guess_digits("x9Kq2LmZ8vRt") > 15
+
+
+def test_long_values_are_judged_like_short_ones():
+    for times in (51, 52, 40_000):  # a unit said again costs the unit and the number of times at any length
+        want = 5 * math.log10(26) + math.log10(2 * times)
+        assert want - 1.5 < secret_scan.guess_digits("abcde" * times, {}, enough=20.0) <= want + 1e-9
+    rng = random.Random(2)
+    assert secret_scan.guess_digits("".join(rng.choices("abcdefghijkLMNOP0123456789", k=2_000_000)), enough=10.0) >= 10
+    text = "x " * 500_000 + "password = " + "abcde" * 60 + " token: " + "".join(rng.choices("bcdfghjklmnpq0123456789", k=400))
+    assert [k for _, k, _ in secret_scan.scan(text)].count(3) == 1
+
+
+def test_words_are_learned_from_the_corpus(spark):
+    rows = [(i, f"Kolmeneljä {'rareword' if i < 2 else ''} Éa x" * 2, None, None, None) for i in range(5)] + [(9, None, None, None, None), (10, "password=kolmeneljä!", None, None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    ranks = secret_scan.frequent_words(docs)
+    assert ranks["password"] == 1 and ranks["kolmeneljä"] == len(secret_scan.RANK) + 1 and "rareword" not in ranks
+    assert {r.doc_id: r["spans"] for r in secret_scan.find_secrets(docs).collect()}[10] == ""
+    assert "guess" in {r.doc_id: r["spans"] for r in secret_scan.find_secrets(docs, ranks=secret_scan.RANK).collect()}[10]
+    assert secret_scan.find_secrets(docs.limit(0)).count() == 0 and secret_scan.mask_secrets(docs.limit(0)).count() == 0
 
 
 def base_personal(text):
@@ -570,6 +624,39 @@ def test_personal_data(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_disclosing_terms_equal_brute_force(spark):
+    """All four probabilities over different texts, on a corpus with many copies."""
+    rng = random.Random(17)
+    names, vocabulary, texts = [f"p{i}@mail.org" for i in range(12)], words(rng, 60), []
+    for _ in range(260):
+        w = rng.choices(vocabulary, k=25)
+        if rng.random() < 0.6:
+            i = rng.randrange(len(names))
+            w[rng.randrange(25)] = f"{names[i]} Owner{'abcdefghijkl'[i]}"
+        texts.append(" ".join(w))
+    texts += [t for t in texts[:40] for _ in range(rng.randint(1, 30))] + [None, "", None]
+    different = sorted({t for t in texts if t is not None})
+    near, said, entities = {}, {}, {}
+    for t in different:
+        for w in {x.lower() for x in re.findall(r"[^\W\d_]{3,}", t)}:
+            said[w] = said.get(w, 0) + 1
+        pairs = set()
+        for m in re.finditer(r"[\w]+@mail\.org", t):
+            entities.setdefault(m[0], set()).add(t)
+            for x in re.finditer(r"[^\W\d_]{3,}", t):
+                if x.end() <= m.end() + 100 and x.start() >= m.start() - 100 and not (x.start() < m.end() and m.start() < x.end()):
+                    pairs.add((m[0], x[0].lower()))
+        for pair in pairs:
+            near[pair] = near.get(pair, 0) + 1
+    n = len(different) + 1  # null is a text of its own
+    want = {(c, t) for (c, t), k in near.items() if k >= 3 and math.log(k * n / (len(entities[c]) * said[t])) >= 0.8 * math.log(n / len(entities[c]))}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    rows = df.select(F.col("doc_id").alias("id__"), F.col("text").alias("text__"), F.xxhash64("text").alias("h__"))
+    found = rows.select("id__", "h__", pii._examine(F.col("text__")).alias("f")).select("id__", "h__", "f.*")
+    got = {(r.c.removeprefix("email:"), r.t) for r in pii.disclosing_terms(found, rows).collect()}
+    assert got == want and len(want) >= 8
+
+
 def test_copies_of_a_text_leave_its_terms(spark):
     texts = [f"Mister Zanzibar wrote from zan@bar.org and {x}" for x in ("one", "two", "three")]
     texts += texts[:1] * 100 + [" ".join(words(random.Random(i), 20)) for i in range(200)]
