@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import packed, unpacked
+from strataframe.llm.common import packed, saved, unpacked
 
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -29,6 +29,8 @@ HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 LEAST_DIGITS = 10.0
 #: Size of the dictionary learned from the corpus, and the documents a word of it stands in at least.
 MOST_WORDS, LEAST_DOCUMENTS = 20_000, 3
+#: Classes of frequency for each doubling.
+CLASSES = 16
 #: Letters of a dictionary word.
 SHORTEST, LONGEST = 3, 20
 
@@ -133,13 +135,23 @@ def guess_digits(value: str, ranks: dict[str, int] = RANK, enough: float = math.
 
 def frequent_words(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_DOCUMENTS) -> dict[str, int]:
     """Ranks of words: the fixed list first, then the corpus's words of 3 to 20 letters by the number of
-    documents of ``docs(text)`` they stand in.  All documents count; ``most`` is the dictionary's size."""
+    documents of ``docs(text)`` they stand in.  All documents count.  The dictionary takes whole
+    classes of like frequency while they fit in ``most``, so no more words than that reach the driver."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     said = docs.select(F.explode(words).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
     often = said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    often = saved(often.withColumn("class", F.floor(F.log2("n") * CLASSES)))
+    total, lowest = 0, math.inf
+    for row in often.groupBy("class").count().orderBy(F.desc("class")).collect():
+        total += row["count"]
+        if total > most:
+            break
+        lowest = row["class"]
     ranks = dict(RANK)
-    for row in often.orderBy(F.desc("n"), "w").limit(most).collect():
-        ranks.setdefault(row.w, len(ranks) + 1)
+    if total:
+        found = often.where(F.col("class") >= F.lit(lowest)).select("w", "n").collect()
+        for row in sorted(found, key=lambda r: (-r.n, r.w)):
+            ranks.setdefault(row.w, len(ranks) + 1)
     return ranks
 
 
