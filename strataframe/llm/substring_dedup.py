@@ -2,11 +2,12 @@
 
 Rolling-hash triggers cut every text into phrases that overlap by one byte less than the length
 sought, so each string of that length starts in exactly one phrase, and equal strings start at equal
-places of phrases with equal triggers.  The parse is then the list of phrases with their places, the
-dictionary the list of different phrases.  A string occurs elsewhere if its phrase occurs twice in
-the parse, or if another phrase of the dictionary has a suffix that begins with it.  As only equality
-up to the length counts, the dictionary's suffixes are brought together by fingerprints of that
-length, within the phrases that share a trigger, where a suffix array would sort them."""
+distances from equal triggers.  The parse is then the list of phrases with their places, the
+dictionary the list of different phrases.  Strings of a phrase that stands twice in the parse are
+repeated.  For the others the dictionary's suffixes that begin at triggers are sorted, and so is what
+stands before the triggers, read backwards; as a string never leaves its phrase, the second order
+takes the part of the parse's.  The common prefixes of neighbours in both orders tell which strings
+begin alike on either side of a trigger, byte by byte: that is their place in the corpus's order."""
 
 from __future__ import annotations
 
@@ -19,15 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm.common import hinted, packed, saved, small_enough, unpacked
-from strataframe.llm.shingles import U, chunks, mixed, prefix_hashes, span_hashes
+from strataframe.llm.shingles import U, mixed, prefix_hashes, slices, span_hashes
 
 LENGTH = 400
 #: A trigger is the least rolling hash of GRAM bytes within the first ZONE bytes of a string; its key
 #: is the hash of the KEY bytes from the trigger on, which the string holds too.
 GRAM, KEY = 16, 128
 ZONE = LENGTH - KEY
-#: Phrases of one trigger that a task takes at once; more are compared string by string, spread out.
-MOST_PHRASES = 20_000
+#: Phrases of one trigger that a task sorts at once; more are compared string by string, spread out.
+MOST_PHRASES = 50_000
+#: Phrases of several triggers that a task sorts at once; bytes of a text that are parsed at once.
+BATCH, PIECE = 8192, 1 << 20
+#: Bits of a place within the bytes parsed at once, which are fewer than 2 * PIECE.
 PLACE_BITS = 28
 
 
@@ -65,7 +69,6 @@ def parse(texts: list[bytes]) -> dict[str, np.ndarray]:
     last = np.append(first[1:], len(starts)) - 1
     lo, hi, p = starts[first], starts[last], trigger[first]
     text = np.searchsorted(begins, lo, side="right") - 1
-    text = np.maximum.reduce([text, text])
     own = begins[text]
     return {
         "text": text,
@@ -80,15 +83,33 @@ def parse(texts: list[bytes]) -> dict[str, np.ndarray]:
 PARSE = "id long, h int, lo int, p int, hi int, key long, ctx long"
 
 
+def pieces(texts: list[str]):
+    """Lists of (number of the text, place, bytes) of about PIECE bytes in all; a longer text is cut into
+    pieces that overlap by one byte less than the length, so each string lies in one piece."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        data = text.encode("utf-8", "surrogatepass")
+        for a in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+            part = data[a : a + PIECE + LENGTH - 1]
+            if held and size + len(part) > PIECE:
+                yield held
+                held, size = [], 0
+            held.append((i, a, part))
+            size += len(part)
+    if held:
+        yield held
+
+
 def _parsed(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         ids, hashes = batch.column("id"), batch.column("h")
-        for first, part in chunks(batch.column("text").to_pylist()):
-            found = parse(part)
-            at = pa.array(found["text"] + first)
+        for held in pieces(batch.column("text").to_pylist()):
+            found = parse([x[2] for x in held])
+            at = pa.array(np.array([x[0] for x in held], np.int64)[found["text"]])
+            place = np.array([x[1] for x in held], np.int64)[found["text"]]
             yield pa.RecordBatch.from_arrays(
                 [ids.take(at), hashes.take(at)]
-                + [pa.array(found[c].astype(np.int32)) for c in ("lo", "p", "hi")]
+                + [pa.array((found[c] + place).astype(np.int32)) for c in ("lo", "p", "hi")]
                 + [pa.array(found[c]) for c in ("key", "ctx")],
                 names=[c.split()[0] for c in PARSE.split(", ")],
             )
@@ -99,9 +120,18 @@ PHRASES = "id long, h int, lo int, p int, hi int, key long, many boolean, crowde
 
 def _cut(batches):
     """The bytes of each phrase asked for, from the whole texts."""
-    for batch in batches:
-        out: dict[str, list] = {c.split()[0]: [] for c in PHRASES.split(", ")}
-        for row in batch.to_pylist():
+    kinds = {"id": pa.int64(), "h": pa.int32(), "lo": pa.int32(), "p": pa.int32(), "hi": pa.int32(), "key": pa.int64(), "many": pa.bool_(), "crowded": pa.bool_(), "phrase": pa.binary()}
+    out: dict[str, list] = {c: [] for c in kinds}
+
+    def flushed():
+        made = pa.RecordBatch.from_arrays([pa.array(out[c], kinds[c]) for c in out], names=list(out))
+        for column in out.values():
+            column.clear()
+        return made
+
+    for batch in (part for whole in batches for part in slices(whole)):
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             data = row["text"].encode("utf-8", "surrogatepass")
             for x in row["asked"]:
                 for c in ("lo", "p", "hi", "key", "many", "crowded"):
@@ -109,84 +139,113 @@ def _cut(batches):
                 out["id"].append(row["id"])
                 out["h"].append(row["h"])
                 out["phrase"].append(data[x["lo"] : x["hi"] + LENGTH])
-        kinds = {"id": pa.int64(), "h": pa.int32(), "lo": pa.int32(), "p": pa.int32(), "hi": pa.int32(), "key": pa.int64(), "many": pa.bool_(), "crowded": pa.bool_(), "phrase": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array(out[c], kinds[c]) for c in out], names=list(out))
+                if len(out["id"]) >= BATCH:
+                    yield flushed()
+    yield flushed()
+
+
+def _ordered(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of byte rows of equal width in order within their groups, and the length of the prefix that
+    each shares with the one before it, -1 at the first of a group."""
+    n, width = rows.shape
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(rows.view(f"S{width}").ravel(), kind="stable")] = np.arange(n)
+    order = np.lexsort((rank, group))
+    here = rows[order]
+    other = here[1:] != here[:-1]
+    shared = np.where(other.any(axis=1), other.argmax(axis=1), width)
+    shared[group[order][1:] != group[order][:-1]] = -1
+    return order, np.append(-1, shared)
+
+
+def repeated_distances(phrases: list[bytes], before: np.ndarray, after: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each phrase the least and the greatest distance from the trigger back to the start of a string
+    that another phrase of its group holds too; -1 for none.
+
+    ``before`` is the number of bytes before the trigger, the distance of the first start; ``after``
+    the distance of the last.  Two phrases share the string at distance d if they agree in the d bytes
+    before the trigger and in the LENGTH - d bytes from it on."""
+    n, widest = len(phrases), max(1, int(before.max()))
+    left, right = np.zeros((n, widest), np.uint8), np.zeros((n, LENGTH), np.uint8)
+    for i, (phrase, d) in enumerate(zip(phrases, before.tolist(), strict=True)):
+        data = np.frombuffer(phrase, np.uint8)
+        left[i, :d] = data[:d][::-1]
+        right[i, : len(data) - d] = data[d:]
+    (by_left, same_left), (by_right, same_right) = _ordered(left, group), _ordered(right, group)
+    least, most = np.full(n, -1), np.full(n, -1)
+    one, two = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(int(after.min()), int(before.max()) + 1):
+        there = np.flatnonzero((after <= d) & (d <= before))
+        if len(there) < 2:
+            continue
+        one[by_left] = np.cumsum(same_left < d)
+        two[by_right] = np.cumsum(same_right < LENGTH - d)
+        both = one[there] * (n + 1) + two[there]
+        order = np.argsort(both)
+        equal = both[order][1:] == both[order][:-1]
+        again = there[order[np.append(False, equal) | np.append(equal, False)]]
+        least[again[least[again] < 0]] = d
+        most[again] = d
+    return least, most
+
+
+def _repeated(held: list[dict]) -> pa.RecordBatch:
+    """Bytes [a, b) that repeated strings cover, for phrases that occur once.
+
+    The starts of a phrase span less than LENGTH, so what lies between the first and the last
+    repeated string of a phrase is covered without a gap."""
+    lo, p, hi, key = (np.array([x[c] for x in held], np.int64) for c in ("lo", "p", "hi", "key"))
+    least, most = repeated_distances([x["phrase"] for x in held], p - lo, p - hi, np.unique(key, return_inverse=True)[1])
+    at = np.flatnonzero((most >= 0) & ~np.array([x["many"] for x in held], bool))
+    columns = [pa.array([held[i][c] for i in at], kind) for c, kind in (("id", pa.int64()), ("h", pa.int32()))]
+    columns += [pa.array(x.astype(np.int32)) for x in ((p - most)[at], (p - least)[at] + LENGTH)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "h", "a", "b"])
+
+
+def _by_trigger(batches):
+    """Streams a partition sorted by trigger; a trigger's phrases are sorted together, BATCH or a few more at once."""
+    held: list[dict] = []
+    for batch in (part for whole in batches for part in slices(whole)):
+        for row in batch.to_pylist():
+            if len(held) >= BATCH and held[-1]["key"] != row["key"]:
+                yield _repeated(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _repeated(held)
 
 
-def suffixes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every start of every phrase: row of the phrase, place within it, fingerprint of LENGTH bytes.
+def suffixes(phrases: list[bytes], key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every start of every phrase: row of the phrase, place within it, two fingerprints of LENGTH bytes.
 
-    The key of the trigger is mixed in, so a fingerprint stands for two 64-bit hashes."""
-    phrases = frame["phrase"].tolist()
+    One is of the whole string with its trigger, the other of its halves."""
     sizes = np.array([len(x) for x in phrases])
     begins = np.cumsum(sizes) - sizes
     prefix = prefix_hashes(np.frombuffer(b"".join(phrases), np.uint8))
     n = sizes - LENGTH + 1
     row = np.repeat(np.arange(len(phrases)), n)
     place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = begins[row] + place
-    mark = span_hashes(prefix, at, at + LENGTH)
-    return row, place, mixed(mark ^ frame["key"].to_numpy(np.int64).view(U)[row])
-
-
-def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """Bytes [a, b) that repeated strings cover, for phrases that occur once.
-
-    The starts of a phrase span less than LENGTH, so what lies between the first and the last
-    repeated string of a phrase is covered without a gap."""
-    row, place, mark = suffixes(frame)
-    order = np.argsort(mark, kind="stable")
-    same = mark[order][1:] == mark[order][:-1]
-    twice = np.zeros(len(mark), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    twice &= ~frame["many"].to_numpy(bool)[row]
-    row, place = row[twice], place[twice]
-    if not len(row):
-        return pd.DataFrame({"id": [], "h": [], "a": [], "b": []})
-    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    last = np.append(first[1:], len(row)) - 1
-    own = frame.iloc[row[first]]
-    lo = own["lo"].to_numpy()
-    return pd.DataFrame({"id": own["id"].to_numpy(), "h": own["h"].to_numpy(), "a": lo + place[first], "b": lo + place[last] + LENGTH})
-
-
-def _by_trigger(batches):
-    """Streams a partition sorted by trigger; a trigger's phrases are looked at together."""
-    held, size = [], 0
-    for batch in batches:
-        frame = batch.to_pandas()
-        edges = np.flatnonzero(frame["key"].to_numpy()[1:] != frame["key"].to_numpy()[:-1]) + 1
-        for part in np.split(np.arange(len(frame)), edges):
-            rows = frame.iloc[part]
-            if size > 1 << 22 and held and held[-1]["key"].iloc[-1] != rows["key"].iloc[0]:
-                yield _spans(_repeated(pd.concat(held, ignore_index=True)))
-                held, size = [], 0
-            held.append(rows)
-            size += int(rows["phrase"].map(len).sum())
-    if held:
-        yield _spans(_repeated(pd.concat(held, ignore_index=True)))
+    at, half = begins[row] + place, LENGTH // 2
+    whole = mixed(span_hashes(prefix, at, at + LENGTH) ^ key.view(U)[row])
+    return row, place, whole, mixed(span_hashes(prefix, at, at + half) ^ mixed(span_hashes(prefix, at + half, at + LENGTH) + U(1)))
 
 
 SPANS = "id long, h int, a int, b int"
 
 
-def _spans(frame: pd.DataFrame) -> pa.RecordBatch:
-    ids = pa.array(frame["id"], pa.int64(), from_pandas=True)
-    return pa.RecordBatch.from_arrays([ids] + [pa.array(frame[c].to_numpy(np.int32)) for c in ("h", "a", "b")], names=["id", "h", "a", "b"])
+STRINGS = "mark long, other long, id long, h int, s int, lo int, many boolean"
 
 
 def _each_string(batches):
     """Every string of crowded triggers as a row of its own."""
-    for batch in batches:
-        frame = batch.to_pandas()
-        if len(frame):
-            row, place, mark = suffixes(frame)
-            own = frame.iloc[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mark.view(np.int64)), pa.array(own["id"], pa.int64(), from_pandas=True), pa.array(own["h"].to_numpy(np.int32)), pa.array((own["lo"].to_numpy() + place).astype(np.int32)), pa.array(own["lo"].to_numpy(np.int32)), pa.array(own["many"].to_numpy(bool))],
-                names=["mark", "id", "h", "s", "lo", "many"],
-            )
+    for batch in (part for whole in batches for part in slices(whole)):
+        if batch.num_rows:
+            row, place, mark, other = suffixes(batch.column("phrase").to_pylist(), batch.column("key").to_numpy())
+            at = pa.array(row)
+            lo = batch.column("lo").take(at)
+            start = pa.array((lo.to_numpy() + place).astype(np.int32))
+            columns = [pa.array(mark.view(np.int64)), pa.array(other.view(np.int64)), batch.column("id").take(at), batch.column("h").take(at), start, lo, batch.column("many").take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in STRINGS.split(", ")])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -209,9 +268,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     there = texts.join(hinted(by_text, small_enough(asked_size(by_text), 40)), on).dropDuplicates(["i", "g"])
     cut = saved(there.select("id", "h", "text", "asked").mapInArrow(_cut, PHRASES))
     once = cut.where("not crowded").repartition("key").sortWithinPartitions("key").mapInArrow(_by_trigger, SPANS)
-    strings = cut.where("crowded").mapInArrow(_each_string, "mark long, id long, h int, s int, lo int, many boolean")
-    twice = strings.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    rest = strings.where("not many").join(twice, "mark", "left_semi").groupBy("id", "h", "lo").agg(F.min("s").alias("a"), (F.max("s") + LENGTH).alias("b"))
+    strings = cut.where("crowded").mapInArrow(_each_string, STRINGS)
+    twice = strings.groupBy("mark", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "other")
+    rest = strings.where("not many").join(twice, ["mark", "other"], "left_semi").groupBy("id", "h", "lo").agg(F.min("s").alias("a"), (F.max("s") + LENGTH).alias("b"))
     return whole.union(once).union(rest.select("id", "h", "a", "b"))
 
 

@@ -107,6 +107,11 @@ def test_substring_dedup_crowded_and_edges(spark, docs, monkeypatch):
     before = sorted(map(tuple, substring_dedup.find_repeats(docs).collect()))
     monkeypatch.setattr(substring_dedup, "MOST_PHRASES", 1)
     assert sorted(map(tuple, substring_dedup.find_repeats(docs).collect())) == before
+    monkeypatch.undo()
+    for name, value in (("PIECE", 700), ("BATCH", 3)):  # long texts are cut into pieces, triggers sorted by few
+        monkeypatch.setattr(substring_dedup, name, value)
+    assert sorted(map(tuple, substring_dedup.find_repeats(docs).collect())) == before
+    monkeypatch.undo()
     assert substring_dedup.find_repeats(docs.limit(0)).count() == 0
     same = docs.where("doc_id = 0").union(docs.where("doc_id = 0")).withColumn("text", F.repeat("text", 9))
     assert all(r.n_removed == r.n_bytes for r in substring_dedup.find_repeats(same).collect())
@@ -114,6 +119,43 @@ def test_substring_dedup_crowded_and_edges(spark, docs, monkeypatch):
     assert left[0].text == corpus()[0][1][:0] or left[0].h == "mine"
 
 
+def test_repeated_distances_equal_brute_force():
+    rng, n = random.Random(13), substring_dedup.LENGTH
+    core, phrases, before, after, group = bytes(rng.choices(range(256), k=900)), [], [], [], []
+    for i in range(120):  # bytes around a trigger at 450, changed here and there
+        data = bytearray(core)
+        for _ in range(rng.randint(0, 3)):
+            data[rng.randrange(900)] = rng.randrange(3)
+        d, e = rng.randint(0, 256), rng.randint(0, 256)
+        d, e = max(d, e), min(d, e)
+        phrases.append(bytes(data[450 - d : 450 - e + n]))
+        before.append(d)
+        after.append(e)
+        group.append(i % 3)
+    least, most = substring_dedup.repeated_distances(phrases, np.array(before), np.array(after), np.array(group))
+    seen = {}
+    for i, (x, d) in enumerate(zip(phrases, before, strict=True)):
+        for s in range(len(x) - n + 1):
+            seen.setdefault((group[i], d - s, x[s : s + n]), []).append(i)
+    want = {}
+    for (_, d, _), who in seen.items():
+        if len(who) > 1:
+            for i in who:
+                want.setdefault(i, []).append(d)
+    assert [(a, b) for a, b in zip(least.tolist(), most.tolist(), strict=True)] == [(min(want[i]), max(want[i])) if i in want else (-1, -1) for i in range(120)]
+    assert 10 < len(want) < 110
+
+
+def test_very_long_texts(spark):
+    """10 MB of text in one row: random, but for a passage of it that stands in another row and once more in itself."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 10_000_000).astype(np.uint8).tobytes().decode()
+    passage = data[5_000_000:5_001_500]
+    rows = [(0, data + passage, None, None, None), (1, f"before {passage[:1000]} after", None, None, None), (2, data[:300], None, None, None)]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substring_dedup.find_repeats(spark.createDataFrame(rows, DOC)).collect()}
+    assert found == {0: (10_001_500, 3000, 2), 1: (1013, 1000, 1), 2: (300, 0, 0)}
+
+
 def plain_weights(rows):
     """TF-IDF weights of shingles of five words, word by word, without the operator's code."""
     sets = {}
