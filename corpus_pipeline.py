@@ -10,28 +10,36 @@ from strataframe.llm.common import saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without a letter.  ``lang`` stays as it is."""
+    """Documents without a language go: null texts and those without a letter.  ``lang`` stays as it is.
+
+    On a table without a label nothing is learned; then too only texts without a letter go."""
     found = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "lang"))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("doc.*")
+    known = (F.col("lang_pred") != language_id.UNKNOWN) | F.col("text").rlike(r"\p{L}")
+    return found.where(known).select("doc.*")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of least doc_id."""
+    """One document of each group of near copies stays: the one of least doc_id.
+
+    Texts without a word and rows without an id stay; of rows equal in id and text one stays."""
     return near_dedup.deduplicate(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.  Null texts, and all texts if the benchmark is empty, stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's rate says."""
+    """Each document as many times as its source's rate says; a null source is one of its own.
+
+    Copies have equal rows, and rows that share an id share its chance of one more copy."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of near equal bytes, rows numbered within each."""
+    """Eight shards of near equal bytes, rows numbered within each; null texts take one byte, equal rows
+    follow each other."""
     return sharding.shard_documents(docs, 8)
 
 
