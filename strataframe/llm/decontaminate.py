@@ -103,24 +103,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """All columns of ``docs(doc_id, text, ...)`` and n_words, n_hit, n_items, items_sha256,
     contaminated, hit_spans (sorted word ranges).
 
-    A benchmark up to ``limit`` measured bytes is broadcast; beyond it the same join shuffles short
-    word blocks, never texts.  Rows are matched by doc_id and a hash of the text, so repeated ids and
+    A benchmark, and hits, up to ``limit`` measured bytes are broadcast; beyond it the same joins
+    shuffle short word blocks, and the rows to which hits are attached.  Rows are matched by doc_id and a hash of the text, so repeated ids and
     rows keep their own results.  Null and wordless texts and items have no windows; an item_id that
     is null counts under the name "null"; an empty benchmark hits nothing."""
-    rows = packed(docs).select(
-        "row__",
-        F.col("row__.doc_id").alias("id__"),
-        F.xxhash64("row__.text").alias("h__"),
-        F.col("row__.text").alias("text__"),
-    )
-    found = occurrences(rows, benchmark, window, limit).withColumnRenamed("id__", "i__").withColumnRenamed("h__", "g__")
-    both = rows.join(found, F.col("id__").eqNullSafe(F.col("i__")) & (F.col("h__") == F.col("g__")), "left")
+    text = F.col("row__.text")
+    rows = packed(docs).select("row__", F.col("row__.doc_id").alias("id__"), F.xxhash64(text).alias("h__"), text.alias("text__"))
+    found = saved(occurrences(rows, benchmark, window, limit).withColumnRenamed("id__", "i__").withColumnRenamed("h__", "g__"))
+    size = found.agg(F.sum(48 + 16 * F.size("spans") + F.length(F.array_join("items", "________")))).first()[0]
+    # Words are counted below the join, so that it carries no text that the caller doesn't ask for.
+    counted = rows.select("row__", "id__", "h__", word_count(normalised(F.col("text__"))).alias("n__"))
+    on = F.col("id__").eqNullSafe(F.col("i__")) & (F.col("h__") == F.col("g__"))
+    both = counted.join(hinted(found, (size or 0) <= limit), on, "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     none = F.array().cast("array<struct<p:int,e:int>>")
     return unpacked(
         both,
         docs.columns,
-        n_words=word_count(normalised(F.col("text__"))),
+        n_words=F.col("n__"),
         n_hit=F.coalesce(covered(F.col("spans")), F.lit(0).cast("long")),
         n_items=F.size(items).cast("long"),
         items_sha256=F.sha2(F.array_join(F.sort_array(items), ","), 256),
