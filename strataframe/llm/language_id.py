@@ -15,6 +15,8 @@ from strataframe.llm.common import packed, saved, unpacked
 ORDERS, TOP = (1, 2, 3), 300
 #: About this many labelled documents, chosen by hash, teach the profiles of each language.
 SAMPLE = 4000
+#: Texts whose n-grams a task holds at once.
+TOGETHER = 64
 UNKNOWN = "und"
 #: Character codes take 21 bits each in an n-gram; this one stands for a run of other characters.
 BITS, GAP = 21, 1
@@ -63,10 +65,12 @@ def _count(batches):
     totals: dict[str, dict[int, int]] = {}
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            grams, counts = np.unique(np.concatenate([ngrams(t) for t in texts]), return_counts=True)
             own = totals.setdefault(lang, {})
-            for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
-                own[g] = own.get(g, 0) + n
+            for first in range(0, len(texts), TOGETHER):
+                held = [ngrams(t) for t in texts.iloc[first : first + TOGETHER]]
+                grams, counts = np.unique(np.concatenate(held), return_counts=True)
+                for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
+                    own[g] = own.get(g, 0) + n
     for lang, own in totals.items():
         yield pd.DataFrame({"lang": lang, "gram": list(own), "n": list(own.values())})
 

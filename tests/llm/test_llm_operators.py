@@ -405,6 +405,45 @@ def test_language_id(spark):
     assert again == {r.doc_id: r.lang_pred for r in found}
 
 
+def plain_grams(text):
+    """Counts of n-grams of 1 to 3 characters, runs of what is no letter being one space."""
+    kept = " ".join("".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split())
+    padded, found = f" {kept} " if kept else "", {}
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            g = padded[i : i + n]
+            if g != " ":
+                found[g] = found.get(g, 0) + 1
+    return found
+
+
+def plain_ranks(found):
+    """The 300 most frequent n-grams, ties as a gap before all letters, then by character."""
+    key = lambda g: sum((1 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(found, key=lambda g: (-found[g], key(g)))[:300]
+
+
+def test_language_id_equals_brute_force(spark):
+    """Profiles and predictions by an out-of-place classifier in plain Python, row by row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows, learned = docs.collect(), {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            own = learned.setdefault(r.lang, {})
+            for g, n in plain_grams(r.text).items():
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(plain_ranks(own))} for lang, own in learned.items()}
+    want = {}
+    for r in rows:
+        mine = plain_ranks(plain_grams(r.text))
+        far = {lang: sum(abs(p[g] - i) if g in p else 300 for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[r.doc_id] = (best, 1 - far[best] / (300 * len(mine))) if mine else ("und", 0.0)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    assert {i: x for i, (x, _) in found.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(found[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
 def test_language_id_on_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert language_id.accuracy(language_id.identify(docs)).first().accuracy > 0.97
