@@ -47,3 +47,21 @@ def with_row_index(df: DataFrame, *order: str | Column, name: str = "row_index")
     both = rows.withColumn("part__", part).join(F.broadcast(starts), "part__")
     place = F.col("start__") + F.col("mark__").bitwiseAND((1 << 33) - 1)
     return both.select(*[F.col(f"`{c}`") for c in df.columns], place.cast("long").alias(name))
+
+
+def with_running_sums(df: DataFrame, order: Column, sums: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with running sums ``{new name: column}`` in the given order, the row's own value included.
+
+    Within ``keys`` a window does it.  Over a whole table the rows are dealt into ranges of the order,
+    summed within each, and the sums of earlier ranges, one row for each, are added; so no task sees
+    more than its range."""
+    if keys:
+        down = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(c).over(down) for name, c in sums.items()})
+    rows = saved(df.repartitionByRange(order).withColumn("part__", F.spark_partition_id()))
+    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("part__").agg(*[F.sum(c).alias(f"{name}__") for name, c in sums.items()])
+    starts = ranges.select("part__", *[F.coalesce(F.sum(f"{name}__").over(before), F.lit(0)).alias(f"{name}__") for name in sums])
+    within = Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.join(F.broadcast(starts), "part__")
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.sum(c).over(within) + F.col(f"{name}__")).alias(name) for name, c in sums.items()])

@@ -31,6 +31,80 @@ def area(side: str = "") -> Column:
     return (x1 - x0) * (y1 - y0)
 
 
+#: Names of box modes in two and three dimensions.
+MODES = ("xyxy", "xyzxyz", "xxyy", "xxyyzz", "xyxyzz", "xywh", "xyzwhd", "ccwh", "cccwhd")
+
+
+def corners_of(box: Column, mode: str) -> tuple[list[Column], list[Column]]:
+    """Least and greatest corner of a box given as an array in ``mode``, one column for each axis."""
+    if mode not in MODES:
+        raise ValueError(f"unknown box mode {mode!r}; known: {', '.join(MODES)}")
+    n = len(mode) // 2
+    at = [F.get(box, F.lit(i)) for i in range(2 * n)]
+    if mode in ("xyxy", "xyzxyz"):
+        return at[:n], at[n:]
+    if mode in ("xxyy", "xxyyzz"):
+        return at[::2], at[1::2]
+    if mode == "xyxyzz":
+        return [at[0], at[1], at[4]], [at[2], at[3], at[5]]
+    if mode in ("xywh", "xyzwhd"):
+        return at[:n], [a + size for a, size in zip(at[:n], at[n:], strict=True)]
+    return [c - size / 2 for c, size in zip(at[:n], at[n:], strict=True)], [c + size / 2 for c, size in zip(at[:n], at[n:], strict=True)]
+
+
+def convert_mode(box: Column, source: str, target: str) -> Column:
+    """A box array from one mode to another of as many dimensions."""
+    if target not in MODES or len(source) != len(target):
+        raise ValueError(f"can't turn {source!r} into {target!r}")
+    low, high = corners_of(box, source)
+    sizes = [b - a for a, b in zip(low, high, strict=True)]
+    if target in ("xyxy", "xyzxyz"):
+        values = low + high
+    elif target in ("xxyy", "xxyyzz"):
+        values = [x for pair in zip(low, high, strict=True) for x in pair]
+    elif target == "xyxyzz":
+        values = [low[0], low[1], high[0], high[1], low[2], high[2]]
+    elif target in ("xywh", "xyzwhd"):
+        values = low + sizes
+    else:
+        values = [(a + b) / 2 for a, b in zip(low, high, strict=True)] + sizes
+    return F.when(box.isNotNull(), F.array(*values))
+
+
+def valid_box(box: Column, mode: str) -> Column:
+    """Whether no side is negative; null if the box or a number of it is."""
+    low, high = corners_of(box, mode)
+    fine = F.lit(True)
+    for a, b in zip(low, high, strict=True):
+        fine = fine & (a <= b)
+    return fine
+
+
+def box_volume(box: Column, mode: str) -> Column:
+    """Area or volume of a box array."""
+    size = F.lit(1.0)
+    for a, b in zip(*corners_of(box, mode), strict=True):
+        size = size * (b - a)
+    return size
+
+
+def center_inside(point: Column, box: Column, mode: str, eps: float = 0.01) -> Column:
+    """Whether a point (an array) lies within the box, more than ``eps`` from every side."""
+    inside = F.lit(True)
+    for i, (a, b) in enumerate(zip(*corners_of(box, mode), strict=True)):
+        x = F.get(point, F.lit(i))
+        inside = inside & (F.least(x - a, b - x) > eps)
+    return inside
+
+
+def center_distance(a: Column, b: Column, mode: str) -> Column:
+    """Euclidean distance between the centres of two box arrays."""
+    total = F.lit(0.0)
+    for (p, q), (r, s) in zip(zip(*corners_of(a, mode), strict=True), zip(*corners_of(b, mode), strict=True), strict=True):
+        total = total + F.pow((p + q) / 2 - (r + s) / 2, F.lit(2.0))
+    return F.sqrt(total)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, image: str, cell: float) -> DataFrame:
     """Pairs of boxes of one image that overlap, with intersection, iou and giou.
 

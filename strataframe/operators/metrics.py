@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.core.storage import with_running_sums
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b in double, null where b is 0."""
@@ -60,9 +62,9 @@ def _score_groups(df: DataFrame, keys: list[str], score: str, truth: str) -> Dat
 
 def roc_auc(df: DataFrame, keys: list[str], score: str, truth: str) -> DataFrame:
     """Area under the ROC curve; ties get half credit; null if only one label is there."""
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     groups = _score_groups(df, keys, score, truth).withColumn("neg__", F.col("n__") - F.col("pos__"))
-    under = F.coalesce(F.sum("neg__").over(below), F.lit(0))
+    groups = with_running_sums(groups, F.col(score).asc(), {"upto__": "neg__"}, tuple(keys))
+    under = F.col("upto__") - F.col("neg__")
     wins = groups.withColumn("wins__", F.col("pos__") * (under + F.col("neg__") / 2.0))
     return wins.groupBy(*keys).agg(
         F.sum("pos__").alias("n_pos"), F.sum("neg__").alias("n_neg"), ratio(F.sum("wins__"), F.sum("pos__") * F.sum("neg__")).alias("auc")
@@ -71,9 +73,8 @@ def roc_auc(df: DataFrame, keys: list[str], score: str, truth: str) -> DataFrame
 
 def average_precision(df: DataFrame, keys: list[str], score: str, truth: str) -> DataFrame:
     """Sum over distinct scores of precision times the recall gained; null without a positive."""
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    groups = _score_groups(df, keys, score, truth)
-    cut = groups.withColumn("gain__", F.sum("pos__").over(down) / F.sum("n__").over(down) * F.col("pos__"))
+    groups = with_running_sums(_score_groups(df, keys, score, truth), F.desc(score), {"tp__": "pos__", "all__": "n__"}, tuple(keys))
+    cut = groups.withColumn("gain__", F.col("tp__") / F.col("all__") * F.col("pos__"))
     return cut.groupBy(*keys).agg(F.sum("pos__").alias("n_pos"), ratio(F.sum("gain__"), F.sum("pos__")).alias("ap"))
 
 
@@ -108,15 +109,15 @@ def generalized_dice(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 def reduce_metric(df: DataFrame, sample: str, channel: str, value: str) -> DataFrame:
     """All reductions of a sample x class table of values, nulls left out and an empty mean being 0."""
-    by_sample = df.groupBy(sample).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("n"))
-    by_class = df.groupBy(channel).agg(F.avg(value).alias("m"), F.sum(value).alias("s"))
+    by_sample = df.groupBy(sample).agg(F.avg(value).alias("mean__"), F.sum(value).alias("sum__"), F.count(value).alias("n__"))
+    by_class = df.groupBy(channel).agg(F.avg(value).alias("mean__"), F.sum(value).alias("sum__"))
     a = by_sample.agg(
-        F.coalesce(F.avg("m"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.sum("s"), F.lit(0.0)).alias("sum"),
-        F.coalesce(F.avg(F.coalesce("s", F.lit(0.0))), F.lit(0.0)).alias("mean_batch_of_sums"),
-        F.sum("n").alias("not_nans"),
+        F.coalesce(F.avg("mean__"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.sum("sum__"), F.lit(0.0)).alias("sum"),
+        F.coalesce(F.avg(F.coalesce("sum__", F.lit(0.0))), F.lit(0.0)).alias("mean_batch_of_sums"),
+        F.sum("n__").alias("not_nans"),
     )
-    b = by_class.agg(F.coalesce(F.avg(F.coalesce("m", F.lit(0.0))), F.lit(0.0)).alias("mean_of_class_means"), F.max("s").alias("largest_class_sum"))
+    b = by_class.agg(F.coalesce(F.avg(F.coalesce("mean__", F.lit(0.0))), F.lit(0.0)).alias("mean_of_class_means"), F.max("sum__").alias("largest_class_sum"))
     return a.crossJoin(b)
 
 
@@ -140,8 +141,7 @@ def froc_curve(df: DataFrame, score: str, truth: str, images: int) -> DataFrame:
     """False positives per image and sensitivity for all thresholds but the least score, and the zero point."""
     groups = _score_groups(df, [], score, truth).withColumn("neg__", F.col("n__") - F.col("pos__"))
     total = groups.agg(F.sum("pos__").alias("all__"), F.min(score).alias("least__"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # one row for each distinct score
-    curve = groups.withColumns({"tp": F.sum("pos__").over(down), "fp": F.sum("neg__").over(down)}).crossJoin(F.broadcast(total))
+    curve = with_running_sums(groups, F.desc(score), {"tp": "pos__", "fp": "neg__"}).crossJoin(F.broadcast(total))
     points = curve.where(F.col(score) > F.col("least__")).select(
         F.col(score).cast("double").alias("threshold"), (F.col("fp") / images).alias("fps_per_image"), ratio(F.col("tp"), F.col("all__")).alias("sensitivity")
     )

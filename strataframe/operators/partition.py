@@ -91,5 +91,11 @@ def weighted_pick(df: DataFrame, weight: str, draws: int, *order: str, seed: int
     text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string")))
     point = F.conv(F.substring(text, 1, 12), 16, 10).cast("double") / float(1 << 48) * whole
     rows = summed.withColumn("low__", F.col("high__") - F.col("w__"))
-    picked = F.broadcast(points.withColumn("point", point)).join(rows, (F.col("low__") <= F.col("point")) & (F.col("point") < F.col("high__")))
+    # A point's block is found among the blocks' borders; then draws and rows meet by equality.
+    borders = starts.join(sums, "b__").select("b__", F.col("start__").alias("from__"), (F.col("start__") + F.col("s__")).alias("to__"))
+    cell = whole / 4096 or 1.0
+    near = F.explode(F.sequence(F.floor(F.col("from__") / cell), F.floor(F.col("to__") / cell)))
+    dealt = points.withColumn("point", point).withColumn("c__", F.floor(F.col("point") / cell)).join(borders.withColumn("c__", near), "c__")
+    placed = dealt.where((F.col("from__") <= F.col("point")) & (F.col("point") < F.col("to__"))).select("draw", "point", "b__")
+    picked = placed.join(rows, "b__").where((F.col("low__") <= F.col("point")) & (F.col("point") < F.col("high__")))
     return picked.drop("b__", "start__", "low__", "high__", "w__")

@@ -74,8 +74,10 @@ def flatten_struct(df: DataFrame, column: str, prefix: str | None = None) -> Dat
 
 
 def override_column(df: DataFrame, key: str, value: str, table: DataFrame, new_value: str) -> DataFrame:
-    """``value`` taken from a table that must have every key."""
+    """``value`` taken from a table that must have every key; NaN, and what the column's type can't hold, is null."""
     fresh = table.select(F.col(key).alias("k__"), F.col(new_value).alias("v__"))
     both = df.join(fresh, F.col(key) == F.col("k__"), "left")
     taken = F.when(F.col("k__").isNull(), F.raise_error(F.concat(F.lit("no override for "), F.col(key).cast("string")))).otherwise(F.col("v__"))
-    return both.withColumn(value, taken.cast(df.schema[value].dataType)).drop("k__", "v__")
+    if table.schema[new_value].dataType.typeName() in ("double", "float"):
+        taken = F.when(~F.isnan(taken), taken)
+    return both.withColumn(value, taken.try_cast(df.schema[value].dataType)).drop("k__", "v__")

@@ -1,4 +1,4 @@
 """Registered queries: each applies an operator to whole tables and names its DuckDB counterpart."""
 
-from strataframe.queries import array_queries, box_queries, graph_queries, metric_queries, stat_queries, table_queries, window_queries  # noqa: F401
+from strataframe.queries import array_queries, box_queries, column_queries, graph_queries, metric_queries, stat_queries, table_queries, window_queries  # noqa: F401
 from strataframe.queries.registry import QUERIES, SQL  # noqa: F401
