@@ -14,11 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it's unset, as in tests, a temporary folder of this machine."""
+    """``spark.checkpoint.dir``; where it's unset, as in tests, a temporary folder of this machine.
+
+    On a cluster other machines can't see such a folder, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc()
         if java.getCheckpointDir().isEmpty():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataframe-"))
         found = java.getCheckpointDir().get()
     return found.rstrip("/")
