@@ -15,11 +15,14 @@ BROADCAST_LIMIT = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (local tests), a temporary folder is made once and set."""
+    Where the session leaves it unset (local tests), a temporary folder is made once and set; on a
+    cluster other machines couldn't see that, so there it's an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc()
         if java.getCheckpointDir().isEmpty():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataframe-"))
         found = java.getCheckpointDir().get()
     return found.rstrip("/")
