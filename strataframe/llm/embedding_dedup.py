@@ -1,10 +1,10 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-A label of up to ``EXACT`` vectors has all its pairs compared, block by block.  For a larger one,
-each pass orders its vectors lexicographically by a concatenation of random hash bits, compares
-every vector with the neighbours in a bounded window, and keeps verified pairs; vectors that agree
-on a pass's leading bits, but are more than a window holds, are compared block by block too.  The
-pairs are united into components.  Links are then counted exactly within each component."""
+Each pass orders the vectors of a label lexicographically by a concatenation of random hash bits,
+compares every vector with the neighbours in a bounded window, and keeps verified pairs; vectors
+that agree on a pass's leading bits, but are more than a window holds, are then compared block by
+block too.  The pairs of all passes are united into components.  Links are then counted exactly
+within each component.  It goes the same way at every size."""
 
 from __future__ import annotations
 
@@ -29,8 +29,6 @@ RECALL = 0.9995
 BITS = 63
 #: Vectors of a component that one task compares with as many others.
 BLOCK = 2048
-#: Vectors of a label up to which comparing all pairs takes no more work than the passes.
-EXACT = 32768
 
 
 def leading_bits(group: int, window: int = WINDOW) -> int:
@@ -55,16 +53,15 @@ def _unit(column) -> np.ndarray:
 
 
 def _keys(passes: int):
-    """One row for each vector and pass, with the pass's concatenated bits as a long."""
+    """The concatenated bits of every pass, a long each, beside the vector."""
 
     def run(batches):
         weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 x = _unit(part["emb"])
-                for turn in range(passes):
-                    bits = x @ _planes(int(dim), turn) > 0
-                    yield part.assign(turn=turn, sortkey=bits @ weights)
+                keys = [(x @ _planes(int(dim), turn) > 0) @ weights for turn in range(passes)]
+                yield part.assign(keys=list(np.stack(keys, axis=1)))
 
     return run
 
@@ -218,30 +215,29 @@ def _compared(rows: DataFrame, sizes: DataFrame, keys: list[str], threshold: flo
 def _links(classes: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
     """Verified pairs (a, b) of class representatives, enough to connect what links.
 
-    Vectors that agree on the leading bits of a pass are all compared, so a pair is met with chance
-    ``recall`` however crowded its neighbourhood is.  A label whose crowds make that more work than
-    comparing all its pairs gets the latter."""
+    All vectors go through all passes.  Beyond that, those that agree on the leading bits of a pass
+    are all compared, so a pair is met with chance ``recall`` however crowded its neighbourhood is;
+    where the crowds of a label, added up, are more work than all its pairs, its pairs are compared
+    once instead of in every pass."""
     label, rows = ["label", "dim"], classes.select("label", "dim", "rep", "emb")
     groups = saved(classes.groupBy(*label).agg(F.count(F.lit(1)).alias("n")))
-    whole, large = groups.where(F.col("n") <= EXACT), groups.where(F.col("n") > EXACT)
-    largest = large.agg(F.max("n")).first()[0]
-    if not largest:
-        return _compared(rows, whole, label, threshold).distinct()
+    largest = groups.agg(F.max("n")).first()[0] or 0
     passes, crowd = passes_needed(largest, threshold, window, recall), [*label, "turn", "prefix"]
-    many = rows.join(hinted(large.select(*label), small_enough(large.count(), 16)), label, "left_semi").select("label", "dim", "rep", "emb")
-    keyed = many.mapInPandas(_keys(passes), "label int, dim int, rep long, emb array<float>, turn int, sortkey long")
+    # Bits are taken once; a vector is multiplied by the passes only on its way into the sort.
+    keys = saved(rows.mapInPandas(_keys(passes), "label int, dim int, rep long, emb array<float>, keys array<long>"))
+    keyed = keys.select(*label, "rep", "emb", F.posexplode("keys").alias("turn", "sortkey"))
     prefixed = keyed.withColumn("prefix", F.shiftright("sortkey", BITS - leading_bits(largest, window)))
     # Up to a window and one more, each vector of a crowd is within the window of all others.
     crowds = saved(prefixed.groupBy(*crowd).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window + 1))
     work = crowds.groupBy(*label).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
-    dense = saved(large.join(work, label).where(F.col("work") > F.col("n").cast("double") * F.col("n")).select(*label, "n"))
+    dense = saved(groups.join(work, label).where(F.col("work") > F.col("n").cast("double") * F.col("n")).select(*label, "n"))
     crowds = crowds.join(hinted(dense.select(*label), small_enough(dense.count(), 16)), label, "left_anti").select(*crowd, "n")
     order = ["turn", "label", "dim", "sortkey", "rep"]
     found = saved(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(window, threshold), EDGE))
     within = found.where("a is not null").select("a", "b")
     across = found.where("a is null").groupBy("at").applyInPandas(_bridge(window, threshold), "a long, b long")
-    exact = _compared(rows, whole.select(*label, "n").union(dense), label, threshold)
-    return within.union(across).union(_compared(prefixed, crowds, crowd, threshold)).union(exact).distinct()
+    crowded = _compared(prefixed, crowds, crowd, threshold).union(_compared(rows, dense, label, threshold))
+    return within.union(across).union(crowded).distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -252,9 +248,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     other.  What is null, zero, has a null or non-finite component, or a null label or vec_id links
     with nothing and is its own component.  Repeated rows count as copies; an empty table gives none.
 
-    All pairs of a label of up to ``EXACT`` vectors are compared; in a larger one, a pair is met with
-    chance ``recall`` or more on its own, however many vectors lie near it.  Links are counted over
-    whole components, block by block, so none within a component is missed."""
+    A pair is met with chance ``recall`` or more on its own, however many vectors lie near it and
+    whatever the label's size.  Links are counted over whole components, block by block, so none
+    within a component is missed."""
     rows = packed(vectors).select(
         "row__",
         F.col("row__.vec_id").cast("long").alias("id"),

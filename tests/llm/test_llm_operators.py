@@ -365,11 +365,8 @@ def test_embedding_blocks(spark, monkeypatch):
     assert all((r.n_links, r.component_id, r.rep) == (59, 0, 1) for r in found)
 
 
-@pytest.mark.parametrize("exact", [None, 0])
-def test_crowded_embeddings_lose_no_link(spark, monkeypatch, exact):
+def test_crowded_embeddings_lose_no_link(spark):
     """A vector and its copies with noise, most of which link with it alone, among unrelated ones."""
-    if exact is not None:
-        monkeypatch.setattr(embedding_dedup, "EXACT", exact, raising=False)
     rng = np.random.default_rng(4)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
     centre = unit(rng.standard_normal(64))
@@ -384,6 +381,21 @@ def test_crowded_embeddings_lose_no_link(spark, monkeypatch, exact):
     assert found == {i: (int(links[i]), min(i, 2300)) for i in range(3001)}
 
 
+@pytest.mark.parametrize("shared", [0.0, 2.0])
+def test_passes_alone_meet_planted_pairs(spark, monkeypatch, shared):
+    """Pairs at cosine 0.94 in one label of 8,000, by windows and crowds; ``shared``: a direction all lean to."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((8000, 64)) + shared * unit(rng.standard_normal(64)) * 8)
+    for i in range(200):
+        noise = rng.standard_normal(64)
+        noise = unit(noise - (noise @ x[i]) * x[i])
+        x[i + 200] = 0.94 * x[i] + np.sqrt(1 - 0.94**2) * noise
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.astype("f4").tolist())], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert np.mean([found[i] == found[i + 200] for i in range(200)]) >= 0.99
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     alphabets = {"aa": ["la", "mo", "ne"], "bb": ["kra", "zut", "wo"], "cc": ["ñi", "éc", "ua"]}
