@@ -60,17 +60,48 @@ planned as (
 select doc_id, size, source_size, target, (copies * size)::bigint as taken from planned
 """
 
-OP7 = """
-with recursive p as (
-  select page_id, url, html,
+OP7 = r"""
+with recursive found as (
+  select url, replace(unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)]), '&amp;', '&') as link
+  from pages where url is not null and html is not null),
+parts as (
+  select url, link, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as root, regexp_extract(url, '(?s)^(.*?:)//', 1) as scheme,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) as folder, regexp_extract(url, '(?s)^([^?#]*)', 1) as page
+  from found where link <> ''),
+absolute as (
+  select url as u, case
+    when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+    when starts_with(link, '//') then scheme || link
+    when starts_with(link, '/') then root || link
+    when link[1] in ('?', '#') then page || link
+    when ends_with(folder, '/') and folder <> scheme || '//' then folder || link
+    else folder || '/' || link end as v
+  from parts),
+urls as (select u as url from absolute union select v from absolute union select url from pages),
+bare as (select url, regexp_replace(url, '(?s)#.*$', '') as b from urls),
+heads as (select url, b, regexp_extract(b, '(?s)^(.*?://[^/?]*)', 1) as head from bare),
+nodes as (select url, translate(head, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(b, length(head) + 1) as node from heads),
+edges as (
+  select x.node as a, y.node as b from absolute join nodes x on x.url = u join nodes y on y.url = v
+  union
+  select y.node, x.node from absolute join nodes x on x.url = u join nodes y on y.url = v),
+reach as (select a as node, a as other from edges union select r.node, e.b from reach r join edges e on e.a = r.other),
+judged as (
+  select distinct url from pages where url is not null union select distinct other from reach),
+p as (
+  select url,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
-  from pages),
+  from judged),
 rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 best as (
-  select page_id, arg_max(verdict, length(rhost || rpath)) as verdict, arg_max(rhost || rpath, length(rhost || rpath)) as rule
-  from p join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
-select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (page_id)
+  select url, arg_max(verdict, length(rhost || rpath)) as verdict, arg_max(rhost || rpath, length(rhost || rpath)) as rule
+  from p join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by url),
+voted as (select node, min(verdict) as verdict from reach join best on best.url = other group by node)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(best.verdict, voted.verdict, 'allow') as verdict
+from pages left join p using (url) left join best using (url) left join nodes using (url) left join voted using (node)
 """
 
 OP8 = """

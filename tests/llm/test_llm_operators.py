@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from strataframe.llm import (
     language_id,
     mixing,
     near_dedup,
+    oracle,
     pii,
     secret_scan,
     sharding,
@@ -778,5 +781,10 @@ def test_urls(spark):
     assert found[11][3] == found[13][3] == "block" and found[12][3] == found[14][3] == found[15][3] == "allow"
     assert found[16][2] is None and found[17][2] == "org/"
     assert url_filter.judge_urls(df.limit(0)).count() == 0 and url_filter.judge_urls(df).count() == len(rows)
+    db = duckdb.connect()
+    db.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    told = db.sql(oracle.OP7).fetchall()
+    mine = url_filter.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, told)) == sorted(str(tuple(r)) for r in mine)
     log = spark.createDataFrame([("http://q.example.org", "http://t.net/1")], "a string, b string")
     assert {r.page_id: r.verdict for r in url_filter.judge_urls(df, edges=log).collect()}[10] == "block"
