@@ -121,3 +121,19 @@ def summary(values: Column) -> dict[str, Column]:
     mean = F.when(n > 0, total / n)
     squares = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
     return {"max": F.array_max(values), "mean": mean, "min": F.array_min(values), "sum": F.when(n > 0, total), "std": F.when(n > 0, F.sqrt(squares / n))}
+
+
+def label_quality(pred: Column, truth: Column, reduction: str = "sum") -> Column:
+    """How far a prediction lies from its label: |pred - truth|, summed, averaged or (``none``) as it is.
+
+    Null if an array is null or holds a null; arrays of unequal length are null too.  Empty arrays
+    sum to zero and have no mean."""
+    gaps = F.when(F.size(pred) == F.size(truth), F.zip_with(pred, truth, lambda a, b: F.abs(a - b)))
+    if reduction == "none":
+        return gaps
+    total = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
+    if reduction == "sum":
+        return total
+    if reduction == "mean":
+        return F.when(F.size(gaps) > 0, total / F.size(gaps))
+    raise ValueError(f"unknown reduction {reduction!r}")

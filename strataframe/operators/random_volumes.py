@@ -45,6 +45,27 @@ def apply_random(df: DataFrame, kernel: RandomKernel, identity: Sequence[str], s
     return df.mapInArrow(run, df.schema)
 
 
+def apply_random_keys(df: DataFrame, kernel: RandomKernel | dict[str, RandomKernel], keys: Sequence[str], identity: Sequence[str], seed: int = 0, prob: float = 1.0, name: str = "", allow_missing: bool = False) -> DataFrame:
+    """``df`` with the arrays of all ``keys`` changed together, with chance ``prob`` a row.
+
+    Each key's kernel starts from the row's own draw anew, so an image and its labels are turned,
+    cropped or warped alike.  Keys are as in ``volumes.apply_keys``; null arrays stay null."""
+    found, names = V.known_keys(df, keys, allow_missing), df.columns
+    chosen = {k: kernel[k] if isinstance(kernel, dict) else kernel for k in found}
+
+    def run(batches):
+        for batch in batches:
+            ids = list(zip(*(batch.column(c).to_pylist() for c in identity), strict=True))
+            go = [generator(seed, f"{name}:chance", *row).random() < prob for row in ids]
+            made = {}
+            for k, f in chosen.items():
+                arrays = zip(ids, go, V.struct_arrays(batch.column(k)), strict=True)
+                made[k] = V.array_structs([f(x, generator(seed, name, *row)) if yes and x is not None else x for row, yes, x in arrays])
+            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in names], names=names)
+
+    return df.mapInArrow(run, df.schema) if chosen else df
+
+
 def chosen(kernels: Sequence[RandomKernel], weights: Sequence[float] | None = None) -> RandomKernel:
     """One of several kernels for each row, by weight."""
     p = np.asarray(weights or [1.0] * len(kernels), float)

@@ -32,6 +32,45 @@ def apply(df: DataFrame, kernel: Kernel, shape: str = "shape", values: str = "va
     return df.mapInArrow(run, df.schema)
 
 
+def known_keys(df: DataFrame, keys: Sequence[str], allow_missing: bool) -> list[str]:
+    missing = [k for k in keys if k not in df.columns]
+    if missing and not allow_missing:
+        raise KeyError(f"columns are missing: {missing}")
+    return [k for k in keys if k in df.columns]
+
+
+def struct_arrays(column: pa.StructArray) -> list[np.ndarray | None]:
+    """The arrays of a column ``struct<shape array<int>, values array<double>>``, null where any part is."""
+    out = []
+    for row in column:
+        s, v = (None, None) if not row.is_valid else (row["shape"].as_py(), row["values"])
+        out.append(None if s is None or not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(float).reshape(s))
+    return out
+
+
+def array_structs(arrays: Sequence[np.ndarray | None]) -> pa.StructArray:
+    shapes = pa.array([None if x is None else list(x.shape) for x in arrays], pa.list_(pa.int32()))
+    flats = pa.array([None if x is None else x.astype(float).ravel() for x in arrays], pa.list_(pa.float64()))
+    return pa.StructArray.from_arrays([shapes, flats], ["shape", "values"], mask=pa.array([x is None for x in arrays], pa.bool_()))
+
+
+def apply_keys(df: DataFrame, kernel: Kernel | dict[str, Kernel], keys: Sequence[str], allow_missing: bool = False) -> DataFrame:
+    """``df`` with the arrays of all ``keys`` replaced, in one pass over the rows.
+
+    A key is a column ``struct<shape array<int>, values array<double>>``; ``kernel`` is one for all
+    keys or one for each (an image drawn linearly, its labels by the nearest).  Null arrays stay null;
+    an absent key is an error, or skipped with ``allow_missing``."""
+    found, names = known_keys(df, keys, allow_missing), df.columns
+    chosen = {k: kernel[k] if isinstance(kernel, dict) else kernel for k in found}
+
+    def run(batches):
+        for batch in batches:
+            made = {k: array_structs([None if x is None else f(x) for x in struct_arrays(batch.column(k))]) for k, f in chosen.items()}
+            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in names], names=names)
+
+    return df.mapInArrow(run, df.schema) if chosen else df
+
+
 def measure(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray], float], a: str = "pred", b: str = "truth", shape: str = "shape", name: str = "metric") -> DataFrame:
     """``df`` with a number for each row's pair of arrays of one shape."""
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -147,6 +186,69 @@ def zoom(factor: float | Sequence[float], linear: bool = True) -> Kernel:
     return run
 
 
+def spacing(current: Sequence[float], target: Sequence[float], linear: bool = True) -> Kernel:
+    """From one voxel size to another, the first voxel's centre staying where it is; beyond the last
+    centre its value holds.  A side of n voxels gets round((n - 1) * current / target + 1)."""
+
+    def run(x):
+        steps = [t / c for c, t in zip(current, target, strict=True)]
+        axes = [np.arange(int(np.round((n - 1) / step + 1))) * step for n, step in zip(x.shape, steps, strict=True)]
+        return _sample(x, np.stack(np.meshgrid(*axes, indexing="ij")), linear, "border")
+
+    return run
+
+
+#: The letters of both ends of the world axes.
+ENDS = (("L", "R"), ("P", "A"), ("I", "S"))
+
+
+def _axes_of(affine) -> list[tuple[int, bool]]:
+    """For each array axis, the world axis that it follows most closely and whether it rises along it."""
+    linear = np.asarray(affine, float)[:-1, :-1]
+    u, _, v = np.linalg.svd(linear / np.linalg.norm(linear, axis=0))
+    turned, found = u @ v, {}
+    for flat in np.argsort(-np.abs(turned), axis=None, kind="stable"):
+        world, axis = np.unravel_index(flat, turned.shape)
+        if axis not in found and world not in [w for w, _ in found.values()]:
+            found[int(axis)] = (int(world), bool(turned[world, axis] > 0))
+    return [found[a] for a in range(len(found))]
+
+
+def axis_codes(affine) -> str:
+    """The letters that the array axes of an affine point to, such as ``RAS``."""
+    return "".join(ENDS[world][rises] for world, rises in _axes_of(affine))
+
+
+def _turns(affine, codes: str) -> list[tuple[int, bool]]:
+    """For each axis of the result, the array axis that it takes and whether it's flipped."""
+    have = {world: (axis, rises) for axis, (world, rises) in enumerate(_axes_of(affine))}
+    wanted = [(w, c == ends[1]) for c in codes for w, ends in enumerate(ENDS) if c in ends]
+    if len(wanted) != len(codes) or sorted(w for w, _ in wanted) != sorted(have):
+        raise ValueError(f"{codes!r} doesn't name each of {len(have)} axes once")
+    return [(have[w][0], have[w][1] != rises) for w, rises in wanted]
+
+
+def reorient(affine, codes: str) -> Kernel:
+    """Axes permuted and flipped so that they point to ``codes``; no value changes."""
+    turns = _turns(affine, codes)
+
+    def run(x):
+        moved = np.transpose(x, [axis for axis, _ in turns])
+        return np.flip(moved, [i for i, (_, flipped) in enumerate(turns) if flipped])
+
+    return run
+
+
+def reoriented_affine(affine, shape: Sequence[int], codes: str) -> np.ndarray:
+    """The affine that belongs to what ``reorient`` makes of an array of ``shape``."""
+    turns, n = _turns(affine, codes), len(shape)
+    back = np.zeros((n + 1, n + 1))
+    back[n, n] = 1.0
+    for i, (axis, flipped) in enumerate(turns):
+        back[axis, i], back[axis, n] = (-1.0, shape[axis] - 1.0) if flipped else (1.0, 0.0)
+    return np.asarray(affine, float) @ back
+
+
 def affine(matrix: Sequence[Sequence[float]], linear: bool = True, padding: str = "zeros") -> Kernel:
     """Output places mapped to input places by a homogeneous matrix about the array's centre."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataframe.core.storage import table
 from strataframe.operators import arrays as A
+from strataframe.operators import elements as E
 from strataframe.queries.registry import query, r4, rounded
 
 _CELLS = "with c as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1)::int as i from embeddings)"
@@ -16,7 +17,16 @@ def _vectors(spark, d):
 
 
 def _text(array):
-    return F.array_join(F.transform(array, lambda x: F.format_string("%.3f", x)), ",")
+    """Whole arrays as text, in thousandths."""
+    return F.array_join(F.transform(array, lambda x: F.round(x * 1000).cast("long")).cast("array<string>"), ",")
+
+
+_V = "e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)"
+
+
+def _sql(value: str, n: str = "64") -> str:
+    """A list of ``value`` for k from 0, as the text that ``_text`` gives."""
+    return f"array_to_string(list_transform(range({n}), lambda k: round(({value}) * 1000)::bigint), ',')"
 
 
 @query(_CELLS + """, s as (select vec_id, i, v, exp(v - max(v) over (partition by vec_id)) as e from c)
@@ -26,13 +36,10 @@ def softmax_argmax_onehot(spark, d):
     return rows.select("vec_id", r4(F.array_max("p")).alias("top"), "place", F.get(A.one_hot(F.col("place"), 64), F.lit(63)).alias("last_hot"))
 
 
-@query("""
-select vec_id, len(embedding)::int as n, (select round(sum(x), 4) from (select unnest(embedding[25:40])::double as x)) as middle, round(embedding[1]::double, 4) as first, 70::int as padded, round(embedding[64]::double, 4) as flipped from embeddings""")
+@query(f"""with {_V} select vec_id, {_sql("v[k + 25]", "16")} as middle, {_sql("case when k between 3 and 66 then v[k - 2] else 0 end", "70")} as padded, {_sql("v[64 - k]")} as flipped from e""")
 def pad_crop_flip(spark, d):
     v = F.col("v")
-    total = F.aggregate(A.center_crop(v, 16), F.lit(0.0), lambda s, x: s + x)
-    padded = A.pad_to(v, 70)
-    return _vectors(spark, d).select("vec_id", F.size("v").alias("n"), r4(total).alias("middle"), r4(F.get(padded, F.lit(3))).alias("first"), F.size(padded).alias("padded"), r4(F.get(A.flip(v), F.lit(0))).alias("flipped"))
+    return _vectors(spark, d).select("vec_id", _text(A.center_crop(v, 16)).alias("middle"), _text(A.pad_to(v, 70)).alias("padded"), _text(A.flip(v)).alias("flipped"))
 
 
 @query("select event_id, (event_id // 35 % 4)::bigint as z, (event_id // 5 % 7)::bigint as y, (event_id % 5)::bigint as x, (((event_id // 35 % 4) * 7 + event_id // 5 % 7) * 5 + event_id % 5)::bigint as back from events")
@@ -41,11 +48,9 @@ def grid_unravel(spark, d):
     return table(spark, d, "events").select("event_id", z.alias("z"), y.alias("y"), x.alias("x"), A.ravel([z, y, x], [4, 7, 5]).cast("long").alias("back"))
 
 
-@query(_CELLS + ", m as (select vec_id, i, v, min(v) over (partition by vec_id) as lo, max(v) over (partition by vec_id) as hi, sum(v) over (partition by vec_id order by i) as s from c) select vec_id, round(avg((v - lo) / (hi - lo)), 4) as mean_scaled, round(max(s), 4) as top_sum from m group by vec_id")
+@query(f"""with {_V} select vec_id, {_sql("(v[k + 1] - list_min(v)) / (list_max(v) - list_min(v))")} as scaled, {_sql("list_sum(v[1:k + 1])")} as sums from e""")
 def array_scale_cumsum(spark, d):
-    scaled, sums = A.minmax(F.col("v")), A.cumulative_sum(F.col("v"))
-    mean = F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    return _vectors(spark, d).select("vec_id", r4(mean).alias("mean_scaled"), r4(F.array_max(sums)).alias("top_sum"))
+    return _vectors(spark, d).select("vec_id", _text(A.minmax(F.col("v"))).alias("scaled"), _text(A.cumulative_sum(F.col("v"))).alias("sums"))
 
 
 @query(_CELLS + " select vec_id, round(sum(v * v), 4) as energy from c group by vec_id")
@@ -60,26 +65,60 @@ def _volumes(spark, d):
     return V, rows
 
 
-@query(_CELLS + " select vec_id, round(sum(v * ((7 - (i - 1) % 8) * 8 + (i - 1) // 8)), 4) as checksum from c group by vec_id")
+@query(f"""with {_V} select vec_id, {_sql("v[k % 8 * 8 + 8 - k // 8]")} as turned from e""")
 def volume_rotate90(spark, d):
     V, rows = _volumes(spark, d)
-    turned = V.apply(rows, V.rotate90(1))
-    total = F.aggregate(F.transform("values", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
-    return turned.select("vec_id", r4(total).alias("checksum"))
+    return V.apply(rows, V.rotate90(1)).select("vec_id", _text(F.col("values")).alias("turned"))
 
 
-@query(_CELLS + """, g as (select vec_id, v, (i - 1) // 8 as a, (i - 1) % 8 as b from c)
-select x.vec_id, round(max(m), 4) as top from (select p.vec_id, p.a, p.b, max(q.v) as m from g p join g q on p.vec_id = q.vec_id and abs(p.a - q.a) <= 1 and abs(p.b - q.b) <= 1 group by all) x where a = 3 group by x.vec_id""")
+@query(_CELLS + """, g as (select vec_id, v, (i - 1) // 8 as a, (i - 1) % 8 as b from c),
+m as (select p.vec_id, p.a, p.b, max(q.v) as m from g p join g q on p.vec_id = q.vec_id and abs(p.a - q.a) <= 1 and abs(p.b - q.b) <= 1 group by all)
+select vec_id, array_to_string(list(round(m * 1000)::bigint order by a, b), ',') as dilated from m group by vec_id""")
 def volume_dilate(spark, d):
     V, rows = _volumes(spark, d)
-    return V.apply(rows, V.dilate(3)).select("vec_id", r4(F.array_max(F.slice("values", 25, 8))).alias("top"))
+    return V.apply(rows, V.dilate(3)).select("vec_id", _text(F.col("values")).alias("dilated"))
 
 
-@query()
+@query(f"""with {_V} select vec_id, {_sql("v[(7 - k % 8) * 8 + k // 8 + 1]")} as turned from e""")
+def volume_orientation(spark, d):
+    """Arrays whose axes point to A and L, turned to point to L and P."""
+    V, rows = _volumes(spark, d)
+    turn = V.reorient([[0.0, -2.0, 0.0], [3.0, 0.0, 0.0], [0.0, 0.0, 1.0]], "LP")
+    return V.apply(rows, turn).select("vec_id", _text(F.col("values")).alias("turned"))
+
+
+@query(f"""with {_V} select vec_id, '4x5' as size,
+  {_sql("v[k // 5 * 16 + [0, 1, 3, 5, 6][k % 5 + 1] + 1] * (1 - [0, 0.75, 0.5, 0.25, 1][k % 5 + 1]::double) + v[k // 5 * 16 + [0, 1, 3, 5, 6][k % 5 + 1] + 2] * [0, 0.75, 0.5, 0.25, 1][k % 5 + 1]::double", "20")} as image,
+  {_sql("(v[k // 5 * 16 + [0, 2, 4, 5, 7][k % 5 + 1] + 1] > 0)::int", "20")} as label from e""")
+def volume_keys_spacing(spark, d):
+    """An image and its labels brought to another voxel size in one pass, linearly and by the nearest."""
+    V, rows = _volumes(spark, d)
+    label = F.transform("values", lambda x: (x > 0).cast("double"))
+    pairs = rows.select("vec_id", F.struct("shape", "values").alias("image"), F.struct("shape", label.alias("values")).alias("label"))
+    sizes = ([1.0, 1.0], [2.0, 1.75])
+    out = V.apply_keys(pairs, {"image": V.spacing(*sizes), "label": V.spacing(*sizes, linear=False)}, ["image", "label", "absent"], allow_missing=True)
+    size = F.array_join(F.col("image.shape").cast("array<string>"), "x")
+    return out.select("vec_id", size.alias("size"), _text(F.col("image.values")).alias("image"), _text(F.col("label.values")).alias("label"))
+
+
+@query(f"""with {_V} select vec_id, round(list_sum(list_transform(range(64), lambda k: abs(v[k + 1] - v[64 - k]))), 4) as total, round(list_avg(list_transform(range(64), lambda k: abs(v[k + 1] - v[64 - k]))), 4) as mean,
+  {_sql("abs(v[k + 1] - v[64 - k])")} as map from e""")
+def label_quality(spark, d):
+    v, other = F.col("v"), F.reverse("v")
+    quality = {n: E.label_quality(v, other, kind) for n, kind in (("total", "sum"), ("mean", "mean"))}
+    return rounded(_vectors(spark, d).select("vec_id", *[c.alias(n) for n, c in quality.items()], _text(E.label_quality(v, other, "none")).alias("map")))
+
+
+@query(_CELLS.replace("with c as", "with recursive c as") + """, p as (select vec_id, (i - 1)::int as k from c where v > 0),
+e as (select p.vec_id, p.k as a, q.k as b from p join p q on p.vec_id = q.vec_id and (abs(p.k - q.k) = 8 or (abs(p.k - q.k) = 1 and p.k // 8 = q.k // 8))),
+reach as (select vec_id, k as a, k as b from p union select r.vec_id, r.a, e.b from reach r join e on e.vec_id = r.vec_id and e.a = r.b),
+s as (select vec_id, a, min(b) as part, count(*) as n from reach group by all),
+best as (select vec_id, arg_max(part, n * 100 - part) as part from s group by vec_id)
+select c.vec_id, array_to_string(list(case when s.part = best.part then round(v * 1000)::bigint else 0 end order by i), ',') as kept
+from c left join best using (vec_id) left join s on s.vec_id = c.vec_id and s.a = c.i - 1 group by c.vec_id""")
 def volume_largest_component(spark, d):
     V, rows = _volumes(spark, d)
-    kept = V.apply(rows, V.keep_largest(1))
-    return kept.select("vec_id", F.size(F.filter("values", lambda x: x > 0)).alias("n"))
+    return V.apply(rows, V.keep_largest(1)).select("vec_id", _text(F.col("values")).alias("kept"))
 
 
 @query()
@@ -89,7 +128,10 @@ def volume_smooth_resize(spark, d):
     return small.select("vec_id", r4(F.array_max("values")).alias("top"), r4(F.array_min("values")).alias("low"))
 
 
-@query()
+@query(_CELLS + """, g as (select vec_id, side, k, k // 8 as y, k % 8 as x from (select vec_id, 'a' as side, i - 1 as k from c where v > 0 union all select vec_id, 'b', 64 - i from c where v > 0)),
+edge as (select g.vec_id, g.side, g.y, g.x from g left join g h on g.vec_id = h.vec_id and g.side = h.side and abs(g.y - h.y) + abs(g.x - h.x) = 1 group by g.vec_id, g.side, g.k, g.y, g.x having count(h.k) < 4),
+near as (select p.vec_id, p.side, p.y, p.x, min((p.y - q.y) ** 2 + (p.x - q.x) ** 2) as d from edge p join edge q on p.vec_id = q.vec_id and p.side <> q.side group by all)
+select e.vec_id, round(sqrt(max(d)), 4) as hausdorff from embeddings e left join near using (vec_id) group by e.vec_id""")
 def volume_surface_distance(spark, d):
     V, rows = _volumes(spark, d)
     pairs = rows.select("vec_id", "shape", F.col("values").alias("pred"), F.reverse("values").alias("truth"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataframe.core.storage import table
+from strataframe.operators import detection as T
 from strataframe.operators import metrics as M
 from strataframe.queries.registry import query, r4, rounded
 
@@ -155,3 +156,40 @@ select class, round(avg(v), 4) as mean, round(median(v), 4) as median, round(max
 def metrics_report(spark, d):
     by = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg("l_discount").alias("b"), F.avg("l_tax").alias("c"))
     return rounded(M.report(by, ["a", "b", "c"]))
+
+
+def _detections(spark, d):
+    """Line items as points on the masks of their suppliers; four targets each, the third left out."""
+    points = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_linenumber") % 5).alias("label"), (F.col("l_partkey") % 97 / 97).alias("score"))
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image"), F.explode(F.array(*[F.lit(i) for i in range(1, 5)])).alias("label"))
+    return T.hits_and_misses(points, targets, "image", "label", "score", exclude=[3])
+
+
+_FOUND = """
+with x as (select l_suppkey as image, l_linenumber % 5 as label, l_partkey % 97 / 97.0 as score from lineitem),
+t as (select s_suppkey as image, unnest([1, 2, 3, 4]) as label from supplier),
+b as (select image, label, max(score) as best from x group by all),
+f as (
+  select score, 0 as hits, 1 as alarms from x where label = 0
+  union all
+  select case when label = 3 then 0 else coalesce(best, 0) end, (label <> 3)::int, 0 from t left join b using (image, label)),
+g as (select score, sum(hits) as hits, sum(alarms) as alarms from f group by score),
+p as (
+  select score as threshold, (select sum(alarms) from f where f.score >= g.score) / 1000.0 as fps_per_image,
+    (select sum(hits) from f where f.score >= g.score)::double / (select sum(hits) from f) as sensitivity
+  from g where score > (select min(score) from g)
+  union all select null, 0, 0)
+"""
+
+
+@query(_FOUND + "select round(threshold, 4) as threshold, round(fps_per_image, 4) as fps_per_image, round(sensitivity, 4) as sensitivity from p")
+def froc_detections(spark, d):
+    return rounded(T.froc_points(_detections(spark, d), 1000))
+
+
+@query(_FOUND + """, r as (select unnest([0.0625, 0.125, 0.25, 0.5, 1, 2])::double as r),
+l as (select r, max({'x': fps_per_image, 'y': sensitivity}) as lo from r join p on fps_per_image <= r group by r),
+h as (select r, min({'x': fps_per_image, 'y': sensitivity}) as hi from r join p on fps_per_image > r group by r)
+select round(avg(case when hi is null then lo.y else lo.y + (hi.y - lo.y) * (r - lo.x) / (hi.x - lo.x) end), 4) as froc_score from l left join h using (r)""")
+def froc_score(spark, d):
+    return rounded(T.froc_score(T.froc_points(_detections(spark, d), 1000), (0.0625, 0.125, 0.25, 0.5, 1, 2)))

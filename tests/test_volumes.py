@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from strataframe.operators import detection as T
+from strataframe.operators import random_volumes as R
 from strataframe.operators import volumes as V
 
 RNG = np.random.default_rng(1)
@@ -161,3 +163,55 @@ def test_sparse_labels(spark):
     w = F.array(F.lit(0.0), F.lit(1.0))
     (r,) = spark.range(1).select(S.chi2_distance(v, w).alias("a"), S.cosine_distance(v, v).alias("b"), S.distance_bucket(F.lit(0), F.lit(2.0), 3.0).alias("c")).collect()
     assert abs(r.a - 1) < 1e-6 and abs(r.b) < 1e-9 and r.c == "boundary"
+
+
+def test_spacing_and_orientation():
+    ramp = np.arange(7.0)[:, None] * np.ones((1, 4))
+    assert np.allclose(V.spacing([1, 1], [2, 1])(ramp)[:, 0], [0, 2, 4, 6]) and V.spacing([1, 1], [0.5, 3])(ramp).shape == (13, 2)
+    assert (V.spacing([1, 1], [1, 1])(X) == X).all() and V.spacing([1, 1], [9, 9])(X).shape == (2, 1)
+    flat = np.array([[0.0, -2.0, 5.0], [3.0, 0.0, 7.0], [0.0, 0.0, 1.0]])
+    assert V.axis_codes(flat) == "AL" and V.axis_codes(np.eye(4)) == "RAS" and V.axis_codes(np.diag([-1, -1, 2, 1])) == "LPS"
+    y = RNG.standard_normal((3, 4, 5))
+    skew = np.eye(4)
+    skew[:3, :3] = [[0.1, 0.2, -2.0], [-1.0, 0.1, 0.0], [0.0, 3.0, 0.3]]
+    for affine, x in ((flat, X), (skew, y)):
+        for codes in ("RA", "LP", "AR") if x.ndim == 2 else ("RAS", "SPL", "IRA"):
+            out, moved = V.reorient(affine, codes)(x), V.reoriented_affine(affine, x.shape, codes)
+            assert V.axis_codes(moved) == codes
+            for at in np.ndindex(out.shape):  # each value keeps its place in the world
+                world = moved @ [*at, 1]
+                old = np.rint(np.linalg.solve(affine, world)[:-1]).astype(int)
+                assert out[at] == x[tuple(old)]
+    for bad in ("RR", "RAS", "R", "XY"):
+        with pytest.raises(ValueError):
+            V.reorient(flat, bad)
+
+
+def test_keys_change_together(spark):
+    rows = [(1, ([2, 3], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), ([2, 3], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), "a"), (2, None, ([0], []), None), (3, (None, [1.0]), ([1, 1], None), "c")]
+    kind = "struct<shape:array<int>,values:array<double>>"
+    df = spark.createDataFrame(rows, f"id int, image {kind}, label {kind}, shape string")
+    out = {r.id: r for r in V.apply_keys(df, {"image": lambda x: x.T, "label": lambda x: -x, "none": abs}, ["image", "label", "none"], allow_missing=True).collect()}
+    assert (out[1].image.shape, out[1].image.values) == ([3, 2], [1, 4, 2, 5, 3, 6]) and out[1].label.values == [-1, -2, -3, -4, -5, -6] and out[1].shape == "a"
+    assert out[2].image is None and (out[2].label.shape, out[2].label.values) == ([0], []) and out[3].image is None and out[3].label is None
+    with pytest.raises(KeyError):
+        V.apply_keys(df, abs, ["image", "none"])
+    many = spark.createDataFrame([(i, ([4, 4], [float(x) for x in range(16)]), ([4, 4], [float(x) for x in range(16)])) for i in range(40)], f"id int, image {kind}, label {kind}")
+    turned = R.apply_random_keys(many, R.rotate90(), ["image", "label"], ["id"], seed=3, prob=0.5).collect()
+    assert all(r.image == r.label for r in turned) and 5 < sum(r.image.values != [float(x) for x in range(16)] for r in turned) < 35
+    again = R.apply_random_keys(many.repartition(7), R.rotate90(), ["image", "label"], ["id"], seed=3, prob=0.5).collect()
+    assert sorted(turned) == sorted(again)
+    assert V.apply_keys(df.limit(0), abs, ["image"]).count() == 0
+
+
+def test_free_response_by_hand(spark):
+    points = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.8), (1, 1, 0.3), (1, 0, 0.2), (2, 2, 0.95), (2, None, 0.5), (2, 1, None)], "image int, label int, score double")
+    targets = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (2, 0), (1, 1)], "image int, label int")
+    found = T.hits_and_misses(points, targets, "image", "label", "score", exclude=[2])
+    assert sorted(map(tuple, found.collect())) == [(0.0, 0, 0), (0.0, 1, 0), (0.2, 0, 1), (0.8, 1, 0), (0.9, 0, 1)]
+    curve = T.froc_points(found, 2)
+    assert sorted((r.fps_per_image, r.sensitivity) for r in curve.collect()) == [(0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (1.0, 0.5)]
+    # At 0.25 between (0, 0) and (0.5, 0); from 0.5 on the upper of equal points.
+    assert T.froc_score(curve, (0.25, 0.5, 4)).first()[0] == pytest.approx((0 + 0.5 + 0.5) / 3)
+    assert [tuple(r) for r in T.froc_points(found.limit(0), 2).collect()] == [(None, 0.0, 0.0)]
+    assert T.froc_score(T.froc_points(found.limit(0), 2)).first()[0] == 0
