@@ -1,13 +1,16 @@
-"""Free-response evaluation of detections: hits, misses and false alarms, their curve and score."""
+"""Evaluation of detections: free-response curves and scores, and average precision of boxes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strataframe.core.storage import with_running_sums
+from strataframe.operators.boxes import overlap_join
 
 
 def point_places(*coordinates: Column, level: int = 0) -> list[Column]:
@@ -60,3 +63,70 @@ def froc_score(points: DataFrame, rates: Sequence[float] = (0.25, 0.5, 1, 2, 4,
     for value in at:
         total = total + value
     return points.agg(*ends).select((total / len(rates)).alias("froc_score"))
+
+
+def matches_at(pairs: DataFrame, keys: Sequence[str], pred: str, truth: str, score: str, overlaps: Sequence[float]) -> DataFrame:
+    """``(*keys, pred, at)``: the predictions that get a truth of their own at each least overlap.
+
+    By falling score (ties: the lesser ``pred``), a prediction takes the free truth that it overlaps
+    most (ties: the lesser).  A group of keys, one image and label, is matched in one task, which holds
+    its overlapping pairs."""
+    fields = [pairs.schema[c] for c in (*keys, pred)]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([score, pred, "iou", truth], ascending=[False, True, False, True])
+        at, rows = [], []
+        for least in overlaps:
+            done, used = set(), set()
+            enough = frame[frame["iou"] >= least]
+            for i, p, t in zip(enough.index, enough[pred], enough[truth], strict=True):
+                if p not in done and t not in used:
+                    done.add(p)
+                    used.add(t)
+                    rows.append(i)
+                    at.append(float(least))
+        return frame.loc[rows, [*keys, pred]].assign(at=at)
+
+    return pairs.groupBy(*keys).applyInPandas(run, StructType([*fields, StructField("at", DoubleType())]))
+
+
+def box_precision(
+    preds: DataFrame, truths: DataFrame, image: str, label: str, box: str, score: str, overlaps: Sequence[float], most: int = 100, cell: float = 64.0
+) -> DataFrame:
+    """``(label, at, ap, recall)`` of each label with a truth, at each least overlap.
+
+    ``preds`` and ``truths`` hold image, label, box (an id unique in its table), xmin, ymin, xmax and
+    ymax, ``preds`` a score too.  The ``most`` best predictions of an image and label count.  They are
+    matched with the truths, then ranked by score over all images (ties by image and box); ``ap`` is
+    the mean, over the recalls 0, 0.01 ... 1, of the best precision at that recall or more; ``recall``
+    is that of all predictions.  Rows with a null image, label, score or side are left out; a label
+    without truths has no row, one without predictions gets zeros.
+
+    The ranking is summed over ranges of one global order, so a label of any size is no task's load."""
+    sides = ["xmin", "ymin", "xmax", "ymax"]
+    corners = lambda df, *more: df.select(image, label, box, *more, *sides).dropna()
+    best = Window.partitionBy(image, label).orderBy(F.desc(score), box)
+    found = corners(preds, score).withColumn("rank__", F.row_number().over(best)).where(F.col("rank__") <= most).drop("rank__")
+    grouped = lambda df: df.select(F.struct(image, label).alias("image__"), *[c for c in df.columns if c not in (image, label)])
+    met = overlap_join(grouped(found), grouped(corners(truths)), "image__", cell)
+    pairs = met.select(f"a_image.{image}", f"a_image.{label}", F.col(f"a_{box}").alias(box), F.col(f"b_{box}").alias("truth__"), F.col(f"a_{score}").alias(score), "iou")
+    hits = matches_at(pairs, [image, label], box, "truth__", score, overlaps).select(image, label, box, "at", F.lit(1).alias("hit__"))
+    levels = F.explode(F.array(*[F.lit(float(o)) for o in overlaps])).alias("at")
+    ranked = found.select(image, label, box, score, levels).join(hits, [image, label, box, "at"], "left")
+    ranked = ranked.select(label, "at", F.coalesce("hit__", F.lit(0)).alias("hit__"), F.lit(1).alias("one__"), F.struct(label, "at", -F.col(score), image, box).alias("order__"))
+    sums = with_running_sums(ranked, F.col("order__"), {"tp__": "hit__", "all__": "one__"})
+    # Sums run on from label to label; what stood before a label's first row is taken off again.
+    starts = sums.groupBy(label, "at").agg(F.min(F.col("tp__") - F.col("hit__")).alias("tp0__"), F.min(F.col("all__") - 1).alias("all0__"))
+    wanted = corners(truths).groupBy(label).agg(F.count(F.lit(1)).alias("n__"))
+    points = sums.join(starts, [label, "at"]).join(wanted, label)
+    hit, seen = F.col("tp__") - F.col("tp0__"), F.col("all__") - F.col("all0__")
+    points = points.select(label, "at", "n__", hit.alias("h__"), (hit / seen).alias("precision__"), F.floor(100 * hit / F.col("n__")).cast("int").alias("percent__"))
+    steps = points.groupBy(label, "at", "percent__").agg(F.max("precision__").alias("p__"), F.max(F.col("h__") / F.col("n__")).alias("r__"))
+    # At most 101 steps a label and overlap: each fills the recalls from the step before up to its own.
+    down = Window.partitionBy(label, "at").orderBy(F.desc("percent__"))
+    before = Window.partitionBy(label, "at").orderBy("percent__")
+    width = F.col("percent__") - F.coalesce(F.lag("percent__").over(before), F.lit(-1))
+    filled = steps.select(label, "at", "r__", (width * F.max("p__").over(down.rowsBetween(Window.unboundedPreceding, 0))).alias("area__"))
+    made = filled.groupBy(label, "at").agg((F.sum("area__") / 101).alias("ap"), F.max("r__").alias("recall"))
+    every = wanted.select(label, levels)
+    return every.join(made, [label, "at"], "left").select(label, "at", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))

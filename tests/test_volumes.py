@@ -215,3 +215,21 @@ def test_free_response_by_hand(spark):
     assert T.froc_score(curve, (0.25, 0.5, 4)).first()[0] == pytest.approx((0 + 0.5 + 0.5) / 3)
     assert [tuple(r) for r in T.froc_points(found.limit(0), 2).collect()] == [(None, 0.0, 0.0)]
     assert T.froc_score(T.froc_points(found.limit(0), 2)).first()[0] == 0
+
+
+def test_average_precision_by_hand(spark):
+    kind = "image int, label int, box int, xmin double, ymin double, xmax double, ymax double"
+    box = lambda x, w=10.0: (x, 0.0, x + w, 10.0)
+    truths = spark.createDataFrame([(1, 0, 1, *box(0.0)), (1, 0, 2, *box(50.0)), (2, 0, 3, *box(0.0)), (1, 7, 4, *box(0.0)), (None, 0, 9, *box(0.0))], kind)
+    preds = [(1, 0, 1, *box(0.0), 0.9), (1, 0, 2, *box(1.0), 0.8), (2, 0, 3, *box(4.0), 0.7), (1, 0, 4, *box(50.0), 0.6), (1, 5, 5, *box(0.0), 0.9), (2, 0, 6, *box(0.0), None)]
+    preds = spark.createDataFrame(preds, f"{kind}, score double")
+    got = {(r.label, r.at): (r.ap, r.recall) for r in T.box_precision(preds, truths, "image", "label", "box", "score", [0.3, 0.5]).collect()}
+    # At 0.3: hit, miss (its truth is taken), hit, hit; precision 1 up to recall 1/3, then 3/4.
+    assert got[0, 0.3] == (pytest.approx((34 + 67 * 0.75) / 101), 1.0)
+    # At 0.5 the third is a miss: precision 1, then 2/4 up to recall 2/3.
+    assert got[0, 0.5] == (pytest.approx((34 + 33 * 0.5) / 101), pytest.approx(2 / 3))
+    assert got[7, 0.3] == got[7, 0.5] == (0.0, 0.0) and len(got) == 4
+    top = T.box_precision(preds, truths, "image", "label", "box", "score", [0.3], most=1)
+    assert {r.label: r.recall for r in top.collect()} == {0: pytest.approx(2 / 3), 7: 0.0}
+    assert T.box_precision(preds, truths.limit(0), "image", "label", "box", "score", [0.5]).count() == 0
+    assert T.box_precision(preds.limit(0), truths, "image", "label", "box", "score", [0.5]).count() == 2
