@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strataframe.core.storage import saved
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    part = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
-
-
-def knn(df: DataFrame, node: str, vector: str, group: str, k: int) -> DataFrame:
-    """The k nearest other nodes within each group; ties go to the lesser node.
-
-    The groups (images, cells, labels) bound the pairs that are compared; keep each within memory of
-    a task's sort, not of the task, as the window's limit is pushed below its shuffle."""
-    a = df.select(F.col(group).alias("group"), F.col(node).alias("src"), F.col(vector).alias("va"))
-    b = df.select(F.col(group).alias("group_b"), F.col(node).alias("dst"), F.col(vector).alias("vb"))
-    pairs = a.join(b, (F.col("group") == F.col("group_b")) & (F.col("src") != F.col("dst")))
-    near = pairs.select("group", "src", "dst", F.sqrt(squared_distance(F.col("va"), F.col("vb"))).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
+def _nearest(here: pd.DataFrame, there: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``there`` to each of ``here``, itself left out, by exact distances.
+
+    A matrix product finds who may be among the k, its rounding allowed for."""
+    x, y = (np.stack(f["v__"].to_numpy()).astype(float) for f in (here, there))
+    own, other, xx, yy = here["src"].to_numpy(), there["src"].to_numpy(), (x * x).sum(1), (y * y).sum(1)
+    slack, parts = 1e-9 * (1.0 + xx.max(initial=0.0) + yy.max(initial=0.0)), []
+    for a in range(0, len(x), 256):
+        about = xx[a : a + 256, None] + yy - 2 * (x[a : a + 256] @ y.T)
+        about[own[a : a + 256, None] == other] = np.inf
+        last = np.partition(about, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        for i, limit in enumerate(last, a):
+            near = np.flatnonzero((about[i - a] <= limit + slack) & (about[i - a] < np.inf))
+            far = np.sqrt(((y[near] - x[i]) ** 2).sum(1))
+            best = np.lexsort((other[near], far))[:k]
+            parts.append(pd.DataFrame({"src": own[i], "dst": other[near][best], "distance": far[best]}))
+    return pd.concat(parts)
+
+
+def knn(df: DataFrame, node: str, vector: str, group: str, k: int, block: int = 2048) -> DataFrame:
+    """``(group, src, dst, distance, place)``: the k nearest other nodes within each group, ties to the lesser node.
+
+    Groups (images, cells, labels) are cut into blocks of about ``block`` nodes by hash; a task compares
+    two blocks by matrix products and keeps k rows a node, so no pair leaves it that can't count, and
+    a group of any size takes no more memory in a task.  The work stays quadratic in a group.  Null
+    groups and nodes, and vectors that are null or hold a null, are left out; only vectors of one length
+    are compared; repeated nodes aren't their own neighbours."""
+    rows = df.select(F.col(group).alias("group"), F.col(node).alias("src"), F.col(vector).cast("array<double>").alias("v__"))
+    rows = rows.where("group is not null and src is not null and size(v__) > 0 and forall(v__, x -> x is not null)").withColumn("dim__", F.size("v__"))
+    sizes = rows.groupBy("group", "dim__").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks__"))
+    cut = rows.join(sizes, ["group", "dim__"]).withColumn("own__", F.pmod(F.xxhash64("src"), F.col("blocks__")).cast("int"))
+    every = cut.withColumn("other__", F.explode(F.sequence(F.lit(0), F.col("blocks__") - 1)))
+    every = every.select("group", "dim__", "src", "v__", "own__", F.least("own__", "other__").alias("i__"), F.greatest("own__", "other__").alias("j__"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField("group", kinds["group"]), StructField("src", kinds["src"]), StructField("dst", kinds["src"]), StructField("distance", DoubleType())])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [frame[frame["own__"] == n] for n in sorted({frame["i__"].iloc[0], frame["j__"].iloc[0]})]
+        if not all(len(side) for side in sides):
+            return pd.DataFrame({"group": frame["group"][:0], "src": frame["src"][:0], "dst": frame["src"][:0], "distance": np.zeros(0)})
+        found = pd.concat([_nearest(sides[0], sides[-1], k), *([_nearest(sides[1], sides[0], k)] if len(sides) > 1 else [])])
+        return found.assign(group=frame["group"].iloc[0])[["group", "src", "dst", "distance"]]
+
+    near = every.groupBy("group", "dim__", "i__", "j__").applyInPandas(run, schema)
+    place = F.row_number().over(Window.partitionBy("group", "src").orderBy("distance", "dst"))
     return near.withColumn("place", place).where(F.col("place") <= k)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from strataframe.operators import detection as T
+from strataframe.operators import graph as G
 from strataframe.operators import random_volumes as R
 from strataframe.operators import volumes as V
 
@@ -233,3 +234,17 @@ def test_average_precision_by_hand(spark):
     assert {r.label: r.recall for r in top.collect()} == {0: pytest.approx(2 / 3), 7: 0.0}
     assert T.box_precision(preds, truths.limit(0), "image", "label", "box", "score", [0.5]).count() == 0
     assert T.box_precision(preds.limit(0), truths, "image", "label", "box", "score", [0.5]).count() == 2
+
+
+def test_nearest_in_blocks(spark):
+    x = np.round(RNG.standard_normal((120, 3)), 1)
+    x[100:] = x[7]  # copies: ties go to the lesser node
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(x)] + [(500, 1, None), (501, None, [1.0, 2.0, 3.0]), (502, 1, [1.0, 2.0]), (503, 0, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "id int, g int, v array<double>")
+    want = set()
+    for i in range(120):
+        others = [(np.sqrt(((x[j] - x[i]) ** 2).sum()), j) for j in range(i % 2, 120, 2) if j != i]
+        want |= {(i, j, p + 1) for p, (_, j) in enumerate(sorted(others)[:4])}
+    for block in (7, 2048):
+        assert {(r.src, r.dst, r.place) for r in G.knn(df, "id", "v", "g", 4, block).collect()} == want
+    assert G.knn(df.limit(0), "id", "v", "g", 4).count() == 0
