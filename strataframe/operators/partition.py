@@ -13,6 +13,12 @@ def hash_order(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
+def hash_unit(seed: int, *columns: str | Column) -> Column:
+    """A number in [0, 1) for each row, by the same md5: alike on every run and in every engine."""
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]))
+    return F.conv(F.substring(text, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def round_robin(df: DataFrame, parts: int, *order: str | Column) -> DataFrame:
     """Part of each row when rows in order are dealt in turn."""
     return with_row_index(df, *order).withColumn("part", F.pmod("row_index", F.lit(parts)).cast("int"))
