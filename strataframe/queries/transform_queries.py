@@ -81,7 +81,7 @@ def anchor_grid(spark, d):
 
 _MATCHES = _BOXES + """, p as (select a.image, a.box as anchor, b.box as truth, (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) as inter,
   (a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) as areas
-  from c a join c b on a.image = b.image and a.box % 4 <> 0 and b.box % 4 = 0 and least(a.xmax, b.xmax) > greatest(a.xmin, b.xmin) and least(a.ymax, b.ymax) > greatest(a.ymin, b.ymin)),
+  from c a join c b on a.image = b.image and a.box % 3 <> 0 and b.box % 3 = 0 and least(a.xmax, b.xmax) > greatest(a.xmin, b.xmin) and least(a.ymax, b.ymax) > greatest(a.ymin, b.ymin)),
 u as (select image, anchor, truth, inter / (areas - inter) as iou from p),
 w as (select *, row_number() over (partition by image, anchor order by iou desc, truth) as k, iou = max(iou) over (partition by image, truth) as top from u)
 """
@@ -90,7 +90,7 @@ w as (select *, row_number() over (partition by image, anchor order by iou desc,
 @query(_MATCHES + """select image, anchor, round(iou, 4) as iou, case when (select bool_or(top) from w z where z.image = w.image and z.anchor = w.anchor) or iou >= 0.5 then truth when iou >= 0.2 then -2 else -1 end as matched from w where k = 1""")
 def anchor_match(spark, d):
     rows = _boxes(spark, d)
-    pairs = B.overlap_join(rows.where("box % 4 <> 0"), rows.where("box % 4 = 0"), "image", 64.0)
+    pairs = B.overlap_join(rows.where("box % 3 <> 0"), rows.where("box % 3 = 0"), "image", 64.0)
     pairs = pairs.select(F.col("a_image").alias("image"), F.col("a_box").alias("anchor"), F.col("b_box").alias("truth"), "iou")
     return rounded(T.match_anchors(pairs, "image", "anchor", "truth", 0.2, 0.5))
 
