@@ -121,6 +121,82 @@ select d.id::bigint as doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)
 from d left join hit using (id) left join its using (id)
 """
 
+OP11 = """
+with recursive bits(i, v, k) as (
+  select r.i, r.i::bigint, 0 from range(256) r(i)
+  union all
+  select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(v order by i) as tb from bits where k = 8),
+d as (
+  select doc_id, source, coalesce(strlen(doc_id::varchar)::varchar || ':' || doc_id::varchar, '-') || coalesce(strlen(source)::varchar || ':' || source, '-')
+      || coalesce(strlen(lang)::varchar || ':' || lang, '-') || coalesce(strlen(n_chars::varchar)::varchar || ':' || n_chars::varchar, '-') as head,
+    coalesce(strlen(text)::varchar || ':' || text, '-') as body,
+    coalesce(strlen(text)::varchar || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') as changed,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda p: ('0x' || p)::bigint),
+      lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 5 = 0 as tampered
+  from documents, crc),
+leaves as (
+  select doc_id, source, sha256(head || body) as leaf, case when tampered then sha256(head || changed) else sha256(head || body) end as now,
+    dense_rank() over (order by source nulls first) as tree,
+    row_number() over (partition by source order by doc_id nulls first) - 1 as pos, count(*) over (partition by source) as n from d),
+up(tree, level, pos, h, n) as (
+  select tree, 0, pos, leaf, n from leaves
+  union all
+  select tree, level + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from up where n > 1 group by tree, level, pos // 16, n),
+roots as (select tree, h as subroot from up where n = 1),
+top(level, pos, h, n) as (
+  select 0, row_number() over (order by tree) - 1, subroot, count(*) over () from roots
+  union all
+  select level + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from top where n > 1 group by level, pos // 16, n),
+top_leaves as (select tree, subroot, row_number() over (order by tree) - 1 as pos from roots),
+root as (select h as root from top where n = 1),
+asked as (
+  select doc_id, l.tree, level, pos // (16 ** level)::bigint as own from leaves l join (select distinct tree, level from up where n > 1) using (tree)),
+low as (
+  select doc_id, level, coalesce(string_agg(h, '' order by pos) filter (pos < own), '') as le, coalesce(string_agg(h, '' order by pos) filter (pos > own), '') as ri
+  from asked join up using (tree, level) where pos // 16 = own // 16 group by doc_id, level),
+high as (
+  select tree, 100 + level as level, coalesce(string_agg(x.h, '' order by x.pos) filter (x.pos < own), '') as le, coalesce(string_agg(x.h, '' order by x.pos) filter (x.pos > own), '') as ri
+  from (select tree, level, pos // (16 ** level)::bigint as own from top_leaves, (select distinct level from top where n > 1)) join top x using (level)
+  where x.pos // 16 = own // 16 group by tree, level),
+steps as (select doc_id, level, le, ri from low union all select doc_id, level, le, ri from leaves join high using (tree)),
+paths as (select doc_id, list(le order by level) as le, list(ri order by level) as ri, string_agg(le || ri, '' order by level) as proof from steps group by doc_id),
+fold(doc_id, h, le, ri) as (
+  select doc_id, now, coalesce(le, []), coalesce(ri, []) from leaves left join paths using (doc_id)
+  union all
+  select doc_id, sha256(le[1] || h || ri[1]), le[2:], ri[2:] from fold where len(le) > 0)
+select doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) as proof_sha256, h as folded_root, h = root as verified
+from leaves join roots using (tree) left join paths using (doc_id) join (select doc_id, h from fold where len(le) = 0) using (doc_id), root
+"""
+
+OP12 = """
+with words as (
+  select coalesce(lang, 'und') as lang, d, p, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') as w
+  from (
+    select lang, d, generate_subscripts(pieces, 1) as p, unnest(pieces) as piece
+    from (select lang, row_number() over () as d, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') as pieces from documents))),
+runs as (select lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: w[i:i + k - 1])) as ph from words, range(1, 4) r(k)),
+f as (select lang, k, array_to_string(ph, ' ') as phrase, ph, count(*) as f from runs group by all),
+total as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and f >= 10),
+kept as (
+  select c.* from c where not exists (
+    select 1 from c x where x.lang = c.lang and x.k > c.k and 100 * x.f >= 50 * c.f and (x.ph[1:c.k] = c.ph or x.ph[2:c.k + 1] = c.ph))),
+cuts as (
+  select kept.lang, kept.phrase, kept.f as a, cut, l.f as l, r.f as r, ((1000000::hugeint * kept.f * kept.f) // (l.f::hugeint * r.f))::bigint as score
+  from kept, range(1, 3) t(cut) join f l on l.lang = kept.lang and l.ph = kept.ph[1:cut] join f r on r.lang = kept.lang and r.ph = kept.ph[cut + 1:]
+  where cut < kept.k),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
+"""
+
+OP13 = """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
+  row_number() over (partition by text_sha256 order by doc_id desc nulls last) = 1 as kept, text_sha256
+from (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents) window g as (partition by text_sha256)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -128,4 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mix": OP4,
         "op7_url_filter": OP7,
         "op8_decontaminate": OP8,
+        "op11_merkle_manifest": OP11,
+        "op12_collocations": OP12,
+        "op13_exact_dedup": OP13,
     }

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import (
+    collocations,
     decontaminate,
     embedding_dedup,
+    exact_dedup,
     language_id,
+    merkle,
     mixing,
     near_dedup,
     pii,
@@ -76,6 +79,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    fields = {name: F.col(name) for name in merkle.FIELDS}
+    changed = merkle.leaf_digest(list((fields | {"text": collocations.lower_ascii(F.col("text"))}).values()))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.verify_rows(docs, F.when(hit, changed))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_embedding_dedup,
@@ -88,5 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontaminate,
         op9_repeated_strings,
         op10_secret_scan,
+        op11_merkle_manifest,
+        op12_collocations,
+        op13_exact_dedup,
     ]
     return {f.__name__: f for f in found}
