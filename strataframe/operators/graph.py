@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -94,6 +96,51 @@ def propagate(nodes: DataFrame, edges: DataFrame, alpha: float, rounds: int, cla
     return best.select("node", F.col("x.l").alias("label"), (-F.col("x.s")).alias("score"))
 
 
+class Propagated(NamedTuple):
+    """Scores (node, label, score) of the solution, the greatest relative residual of a label, and the rounds taken."""
+
+    scores: DataFrame
+    residual: float
+    rounds: int
+
+
+def propagate_fully(nodes: DataFrame, edges: DataFrame, alpha: float, tolerance: float = 1e-8, most_rounds: int = 1000) -> Propagated:
+    """The limit of F <- alpha S F + (1 - alpha) Y, by conjugate gradients on (I - alpha S) F = (1 - alpha) Y.
+
+    ``nodes(node, label)`` with -1 or null for unlabelled; ``edges(src, dst, norm)`` hold S, symmetric, as ``affinity``
+    gives it.  All labels are solved at once: a round is one join of edges with the directions, one sum by node
+    and label, and four sums by label, from which both step lengths follow; its state is written to the shared
+    folder.  Only nodes that a label has reached have rows.  It ends once every label's residual is at most
+    ``tolerance`` times the length of its right side."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
+    edges = saved(edges.select("src", "dst", (F.col("norm") * alpha).alias("w")))
+    right = nodes.where("label >= 0").select("node", "label", F.lit(1.0 - alpha).alias("r")).distinct()
+    zero = F.lit(0.0)
+    now = saved(right.select("node", "label", zero.alias("x"), "r", F.col("r").alias("p")))
+    bars = saved(right.groupBy("label").agg(F.sum(F.col("r") * F.col("r")).alias("bb")))
+    rounds, residual = 0, 0.0 if now.isEmpty() else 1.0
+    while residual > tolerance and rounds < most_rounds:
+        spread = edges.join(now.select(F.col("node").alias("dst"), "label", "p"), "dst").groupBy("src", "label").agg((-F.sum(F.col("w") * F.col("p"))).alias("q"))
+        given = now.select("node", "label", "x", "r", "p", F.col("p").alias("q")).unionByName(spread.select(F.col("src").alias("node"), "label", zero.alias("x"), zero.alias("r"), zero.alias("p"), "q"))
+        full = saved(given.groupBy("node", "label").agg(*[F.sum(c).alias(c) for c in "xrpq"]))
+        c = {n: F.sum(F.col(n[0]) * F.col(n[1])).alias(n) for n in ("rr", "pq", "rq", "qq")}
+        step = F.when(F.col("pq") > 0, F.col("rr") / F.col("pq")).otherwise(0.0)
+        sums = full.groupBy("label").agg(*c.values()).withColumn("a", step)
+        left = F.greatest(F.col("rr") - 2 * F.col("a") * F.col("rq") + F.col("a") * F.col("a") * F.col("qq"), zero)
+        sums = saved(sums.select("label", "a", left.alias("rest"), F.when(F.col("rr") > 0, left / F.col("rr")).otherwise(0.0).alias("b")))
+        r = F.col("r") - F.col("a") * F.col("q")
+        now = saved(full.join(sums, "label").select("node", "label", (F.col("x") + F.col("a") * F.col("p")).alias("x"), r.alias("r"), (r + F.col("b") * F.col("p")).alias("p")))
+        residual, rounds = float(sums.join(bars, "label").agg(F.max(F.sqrt(F.col("rest") / F.col("bb")))).first()[0]), rounds + 1
+    return Propagated(now.select("node", "label", F.col("x").alias("score")), residual, rounds)
+
+
+def best_labels(nodes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(node, label, score) of every node: its label of greatest score, the lesser of equal ones; null where none came."""
+    best = scores.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("best"))
+    return nodes.select("node").distinct().join(best, "node", "left").select("node", "best.label", (-F.col("best.s")).alias("score"))
+
+
 def mmd_linear(df: DataFrame, vector: str, group: Column) -> DataFrame:
     """Squared distance of the mean vectors of two groups (true and false of ``group``)."""
     cells = df.select(group.alias("g"), F.posexplode(vector).alias("i", "v"))

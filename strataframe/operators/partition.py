@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.core.storage import with_row_index
+from strataframe.core.storage import saved, with_row_index
 
 
 def hash_order(seed: int, *columns: str) -> Column:
@@ -105,3 +105,26 @@ def weighted_pick(df: DataFrame, weight: str, draws: int, *order: str, seed: int
     placed = dealt.where((F.col("from__") <= F.col("point")) & (F.col("point") < F.col("to__"))).select("draw", "point", "b__")
     picked = placed.join(rows, "b__").where((F.col("low__") <= F.col("point")) & (F.col("point") < F.col("high__")))
     return picked.drop("b__", "start__", "low__", "high__", "w__")
+
+
+def weighted_sample(df: DataFrame, weight: str, count: int, *key: str, seed: int = 0) -> DataFrame:
+    """``count`` different rows, drawn without replacement with chances by ``weight``, and their ``sample_key``.
+
+    Each row gets -ln(u) / weight, u being its hash by seed and key, and the least keys win, as if rows were
+    drawn one after another by the weights of those left.  Two quantiles bracket the last key that wins: exact
+    counts tell how many lie below, and only rows within the bracket are put in order; if a count shows
+    that the bracket misses the last key, all rows are.  Null, zero and negative weights are never drawn;
+    fewer rows than ``count`` are all taken; equal keys fall to the lesser ``key``; reruns agree."""
+    value = F.col(weight).cast("double")
+    unit = hash_unit(seed, *key) + 2.0**-53  # never zero
+    rows = saved(df.where(value > 0).withColumn("sample_key", -F.log(unit) / value))
+    n = rows.count()
+    if n <= count:
+        return rows
+    part, slack = count / n, max(1e-3, 2 / n)
+    low, high = rows.agg(F.percentile_approx("sample_key", F.array(F.lit(max(0.0, part - slack)), F.lit(min(1.0, part + slack))), F.lit(10_000))).first()[0]
+    below, within = rows.agg(F.count_if(F.col("sample_key") < low), F.count_if(F.col("sample_key") <= high)).first()
+    if not below <= count <= within:
+        below, low, high = 0, float("-inf"), float("inf")
+    bracket = with_row_index(rows.where(F.col("sample_key").between(low, high)), "sample_key", *key, name="place__")
+    return rows.where(F.col("sample_key") < low).unionByName(bracket.where(F.col("place__") < count - below).drop("place__"))
