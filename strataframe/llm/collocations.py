@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from strataframe.llm.common import hinted, saved, small_enough
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What ends a piece and what parts words; fixed values.
-BREAKS, BLANKS = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+"
+#: What ends a piece; a fixed value.  Words are parted by spaces and tabs.
+BREAKS = r"[.,;:!?\x0A-\x0D]+"
 UNKNOWN = "und"
 #: Words of a piece whose phrases are made together; those that begin here end in the next stretch's words.
 STRETCH = 4096
@@ -23,24 +23,28 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _phrases(words: Column, n: int) -> Column:
-    """All runs of n words that begin in the first ``STRETCH``, each joined by spaces."""
-    begins = F.greatest(F.least(F.size(words) - (n - 1), F.lit(STRETCH)), F.lit(0))
-    return F.transform(F.slice(words, 1, begins), lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, n)]))
-
-
 def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> DataFrame:
     """(lang, phrase, f): how often each run of 1..max_n words occurs within pieces, overlaps included.
 
-    Runs are exploded into rows, counted where they are read and again after one exchange by phrase.  Of runs
-    of two words or more only those that occur ``least`` times are given."""
+    Words are exploded with their places, and at each place the runs that begin there: both steps are compiled,
+    unlike functions over arrays.  Runs are counted where they are read and again after one exchange, under one
+    key, language and phrase parted by a line break, which no phrase holds.  Of runs of two words or more only
+    those that occur ``least`` times are given."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")
-    pieces = docs.select(lang, F.explode(F.split(lower_ascii(F.col("text")), BREAKS)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", BLANKS), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+    lowered = F.replace(lower_ascii(F.col("text")), F.lit("\t"), F.lit(" "))
+    pieces = docs.select(lang, F.explode(F.split(lowered, BREAKS)).alias("piece"))
+    words = pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where(F.size("words") > 0)
     begins = F.sequence(F.lit(1), F.size("words"), F.lit(STRETCH))
     stretches = words.select("lang", F.explode(F.transform(begins, lambda i: F.slice("words", i, STRETCH + max_n - 1))).alias("words"))
-    counted = stretches.select("lang", F.explode(F.concat(*[_phrases(F.col("words"), n) for n in range(1, max_n + 1)])).alias("phrase")).groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f"))
-    return counted.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
+    placed = stretches.select("lang", "words", F.posexplode("words").alias("i", "word")).where(F.col("i") < STRETCH)
+    runs = [F.col("word")]
+    for k in range(1, max_n):
+        runs.append(F.concat(runs[-1], F.lit(" "), F.get("words", F.col("i") + k)))  # null beyond the end
+    keys = placed.select("lang", F.explode(F.array(*runs)).alias("phrase")).where(F.col("phrase").isNotNull())
+    counted = keys.groupBy(F.concat("lang", F.lit("\n"), "phrase").alias("key")).agg(F.count(F.lit(1)).alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    parted = counted.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
+    return parted.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
 
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, keep_percent: int = 50, top: int = 2000) -> DataFrame:
@@ -53,7 +57,11 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, keep_percent:
     Ties in score fall to the greater a, then to the phrase by UTF-8 bytes.  A null text has no words, a null
     language is ``und``; repeated rows count each time; texts of any length are taken in stretches of words;
     an empty table gives no rows; other columns are ignored."""
-    counts = saved(phrase_counts(docs, max_n, least))
+    return ranked_phrases(saved(phrase_counts(docs, max_n, least)), least, keep_percent, top)
+
+
+def ranked_phrases(counts: DataFrame, least: int, keep_percent: int, top: int) -> DataFrame:
+    """The phrases of ``collocations`` from the counts of ``phrase_counts``."""
     n_words = counts.where(~F.contains("phrase", F.lit(" "))).groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counts.where(F.col("f") >= least)
     words = F.split("phrase", " ")
