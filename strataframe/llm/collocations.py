@@ -13,6 +13,8 @@ BREAKS = r"[.,;:!?\x0A-\x0D]+"
 UNKNOWN = "und"
 #: Words of a piece whose phrases are made together; those that begin here end in the next stretch's words.
 STRETCH = 4096
+#: Bits of a filter's block, and blocks of a filter at most: 64 MB.
+BLOCK_BITS, MOST_BLOCKS = 1 << 15, 1 << 14
 #: Slices in which a language's phrases are ranked, before the slices' best are ranked together.
 SLICES = 64
 
@@ -23,28 +25,80 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> DataFrame:
-    """(lang, phrase, f): how often each run of 1..max_n words occurs within pieces, overlaps included.
-
-    Words are exploded with their places, and at each place the runs that begin there: both steps are compiled,
-    unlike functions over arrays.  Runs are counted where they are read and again after one exchange, under one
-    key, language and phrase parted by a line break, which no phrase holds.  Of runs of two words or more only
-    those that occur ``least`` times are given."""
+def _words(docs: DataFrame, max_n: int) -> DataFrame:
+    """(lang, words, i): every word's place within its stretch of a piece, compiled generators only but for the cut
+    into stretches; a stretch holds the words in which its last runs end as well."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")
     lowered = F.replace(lower_ascii(F.col("text")), F.lit("\t"), F.lit(" "))
     pieces = docs.select(lang, F.explode(F.split(lowered, BREAKS)).alias("piece"))
     words = pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where(F.size("words") > 0)
     begins = F.sequence(F.lit(1), F.size("words"), F.lit(STRETCH))
     stretches = words.select("lang", F.explode(F.transform(begins, lambda i: F.slice("words", i, STRETCH + max_n - 1))).alias("words"))
-    placed = stretches.select("lang", "words", F.posexplode("words").alias("i", "word")).where(F.col("i") < STRETCH)
-    runs = [F.col("word")]
-    for k in range(1, max_n):
-        runs.append(F.concat(runs[-1], F.lit(" "), F.get("words", F.col("i") + k)))  # null beyond the end
-    keys = placed.select("lang", F.explode(F.array(*runs)).alias("phrase")).where(F.col("phrase").isNotNull())
-    counted = keys.groupBy(F.concat("lang", F.lit("\n"), "phrase").alias("key")).agg(F.count(F.lit(1)).alias("f"))
-    phrase = F.substring_index("key", "\n", -1)
-    parted = counted.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
-    return parted.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
+    return stretches.select("lang", "words", F.posexplode("words").alias("i", "word")).where(F.col("i") < STRETCH).drop("word")
+
+
+def _key(first: int, n: int) -> Column:
+    """Language and n words from the place on, parted by a line break, which no phrase holds; null beyond the end."""
+    parts = ["lang", F.lit("\n"), F.get("words", F.col("i") + first)]
+    for k in range(first + 1, first + n):
+        parts += [F.lit(" "), F.get("words", F.col("i") + k)]
+    return F.concat(*parts)
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(BLOCK_BITS)).cast("int")
+
+
+def _frequent_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(block, bits): a Bloom filter of ``keys(key)`` with 16 bits a key in blocks of 32,768, at most 64 MB in all.
+
+    Beyond that more keys share a bit: fewer runs are held back, none is lost."""
+    n, blocks = keys.count(), 1
+    while blocks * BLOCK_BITS < 16 * n and blocks < MOST_BLOCKS:
+        blocks *= 2
+    marks = keys.select(_block(F.col("key"), blocks).alias("block"), _bit(F.col("key")).alias("bit"))
+    longs = marks.groupBy("block", F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, bit % 64))").alias("v"))
+    held = longs.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda at: F.coalesce(F.element_at("m", at), F.lit(0).cast("long")))
+    return saved(held.select("block", every.alias("bits"))), blocks
+
+
+def _passed(rows: DataFrame, key: Column, found: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose key the filter may hold."""
+    bits, blocks = found
+    looked_up = rows.withColumns({"block": _block(key, blocks), "bit": _bit(key)}).join(F.broadcast(bits), "block")
+    return looked_up.where(F.expr("getbit(bits[bit div 64], bit % 64) = 1")).drop("block", "bit", "bits")
+
+
+def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> DataFrame:
+    """(lang, phrase, f): how often each run of 1..max_n words occurs within pieces, overlaps included.
+
+    Runs are exploded into rows, counted where they are read and again after one exchange by language and
+    phrase.  Words and pairs come first; a longer run is exploded only where both runs of one word less that it
+    holds may be frequent, by a broadcast filter of bounded size that lets no frequent one out, as a run occurs
+    no more often than its parts.  Of runs of two words or more only those that occur ``least`` times are given."""
+    placed = _words(docs, max_n)
+
+    def counted(keys: DataFrame) -> DataFrame:
+        counts = keys.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+        phrase = F.substring_index("key", "\n", -1)
+        parted = counts.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
+        return saved(parted.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" "))))
+
+    found = now = counted(placed.select(F.explode(F.array(*[_key(0, n) for n in range(1, min(max_n, 2) + 1)])).alias("key")))
+    for n in range(3, max_n + 1):
+        shorter = now.where((F.col("f") >= least) & (F.size(F.split("phrase", " ")) == n - 1))
+        known = _frequent_filter(shorter.select(F.concat("lang", F.lit("\n"), "phrase").alias("key")))
+        runs = placed.where(F.col("i") + n <= F.size("words"))
+        for first in (0, 1):
+            runs = _passed(runs, _key(first, n - 1), known)
+        now = counted(runs.select(_key(0, n).alias("key")))
+        found = found.unionByName(now)
+    return found
 
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, keep_percent: int = 50, top: int = 2000) -> DataFrame:
@@ -57,7 +111,7 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, keep_percent:
     Ties in score fall to the greater a, then to the phrase by UTF-8 bytes.  A null text has no words, a null
     language is ``und``; repeated rows count each time; texts of any length are taken in stretches of words;
     an empty table gives no rows; other columns are ignored."""
-    return ranked_phrases(saved(phrase_counts(docs, max_n, least)), least, keep_percent, top)
+    return ranked_phrases(phrase_counts(docs, max_n, least), least, keep_percent, top)
 
 
 def ranked_phrases(counts: DataFrame, least: int, keep_percent: int, top: int) -> DataFrame:
