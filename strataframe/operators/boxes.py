@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.core.storage import saved
+
 CORNERS = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -125,48 +128,73 @@ def overlap_join(left: DataFrame, right: DataFrame, image: str, cell: float) ->
     inter = (x1 - x0) * (y1 - y0)
     union = area("a_") + area("b_") - inter
     hull = (F.greatest("a_xmax", "b_xmax") - F.least("a_xmin", "b_xmin")) * (F.greatest("a_ymax", "b_ymax") - F.least("a_ymin", "b_ymin"))
-    return met.withColumns({"inter": inter, "iou": inter / union, "giou": inter / union - (hull - union) / hull}).drop("a_gx", "a_gy", "b_gx", "b_gy", "b_image")
+    # A later filter on the overlap may be tried on pairs that don't meet, whose union can be zero.
+    iou = F.try_divide(inter, union)
+    return met.withColumns({"inter": inter, "iou": iou, "giou": iou - F.try_divide(hull - union, hull)}).drop("a_gx", "a_gy", "b_gx", "b_gy", "b_image")
+
+
+def mutual_best(rows: DataFrame, left: Sequence[str], right: Sequence[str], order: Column) -> DataFrame:
+    """The rows that a greedy one-to-one matching takes: by rising ``order``, each whose left and right key are free.
+
+    In each round every key names its least row; rows named from both sides are taken, and those that share
+    a key with them go.  A row that is least at both ends is free when its turn comes, so this is the
+    sequential result, by grouped minima and equality joins alone; a hot key is never gathered.  Rounds are
+    written to the shared folder.  ``order`` must tell all rows apart; keys aren't null."""
+    left, right = list(left), list(right)
+    open_rows = saved(rows.withColumn("order__", order))
+    taken: list[DataFrame] = []
+    while not open_rows.isEmpty():
+        named = open_rows
+        for key, name in ((left, "l__"), (right, "r__")):
+            named = named.join(open_rows.groupBy(*key).agg(F.min("order__").alias(name)), key)
+        now = saved(named.where("order__ = l__ and order__ = r__").select(*open_rows.columns))
+        taken.append(now)
+        for key in (left, right):
+            open_rows = open_rows.join(now.select(*key), key, "left_anti")
+        open_rows = saved(open_rows)
+    out = open_rows
+    for part in taken:
+        out = out.unionByName(part)
+    return out.drop("order__")
+
+
+def usual_cell(boxes: DataFrame) -> float:
+    """A grid cell for ``overlap_join``: twice the mean longer side of the boxes."""
+    side = boxes.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
+    return 2.0 * side if side else 1.0
 
 
 def suppress(boxes: DataFrame, group: list[str], score: str, tie: str, most: float) -> DataFrame:
     """Greedy suppression in each group: the best box stays and removes those that overlap it by more than ``most``.
 
-    A group (one image and label) is taken by one task, which holds its boxes and compares the one
-    box that is kept with those that are left."""
-    schema = boxes.schema
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([score, tie], ascending=[False, True])
-        left, kept = frame, []
-        while len(left):
-            top = left.iloc[0]
-            kept.append(left.index[0])
-            rest = left.iloc[1:]
-            w = (rest["xmax"].clip(upper=top["xmax"]) - rest["xmin"].clip(lower=top["xmin"])).clip(lower=0)
-            h = (rest["ymax"].clip(upper=top["ymax"]) - rest["ymin"].clip(lower=top["ymin"])).clip(lower=0)
-            inter = w * h
-            size = (rest["xmax"] - rest["xmin"]) * (rest["ymax"] - rest["ymin"])
-            union = size + (top["xmax"] - top["xmin"]) * (top["ymax"] - top["ymin"]) - inter
-            left = rest[inter / union <= most]
-        return frame.loc[kept]
-
-    return boxes.groupBy(*group).applyInPandas(run, schema)
+    Pairs that overlap so much come from ``overlap_join``.  In each round the boxes that no open better box
+    overlaps stay, and what they overlap goes; the open pairs left are written to the shared folder.  That is
+    the sequential result, as a box's fate hangs on better ones only; no image is one task.  Equal scores
+    fall to the lesser ``tie``, equal ties to either; null scores come last; a null group is one of its own."""
+    columns = boxes.columns
+    marked = saved(boxes.withColumn("mark__", F.monotonically_increasing_id()))
+    worth = F.struct(F.coalesce(-F.col(score).cast("double"), F.lit(float("inf"))).alias("s"), F.col(tie).alias("t"), F.col("mark__").alias("m"))
+    sides = marked.select(F.struct(*group).alias("image__"), "mark__", worth.alias("worth__"), *CORNERS)
+    met = overlap_join(sides, sides, "image__", usual_cell(marked)).where((F.col("a_worth__") < F.col("b_worth__")) & (F.col("iou") > most))
+    pairs, gone = saved(met.select(F.col("a_mark__").alias("good"), F.col("b_mark__").alias("bad"))), []
+    while not pairs.isEmpty():
+        stay = pairs.select("good").distinct().join(pairs.select(F.col("bad").alias("good")), "good", "left_anti")
+        now = saved(pairs.join(stay, "good", "left_semi").select(F.col("bad").alias("mark__")).distinct())
+        gone.append(now)
+        pairs = pairs.join(stay, "good", "left_anti")
+        for end in ("good", "bad"):
+            pairs = pairs.join(now.select(F.col("mark__").alias(end)), end, "left_anti")
+        pairs = saved(pairs)
+    for part in gone:
+        marked = marked.join(part, "mark__", "left_anti")
+    return marked.select(*columns)
 
 
 def greedy_match(pairs: DataFrame, image: str, pred: str, truth: str, score: str, least: float) -> DataFrame:
     """One-to-one matching of each image: predictions by falling score take their best free truth.
 
-    ``pairs(image, pred, truth, score, iou)`` holds overlapping pairs only."""
-    schema = pairs.select(image, pred, truth, "iou").schema
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["iou"] >= least].sort_values([score, pred, "iou", truth], ascending=[False, True, False, True])
-        used_p, used_t, kept = set(), set(), []
-        for i, p, t in zip(frame.index, frame[pred], frame[truth], strict=True):
-            if p not in used_p and t not in used_t:
-                used_p.add(p)
-                used_t.add(t)
-                kept.append(i)
-        return frame.loc[kept, [image, pred, truth, "iou"]]
-
-    return pairs.groupBy(image).applyInPandas(run, schema)
+    ``pairs(image, pred, truth, score, iou)`` holds overlapping pairs only; ties fall to the lesser prediction
+    and truth.  Rows with a null key are left out; of repeated pairs one counts."""
+    rows = pairs.where(F.col("iou") >= least).select(image, pred, truth, score, "iou").dropna(subset=[image, pred, truth]).dropDuplicates([image, pred, truth])
+    order = F.struct(-F.col(score), F.col(pred), -F.col("iou"), F.col(truth), F.col(image))
+    return mutual_best(rows, [image, pred], [image, truth], order).select(image, pred, truth, "iou")

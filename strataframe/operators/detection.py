@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strataframe.core.storage import with_running_sums
-from strataframe.operators.boxes import overlap_join
+from strataframe.core.storage import saved, with_running_sums
+from strataframe.operators.boxes import mutual_best, overlap_join, usual_cell
 
 
 def point_places(*coordinates: Column, level: int = 0) -> list[Column]:
@@ -65,29 +63,17 @@ def froc_score(points: DataFrame, rates: Sequence[float] = (0.25, 0.5, 1, 2, 4,
     return points.agg(*ends).select((total / len(rates)).alias("froc_score"))
 
 
-def matches_at(pairs: DataFrame, keys: Sequence[str], pred: str, truth: str, score: str, overlaps: Sequence[float]) -> DataFrame:
-    """``(*keys, pred, at)``: the predictions that get a truth of their own at each least overlap.
+def matches_at(pairs: DataFrame, keys: Sequence[str], pred: str, truth: str, score: str, overlaps: Sequence[float], ignore: str | None = None) -> DataFrame:
+    """``(*keys, pred, at, ignored)``: the predictions that get a truth of their own at each least overlap.
 
     By falling score (ties: the lesser ``pred``), a prediction takes the free truth that it overlaps
-    most (ties: the lesser).  A group of keys, one image and label, is matched in one task, which holds
-    its overlapping pairs."""
-    fields = [pairs.schema[c] for c in (*keys, pred)]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([score, pred, "iou", truth], ascending=[False, True, False, True])
-        at, rows = [], []
-        for least in overlaps:
-            done, used = set(), set()
-            enough = frame[frame["iou"] >= least]
-            for i, p, t in zip(enough.index, enough[pred], enough[truth], strict=True):
-                if p not in done and t not in used:
-                    done.add(p)
-                    used.add(t)
-                    rows.append(i)
-                    at.append(float(least))
-        return frame.loc[rows, [*keys, pred]].assign(at=at)
-
-    return pairs.groupBy(*keys).applyInPandas(run, StructType([*fields, StructField("at", DoubleType())]))
+    most (ties: the lesser); one to be ignored, as boolean ``ignore`` says, only if no other is free.  All
+    overlaps are matched at once, by rounds of mutual best over pairs, so no image is one task."""
+    out = F.lit(False) if ignore is None else F.coalesce(F.col(ignore), F.lit(False))
+    levels = F.explode(F.array(*[F.lit(float(o)) for o in overlaps])).alias("at")
+    rows = pairs.select(*keys, pred, truth, score, "iou", out.alias("ignored"), levels).where(F.col("iou") >= F.col("at"))
+    order = F.struct(-F.col(score), F.col(pred), "ignored", -F.col("iou"), F.col(truth), *keys, "at")
+    return mutual_best(rows, [*keys, "at", pred], [*keys, "at", truth], order).select(*keys, pred, "at", "ignored")
 
 
 def box_precision(
@@ -130,3 +116,78 @@ def box_precision(
     made = filled.groupBy(label, "at").agg((F.sum("area__") / 101).alias("ap"), F.max("r__").alias("recall"))
     every = wanted.select(label, levels)
     return every.join(made, [label, "at"], "left").select(label, "at", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+
+
+def _precision_area(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, ap)`` from ``ranked(*keys, n, percent, precision)``: the mean of the best precision at each of 101 recalls."""
+    steps = ranked.groupBy(*keys, "percent").agg(F.max("precision").alias("p"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("percent")).rowsBetween(Window.unboundedPreceding, 0)
+    width = F.col("percent") - F.coalesce(F.lag("percent").over(Window.partitionBy(*keys).orderBy("percent")), F.lit(-1))
+    return steps.select(*keys, (width * F.max("p").over(down)).alias("area")).groupBy(*keys).agg((F.sum("area") / 101).alias("ap"))
+
+
+def coco_metrics(
+    preds: DataFrame,
+    truths: DataFrame,
+    classes: Sequence[int],
+    overlaps: Sequence[float] = (0.1, 0.5, 0.75),
+    overlap_range: tuple[float, float, float] = (0.1, 0.5, 0.05),
+    most: Sequence[int] = (1, 5, 100),
+    ignore: str | None = None,
+) -> DataFrame:
+    """``(measure, label, at, most, value)``: average precision (AP) and recall (AR) of boxes, one row a figure.
+
+    ``preds(image, label, box, score, corners)``, ``truths(image, label, box, corners)``; ``label`` null is the mean
+    over ``classes``, ``at`` null the mean over ``overlap_range`` (first, last, step).  AP is given at the last of
+    ``most``, the numbers of best predictions of an image and label that count; AR of the range at each of them, of
+    single overlaps at the last.  Predictions that take a truth to be ignored (boolean column ``ignore``) count
+    neither way, and such truths aren't wanted.  A class without a wanted truth has -1: means of AP hold it,
+    means of AR leave it out and are -1 without any other.  Rows with nulls in the needed columns are left out.
+
+    Matches are found once, with the last of ``most``, as lesser predictions can't change those of better ones.
+    Rankings are running sums over ranges of one order, so a class of any size is no task's load."""
+    first, last, step = overlap_range
+    n_steps = round((last - first) / step)
+    in_range = [round(first + i * (last - first) / max(n_steps, 1), 9) for i in range(n_steps + 1)]
+    every = sorted({*in_range, *(round(o, 9) for o in overlaps)})
+    sides = ["xmin", "ymin", "xmax", "ymax"]
+    wanted_class = F.col("label").isin(list(classes))
+    out = F.lit(False) if ignore is None else F.coalesce(F.col(ignore), F.lit(False))
+    best = Window.partitionBy("image", "label").orderBy(F.desc("score"), "box")
+    found = preds.where(wanted_class).select("image", "label", "box", "score", *sides).dropna()
+    found = saved(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(most)))
+    real = saved(truths.where(wanted_class).select("image", "label", "box", *sides, out.alias("out")).dropna())
+    keyed = lambda df, *more: df.select(F.struct("image", "label").alias("at__"), "box", *more, *sides)
+    met = overlap_join(keyed(found, "score"), keyed(real, "out"), "at__", usual_cell(real))
+    pairs = met.select("a_image.image", "a_image.label", F.col("a_box").alias("box"), F.col("b_box").alias("truth"), F.col("a_score").alias("score"), F.col("b_out").alias("out"), "iou")
+    hits = saved(matches_at(pairs, ["image", "label"], "box", "truth", "score", every, "out"))
+    levels = F.explode(F.array(*[F.lit(o) for o in every])).alias("at")
+    wanted = saved(real.where("not out").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+
+    seen = found.select("image", "label", "box", "score", "rank", levels).join(hits, ["image", "label", "box", "at"], "left").where("ignored is null or not ignored")
+    seen = saved(seen.select("image", "label", "box", "score", "rank", "at", F.col("ignored").isNotNull().cast("int").alias("hit")))
+    recall = seen.where("hit = 1").withColumn("most", F.explode(F.array(*map(F.lit, most)))).where("rank <= most").groupBy("label", "at", "most").agg(F.count(F.lit(1)).alias("h"))
+    order = F.struct("label", "at", -F.col("score"), "image", "box")
+    sums = with_running_sums(seen.select("label", "at", "hit", F.lit(1).alias("one"), order.alias("order")), F.col("order"), {"tp": "hit", "all": "one"})
+    starts = sums.groupBy("label", "at").agg(F.min(F.col("tp") - F.col("hit")).alias("tp0"), F.min(F.col("all") - 1).alias("all0"))
+    points = sums.join(starts, ["label", "at"]).join(wanted, "label")
+    h = F.col("tp") - F.col("tp0")
+    area = _precision_area(points.select("label", "at", F.floor(100 * h / F.col("n")).cast("int").alias("percent"), (h / (F.col("all") - F.col("all0"))).alias("precision")), ["label", "at"])
+
+    spark = preds.sparkSession
+    frame = spark.createDataFrame([(c,) for c in classes], "label long").select("label", levels).join(wanted, "label", "left")
+    value = lambda given: F.when(F.col("n").isNull(), -1.0).otherwise(F.coalesce(given, F.lit(0.0)))
+    ap = frame.join(area, ["label", "at"], "left").select(F.lit("AP").alias("measure"), "label", "at", F.lit(most[-1]).alias("most"), value(F.col("ap")).alias("value"))
+    ar = frame.withColumn("most", F.explode(F.array(*map(F.lit, most)))).join(recall, ["label", "at", "most"], "left")
+    ar = ar.select(F.lit("AR").alias("measure"), "label", "at", "most", value(F.col("h") / F.col("n")).alias("value"))
+    cells = saved(ap.unionByName(ar))
+
+    def mean(rows: DataFrame, *keys: str) -> DataFrame:
+        some = F.avg(F.when((F.col("measure") == "AP") | (F.col("value") > -1), F.col("value")))
+        made = rows.groupBy("measure", "most", *keys).agg(F.coalesce(some, F.lit(-1.0)).alias("value"))
+        null = {"label": F.lit(None).cast("long"), "at": F.lit(None).cast("double")}
+        return made.select("measure", *[F.col(c) if c in keys else null[c].alias(c) for c in ("label", "at")], "most", "value")
+
+    ranged = cells.where(F.col("at").isin(in_range))
+    single = cells.where(F.col("at").isin([round(o, 9) for o in overlaps]) & (F.col("most") == most[-1]))
+    return mean(ranged).unionByName(mean(ranged, "label")).unionByName(mean(single, "at")).unionByName(single.select("measure", "label", "at", "most", "value"))

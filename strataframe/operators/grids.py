@@ -230,3 +230,83 @@ def outer_background(cells: DataFrame, case: str, axes: Sequence[str], inside: C
     In a case with nothing inside all background is outer."""
     far = distance_transform(cells, case, axes, inside)
     return far.withColumn("outer", F.coalesce(background, F.lit(False)) & (F.col("d2") >= least * least))
+
+
+def _kept_by_component(cells: DataFrame, found: DataFrame, case: str, keep: Column, groups: list[Column], name: str) -> DataFrame:
+    """``found`` and ``name``: whether its component passes ``keep``, a column over the aggregates ``groups``."""
+    each = found.where("component is not null").groupBy(F.col(case).alias("case__"), "label__", F.col("component").alias("component__")).agg(*groups).where(keep)
+    on = F.col(case).eqNullSafe(F.col("case__")) & (F.col("label__") == F.col("l__")) & (F.col("component") == F.col("component__"))
+    chosen = each.select("case__", F.col("label__").alias("l__"), "component__", F.lit(True).alias(name))
+    return found.join(chosen, on, "left").select(*cells.columns, F.coalesce(name, F.lit(False)).alias(name))
+
+
+def small_objects(cells: DataFrame, case: str, axes: Sequence[str], label: str, least: int, full: bool = False, side: int = 32) -> DataFrame:
+    """``cells`` and boolean ``small``: whether a cell's component of its label has fewer than ``least`` cells.
+
+    Labels of zero and null are background, which is never small."""
+    mine = cells.withColumn("label__", F.when(F.col(label) != 0, F.col(label)))
+    found = grid_components(mine, case, axes, "label__", full, side)
+    return _kept_by_component(cells, found, case, F.col("n__") < least, [F.count(F.lit(1)).alias("n__")], "small")
+
+
+def holes(cells: DataFrame, case: str, axes: Sequence[str], inside: Column, side: int = 32) -> DataFrame:
+    """``cells`` and boolean ``hole``: outside, in a component of outside cells that doesn't reach its case's extent.
+
+    Outside cells are connected over faces.  Each case is a box; cells that are missing count as walls."""
+    axes = list(axes)
+    mine = cells.withColumn("label__", F.when(~F.coalesce(inside, F.lit(False)), 0))
+    found = grid_components(mine, case, axes, "label__", False, side)
+    extent = cells.groupBy(F.col(case).alias("e__")).agg(*[f(a).alias(f"{n}_{a}__") for a in axes for n, f in (("low", F.min), ("high", F.max))])
+    ends = F.lit(False)
+    for a in axes:
+        ends = ends | (F.col(a) == F.col(f"low_{a}__")) | (F.col(a) == F.col(f"high_{a}__"))
+    marked = found.join(extent, F.col(case).eqNullSafe(F.col("e__"))).withColumn("end__", ends)
+    return _kept_by_component(cells, marked, case, ~F.col("ends__"), [F.bool_or("end__").alias("ends__")], "hole")
+
+
+def surface_metrics(cells: DataFrame, case: str, axes: Sequence[str], pred: Column, truth: Column, spacing: Sequence[float] | None = None, tolerance: float = 1.0, percent: float = 95.0) -> DataFrame:
+    """Distances between the surfaces of two masks: one row a case of dense ``cells``.
+
+    ``n_pred`` and ``n_truth`` are cells of the surfaces (inside, with a face neighbour outside or beyond the grid).
+    ``average`` is the mean distance from the predicted surface to the true one, ``average_both`` that of both
+    directions together, ``hausdorff`` the greatest of either direction, ``hausdorff_percent`` the greater of their
+    percentiles, ``surface_dice`` the part of both surfaces that lies within ``tolerance`` of the other.  Without
+    a predicted surface averages are null, without any surface all are; against an empty one distances
+    are infinite.  Distances come from two exact transforms, line by line; a case is only ever aggregated."""
+    axes = list(axes)
+    now = boundary_cells(cells.withColumns({"p__": F.coalesce(pred, F.lit(False)), "t__": F.coalesce(truth, F.lit(False))}).select(case, *axes, "p__", "t__"), case, axes, F.col("p__")).withColumnRenamed("boundary", "pe__")
+    now = boundary_cells(now, case, axes, F.col("t__")).withColumnRenamed("boundary", "te__").drop("p__", "t__")
+    now = distance_transform(now, case, axes, F.col("te__"), spacing).withColumnRenamed("d2", "to_t__")
+    now = distance_transform(now, case, axes, F.col("pe__"), spacing).withColumnRenamed("d2", "to_p__")
+    far_p, far_t = F.when(F.col("pe__"), F.sqrt("to_t__")), F.when(F.col("te__"), F.sqrt("to_p__"))
+    at = F.lit(percent / 100)
+    sums = now.groupBy(case).agg(
+        F.count_if("pe__").alias("n_pred"), F.count_if("te__").alias("n_truth"), F.sum(far_p).alias("sp"), F.sum(far_t).alias("st"), F.max(far_p).alias("mp"), F.max(far_t).alias("mt"),
+        F.percentile(far_p, at).alias("qp"), F.percentile(far_t, at).alias("qt"), F.count_if(far_p <= tolerance).alias("np"), F.count_if(far_t <= tolerance).alias("nt"),
+    )
+    both = F.col("n_pred") + F.col("n_truth")
+    return sums.select(
+        case, "n_pred", "n_truth", F.when(F.col("n_pred") > 0, F.col("sp") / F.col("n_pred")).alias("average"),
+        F.when(both > 0, (F.coalesce("sp", F.lit(0.0)) + F.coalesce("st", F.lit(0.0))) / both).alias("average_both"), F.greatest("mp", "mt").alias("hausdorff"),
+        F.greatest("qp", "qt").alias("hausdorff_percent"), F.when(both > 0, (F.col("np") + F.col("nt")) / both).alias("surface_dice"),
+    )
+
+
+def instance_table(found: DataFrame, case: str, axes: Sequence[str], kind: Column) -> DataFrame:
+    """One row an instance of ``grid_components`` (case, component): its cells, the mean of each coordinate, its bounding
+    box, and its kind: the most frequent ``kind`` but 0 and null (0 only if there's no other), the lesser of equal ones,
+    with its share of the instance's cells."""
+    axes = list(axes)
+    rows = found.where("component is not null").withColumn("kind__", kind)
+    own = rows.groupBy(case, "component").agg(F.count(F.lit(1)).alias("n_cells"), *[c for a in axes for c in (F.avg(a).alias(f"{a}_mean"), F.min(a).alias(f"{a}_low"), F.max(a).alias(f"{a}_high"))])
+    votes = rows.groupBy(case, "component", "kind__").agg(F.count(F.lit(1)).alias("v__"))
+    rank = F.struct(F.coalesce(F.col("kind__") != 0, F.lit(False)).cast("int").alias("real"), F.when(F.col("kind__").isNull(), 0).otherwise(1).alias("known"), F.col("v__").alias("v"), (-F.col("kind__")).alias("k"))
+    won = votes.groupBy(case, "component").agg(F.max(F.struct(rank.alias("rank"), F.col("kind__").alias("kind"), F.col("v__").alias("v"))).alias("won"))
+    on = F.col("o.component").eqNullSafe(F.col("w.component")) & F.col(f"o.{case}").eqNullSafe(F.col(f"w.{case}"))
+    return own.alias("o").join(won.alias("w"), on).select("o.*", F.col("won.kind").alias("kind"), (F.col("won.v") / F.col("n_cells")).alias("kind_share"))
+
+
+def slices_with(cells: DataFrame, case: str, axis: str, label: str) -> DataFrame:
+    """(case, label, axis): the slices along an axis that hold each label but 0, with its number of cells there."""
+    some = cells.where(F.col(label) != 0)
+    return some.groupBy(case, label, axis).agg(F.count(F.lit(1)).alias("n_cells"))

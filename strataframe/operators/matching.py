@@ -1,10 +1,13 @@
-"""Matching of anchors with true boxes by the statistics of their nearest anchors."""
+"""Matching: anchors with true boxes by the statistics of their nearest anchors, and one-to-one by greatest total."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.core.components import components
 from strataframe.core.storage import saved
 from strataframe.operators.boxes import CORNERS
 
@@ -72,3 +75,62 @@ def atss_match(truths: DataFrame, anchors: DataFrame, candidates: int = 4, per_p
     best = fits.groupBy("image", "anchor").agg(F.min(F.struct((-F.col("iou")).alias("x"), "truth")).alias("best"))
     matched = best.select("image", "anchor", "best.truth", (-F.col("best.x")).alias("iou"))
     return anchors.select("image", "anchor").join(matched, ["image", "anchor"], "left")
+
+
+def best_assignment(values: np.ndarray) -> np.ndarray:
+    """For each row its column, or -1, so that the sum of the values so chosen is greatest; values aren't negative.
+
+    Rows are added one by one along shortest augmenting paths with potentials; every row also has a column of
+    its own worth nothing."""
+    n, m = values.shape
+    cost = np.hstack([-values, np.zeros((n, n))])
+    u, v, owner = np.zeros(n), np.zeros(m + n), np.full(m + n, -1)
+    for start in range(n):
+        dist, back, seen = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool)
+        row, last, so_far = start, -1, 0.0
+        while row >= 0:
+            step = so_far + cost[row] - u[row] - v
+            better = ~seen & (step < dist)
+            dist[better], back[better] = step[better], last
+            at = int(np.where(seen, np.inf, dist).argmin())
+            so_far, seen[at], last, row = dist[at], True, at, int(owner[at])
+        closed = seen.copy()
+        closed[last] = False
+        u[start] += so_far
+        u[owner[closed]] += so_far - dist[closed]
+        v[closed] -= so_far - dist[closed]
+        while last >= 0:
+            owner[last] = owner[back[last]] if back[last] >= 0 else start
+            last = int(back[last])
+    out = np.full(n, -1)
+    for column in range(m):
+        if owner[column] >= 0 and values[owner[column], column] > 0:
+            out[owner[column]] = column
+    return out
+
+
+def optimal_match(pairs: DataFrame, image: str, truth: str, pred: str, value: str, least: float = 0.0) -> DataFrame:
+    """The one-to-one matching of greatest total ``value`` in each image, and of it the pairs over ``least``.
+
+    ``pairs(image, truth, pred, value)`` holds overlapping pairs only.  Boxes or segments that aren't linked by
+    overlaps, over any number of steps, don't bear on each other: the components of the pairs are found
+    first, and each is solved exactly by itself.  So a task holds a cluster of overlapping things, not an image.
+    Rows with nulls, and values of zero or less, are left out; of repeated pairs the greatest counts; which of
+    several best matchings is given isn't defined."""
+    rows = pairs.select(image, truth, pred, F.col(value).cast("double").alias(value)).dropna().where(F.col(value) > 0)
+    rows = saved(rows.groupBy(image, truth, pred).agg(F.max(value).alias(value)))
+    end = lambda kind, c: F.struct(F.col(image).cast("string").alias("i"), F.lit(kind).alias("k"), F.col(c).cast("string").alias("n"))
+    found = components(rows.select(end("t", truth).alias("a"), end("p", pred).alias("b")))
+    dealt = rows.withColumn("node", end("t", truth)).join(found, "node").select(image, truth, pred, value, F.to_json("component").alias("cluster__"))
+    schema = dealt.drop("cluster__").schema
+    names = schema.names
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        row, rows_ = pd.factorize(frame[truth], sort=True)
+        column, columns = pd.factorize(frame[pred], sort=True)
+        table = np.zeros((len(rows_), len(columns)))
+        table[row, column] = frame[value]
+        chosen = best_assignment(table)
+        return frame.loc[chosen[row] == column, names]
+
+    return dealt.groupBy("cluster__").applyInPandas(solve, schema).where(F.col(value) > least)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.core.components import components
 from strataframe.core.storage import saved, with_row_index
 
 
@@ -97,7 +98,14 @@ def fuse_regions(nodes: DataFrame, edges: DataFrame, features: Sequence[str], ta
             edges = edges.join(to, ["case", side], "left").withColumn(side, F.coalesce("into", side)).drop("into")
         edges = edges.select("case", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
-    final: DataFrame | None = None  # where each region that has gone ended, from the last round back
+    return _ended(kept, rounds)
+
+
+def _ended(nodes: DataFrame, rounds: Sequence[DataFrame]) -> DataFrame:
+    """(case, node, region): the last region of each node, from each round's (case, region, into).
+
+    Rounds are put together from the last one back, so each is joined at its own, falling, size."""
+    final: DataFrame | None = None
     for renamed in reversed(rounds):
         if final is None:
             final = renamed
@@ -106,8 +114,8 @@ def fuse_regions(nodes: DataFrame, edges: DataFrame, features: Sequence[str], ta
         now = renamed.join(later, ["case", "into"], "left").select("case", "region", F.coalesce("last", "into").alias("into"))
         final = saved(now.unionByName(final))
     if final is None:
-        return kept.select("case", "node", F.col("node").alias("region"))
-    ended = kept.join(final.withColumnRenamed("region", "node"), ["case", "node"], "left")
+        return nodes.select("case", "node", F.col("node").alias("region"))
+    ended = nodes.join(final.withColumnRenamed("region", "node"), ["case", "node"], "left")
     return ended.select("case", "node", F.coalesce("into", "node").alias("region"))
 
 
@@ -145,3 +153,41 @@ def exchange_members(nodes: DataFrame, members: DataFrame, edges: DataFrame, fea
         if new.where("moves").isEmpty():
             break
     return now
+
+
+def watershed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(case, node, height, marker)``, ``edges(case, a, b)`` -> (case, node, marker): flooding from the marked nodes.
+
+    An edge's pass is the greater height of its ends; passes, and then the ends' ids, put edges in a total order.
+    Edges are taken in that order, and each joins what its ends belong to unless both hold a marker already: every
+    node so goes to the marker that it reaches over the lowest passes.  Distributed, each basin without a
+    marker takes its lowest edge in every round, which is in that forest too, and the basins so joined
+    become one; rounds are as many as the logarithm of the longest chain, written to the shared folder, and
+    no basin is gathered.  Nodes that no marker reaches get null; nodes with a null height are left out with
+    their edges; nodes that share a marker are one basin only where they touch it."""
+    kept = saved(nodes.where("case is not null and node is not null and height is not null").select("case", "node", "height", "marker"))
+    side = lambda s: kept.select("case", F.col("node").alias(s), F.col("height").alias(f"h{s}"))
+    pairs = edges.select("case", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    passes = pairs.join(side("a"), ["case", "a"]).join(side("b"), ["case", "b"])
+    now = saved(passes.select("case", "a", "b", F.struct(F.greatest("ha", "hb").alias("pass"), F.col("a").alias("low"), F.col("b").alias("high")).alias("rank")))
+    marks = saved(kept.where("marker is not null").select("case", F.col("node").alias("region"), "marker"))
+    rounds: list[DataFrame] = []
+    while True:
+        ends = now.select("case", F.col("a").alias("region"), F.col("b").alias("other"), "rank").union(now.select("case", "b", "a", "rank"))
+        loose = ends.join(marks.select("case", "region"), ["case", "region"], "left_anti")
+        picks = saved(loose.groupBy("case", "region").agg(F.min(F.struct("rank", "other")).alias("pick")).select("case", "region", "pick.other"))
+        if picks.isEmpty():
+            break
+        node = lambda c: F.struct("case", F.col(c).alias("n"))
+        joined = components(picks.select(node("region").alias("a"), node("other").alias("b")))
+        renamed = saved(joined.where("node <> component").select(F.col("node.case").alias("case"), F.col("node.n").alias("region"), F.col("component.n").alias("into")))
+        rounds.append(renamed)
+        moved = marks.join(renamed, ["case", "region"], "left").select("case", F.coalesce("into", "region").alias("region"), "marker")
+        marks = saved(moved)
+        for s in ("a", "b"):
+            now = now.join(renamed.select("case", F.col("region").alias(s), "into"), ["case", s], "left").withColumn(s, F.coalesce("into", s)).drop("into")
+        now = now.where("a <> b").groupBy("case", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("rank").alias("rank"))
+        done = marks.select("case", "region")
+        both = now.join(done.withColumnRenamed("region", "a"), ["case", "a"], "left_semi").join(done.withColumnRenamed("region", "b"), ["case", "b"], "left_semi")
+        now = saved(now.join(both.select("case", "a", "b"), ["case", "a", "b"], "left_anti"))
+    return _ended(kept.select("case", "node"), rounds).join(marks, ["case", "region"], "left").select("case", "node", "marker")

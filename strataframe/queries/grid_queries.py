@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataframe.core.storage import table
 from strataframe.operators import grids as G
 from strataframe.operators import regions as R
+from strataframe.operators import seeds as S
 from strataframe.queries.registry import query
 
 AXES = ["s", "y", "m"]
@@ -150,3 +151,43 @@ def region_exchange(spark, d):
     members = cells.select(F.col("case_id").alias("case"), "node", box.alias("region"))
     edges = R.grid_edges(cells, "case_id", AXES, "node")
     return R.exchange_members(_nodes(cells), members, edges, ["q", "c"]).select(F.col("case").alias("case_id"), "node", "region")
+
+
+@query()
+def region_watershed(spark, d):
+    """Quantities flooded from the cells that sold nothing or next to it; equal to a sequential forest in the tests."""
+    cells = _grid(spark, d)
+    marker = F.when(F.col("q") <= 20, F.col("node"))
+    nodes = cells.select(F.col("case_id").alias("case"), "node", F.col("q").alias("height"), marker.alias("marker"))
+    return R.watershed(nodes, R.grid_edges(cells, "case_id", AXES, "node")).select(F.col("case").alias("case_id"), "node", "marker")
+
+
+def _bucketed(spark, d):
+    """Cells by their distance to those with much sold: within, near and far."""
+    far = G.distance_transform(_grid(spark, d), "case_id", AXES, F.col("q") >= 260)
+    bucket = F.when(F.col("d2") == 0, "within").when(F.col("d2") <= 2, "near").otherwise("far")
+    return far.select(F.col("case_id").alias("case"), bucket.alias("bucket"), F.col("node").alias("point"), *AXES)
+
+
+@query(f"""with recursive {_GRID},
+far as (
+  select a.case_id as "case", a.node as point, a.s, a.y, a.m, coalesce(min((a.s - b.s) ** 2 + (a.y - b.y) ** 2 + (a.m - b.m) ** 2), 'inf'::double) as d2
+  from g a left join g b on a.case_id = b.case_id and b.q >= 260 group by all),
+p as (select "case", case when d2 = 0 then 'within' when d2 <= 2 then 'near' else 'far' end as bucket, point, s, y, m from far),
+w(bucket, w) as (values ('within', 5), ('near', 3), ('far', 2)),
+sizes as (select "case", bucket, count(*) as n from p group by all),
+e as (select "case", bucket, n, 14.0::double * w / sum(w) over (partition by "case") as x from sizes join w using (bucket)),
+budgets as (
+  select "case", bucket, least(floor(x)::bigint + case when row_number() over (partition by "case" order by floor(x) - x, bucket) <= 14 - sum(floor(x)) over (partition by "case") then 1 else 0 end, n) as budget from e),
+f(k, "case", bucket, budget, chosen) as (
+  select 1, "case", bucket, any_value(budget), [arg_min({{'p': point, 's': s, 'y': y, 'm': m}}, point)] from p join budgets using ("case", bucket) group by "case", bucket
+  union all
+  select f.k + 1, "case", bucket, any_value(f.budget), list_append(any_value(chosen), arg_min({{'p': point, 's': s, 'y': y, 'm': m}}, (-list_min(list_transform(chosen, lambda c: (c.s - s) ** 2 + (c.y - y) ** 2 + (c.m - m) ** 2)), point)))
+  from f join p using ("case", bucket) where f.k < f.budget group by f.k, "case", bucket)
+select "case" as case_id, bucket, unnest(chosen).p as point, generate_subscripts(chosen, 1) - 1 as place from f where k = budget""")
+def strategic_seeds(spark, d):
+    """Fourteen seeds a case over three buckets of distance, each the farthest from those before; groups of one block here."""
+    points = _bucketed(spark, d)
+    sizes = points.groupBy("case", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    budgets = S.share_budgets(sizes, 14, {"within": 5.0, "near": 3.0, "far": 2.0})
+    return S.cover_points(points, budgets, AXES).select(F.col("case").alias("case_id"), "bucket", "point", "place")

@@ -65,3 +65,30 @@ def weighted_sample(spark, d):
     """A twentieth of all orders, drawn by price."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return rounded(P.weighted_sample(orders, "o_totalprice", orders.count() // 20, "o_orderkey", seed=7).drop("sample_key"))
+
+
+_CROWD = """with recursive b as (
+  select p_partkey // 5 as image, p_partkey as box, (p_partkey * 37 % 31)::double as x, (p_partkey * 53 % 29)::double as y, (12 + p_partkey * 7 % 17)::double as w, (12 + p_partkey * 11 % 13)::double as h from part),
+pairs as (
+  select image, t.box as truth, p.box as pred, i / (t.w * t.h + p.w * p.h - i) as iou from (
+    select image, t, p, greatest(least(t.x + t.w, p.x + 5 + p.w) - greatest(t.x, p.x + 5), 0) * greatest(least(t.y + t.h, p.y + 4 + p.h) - greatest(t.y, p.y + 4), 0) as i
+    from (select image, b as t from b) join (select image, b as p from b) using (image)) where i > 0),
+k as (select image, truth, row_number() over (partition by image order by truth) as k from (select distinct image, truth from pairs)),
+m(image, k, used, total) as (
+  select distinct image, 0::bigint, [0::bigint][2:], 0.0::double from pairs
+  union all
+  select m.image, k.k, list_append(used, coalesce(o.pred, -k.k)), total + coalesce(o.iou, 0)
+  from m join k on k.image = m.image and k.k = m.k + 1 join (select image, truth, pred, iou from pairs union all select image, truth, null, 0 from k) o on o.image = k.image and o.truth = k.truth
+  where o.pred is null or not list_contains(used, o.pred)),
+best as (select image, arg_max(used, total) as used from m where k = (select max(k) from k where k.image = m.image) group by image)"""
+
+
+@query(_CROWD + "\nselect image, truth, pred, round(iou, 4) as iou from best join k using (image) join pairs using (image, truth) where used[k.k] = pred and iou > 0.2")
+def optimal_match(spark, d):
+    """Five boxes an image against themselves, moved: the matching of greatest total overlap, then overlaps over 0.2."""
+    k, number = F.col("p_partkey"), lambda c: c.cast("double")
+    x, y, w, h = number(k * 37 % 31), number(k * 53 % 29), number(12 + k * 7 % 17), number(12 + k * 11 % 13)
+    base = table(spark, d, "part").select(F.floor(k / 5).cast("long").alias("image"), k.alias("box"), x.alias("xmin"), y.alias("ymin"), (x + w).alias("xmax"), (y + h).alias("ymax"))
+    moved = base.withColumns({"xmin": F.col("xmin") + 5, "xmax": F.col("xmax") + 5, "ymin": F.col("ymin") + 4, "ymax": F.col("ymax") + 4})
+    met = B.overlap_join(base, moved, "image", 32.0).select(F.col("a_image").alias("image"), F.col("a_box").alias("truth"), F.col("b_box").alias("pred"), "iou")
+    return rounded(M.optimal_match(met, "image", "truth", "pred", "iou", 0.2))
