@@ -37,40 +37,40 @@ def _words(docs: DataFrame, max_n: int) -> DataFrame:
     return stretches.select("lang", "words", F.posexplode("words").alias("i", "word")).where(F.col("i") < STRETCH).drop("word")
 
 
-def _key(first: int, n: int) -> Column:
+def _key(n: int) -> Column:
     """Language and n words from the place on, parted by a line break, which no phrase holds; null beyond the end."""
-    parts = ["lang", F.lit("\n"), F.get("words", F.col("i") + first)]
-    for k in range(first + 1, first + n):
+    parts = ["lang", F.lit("\n"), F.get("words", F.col("i"))]
+    for k in range(1, n):
         parts += [F.lit(" "), F.get("words", F.col("i") + k)]
     return F.concat(*parts)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def _spot(words: list[Column], blocks: int) -> dict[str, Column]:
+    """A run's block of a filter and its bit there, from one hash of language and words."""
+    h = F.xxhash64("lang", *words)
+    return {"block": F.pmod(h, F.lit(blocks)).cast("int"), "bit": F.pmod(F.shiftright(h, 32), F.lit(BLOCK_BITS)).cast("int")}
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(BLOCK_BITS)).cast("int")
+def _frequent_filter(phrases: DataFrame, n_words: int) -> tuple[DataFrame, int]:
+    """(block, bits): a Bloom filter of ``phrases(lang, phrase)``, 16 bits each in blocks of 32,768, at most 64 MB in all.
 
-
-def _frequent_filter(keys: DataFrame) -> tuple[DataFrame, int]:
-    """(block, bits): a Bloom filter of ``keys(key)`` with 16 bits a key in blocks of 32,768, at most 64 MB in all.
-
-    Beyond that more keys share a bit: fewer runs are held back, none is lost."""
-    n, blocks = keys.count(), 1
+    Beyond that more phrases share a bit: fewer runs are held back, none is lost."""
+    n, blocks = phrases.count(), 1
     while blocks * BLOCK_BITS < 16 * n and blocks < MOST_BLOCKS:
         blocks *= 2
-    marks = keys.select(_block(F.col("key"), blocks).alias("block"), _bit(F.col("key")).alias("bit"))
+    words = F.split("phrase", " ")
+    spot = _spot([F.get(words, F.lit(k)) for k in range(n_words)], blocks)
+    marks = phrases.select(*[c.alias(name) for name, c in spot.items()])
     longs = marks.groupBy("block", F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, bit % 64))").alias("v"))
     held = longs.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
     every = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda at: F.coalesce(F.element_at("m", at), F.lit(0).cast("long")))
     return saved(held.select("block", every.alias("bits"))), blocks
 
 
-def _passed(rows: DataFrame, key: Column, found: tuple[DataFrame, int]) -> DataFrame:
-    """The rows whose key the filter may hold."""
+def _passed(rows: DataFrame, words: list[Column], found: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose run of ``words`` the filter may hold."""
     bits, blocks = found
-    looked_up = rows.withColumns({"block": _block(key, blocks), "bit": _bit(key)}).join(F.broadcast(bits), "block")
+    looked_up = rows.withColumns(_spot(words, blocks)).join(F.broadcast(bits), "block")
     return looked_up.where(F.expr("getbit(bits[bit div 64], bit % 64) = 1")).drop("block", "bit", "bits")
 
 
@@ -89,14 +89,14 @@ def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> DataFrame
         parted = counts.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
         return saved(parted.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" "))))
 
-    found = now = counted(placed.select(F.explode(F.array(*[_key(0, n) for n in range(1, min(max_n, 2) + 1)])).alias("key")))
+    found = now = counted(placed.select(F.explode(F.array(*[_key(n) for n in range(1, min(max_n, 2) + 1)])).alias("key")))
     for n in range(3, max_n + 1):
         shorter = now.where((F.col("f") >= least) & (F.size(F.split("phrase", " ")) == n - 1))
-        known = _frequent_filter(shorter.select(F.concat("lang", F.lit("\n"), "phrase").alias("key")))
+        known = _frequent_filter(shorter, n - 1)
         runs = placed.where(F.col("i") + n <= F.size("words"))
         for first in (0, 1):
-            runs = _passed(runs, _key(first, n - 1), known)
-        now = counted(runs.select(_key(0, n).alias("key")))
+            runs = _passed(runs, [F.get("words", F.col("i") + k) for k in range(first, first + n - 1)], known)
+        now = counted(runs.select(_key(n).alias("key")))
         found = found.unionByName(now)
     return found
 
