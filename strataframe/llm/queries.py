@@ -76,7 +76,7 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_scan.find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return secret_scan.find_secrets(docs, carry=("doc_id",)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import packed, saved, unpacked
+from strataframe.llm import exact_dedup
+from strataframe.llm.common import hinted, saved, small_enough, unpacked
 
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -27,12 +29,11 @@ HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 
 #: A value that takes 10**10 guesses or more counts as a secret.
 LEAST_DIGITS = 10.0
-#: Size of the dictionary learned from the corpus, and the documents a word of it stands in at least.
-MOST_WORDS, LEAST_DOCUMENTS = 20_000, 3
-#: Classes of frequency for each doubling.
-CLASSES = 16
+#: Different texts in which a word of the learned dictionary stands at least.
+LEAST_DOCUMENTS = 3
 #: Letters of a dictionary word.
 SHORTEST, LONGEST = 3, 20
+LETTERS = re.compile(rf"[^\W\d_]{{{SHORTEST},}}")
 
 #: Frequent words of passwords and of prose, most frequent first.
 WORDS = (
@@ -133,41 +134,85 @@ def guess_digits(value: str, ranks: dict[str, int] = RANK, enough: float = math.
     return cost[-1]
 
 
-def frequent_words(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_DOCUMENTS) -> dict[str, int]:
-    """Ranks of words: the fixed list first, then the corpus's words of 3 to 20 letters by the number of
-    documents of ``docs(text)`` they stand in.  All documents count.  The dictionary takes whole
-    classes of like frequency while they fit in ``most``, so no more words than that reach the driver."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    said = docs.select(F.explode(words).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
-    often = said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    often = saved(often.withColumn("class", F.floor(F.log2("n") * CLASSES)))
-    total, lowest = 0, math.inf
-    for row in often.groupBy("class").count().orderBy(F.desc("class")).collect():
-        total += row["count"]
-        if total > most:
-            break
-        lowest = row["class"]
-    ranks = dict(RANK)
-    if total:
-        found = often.where(F.col("class") >= F.lit(lowest)).select("w", "n").collect()
-        for row in sorted(found, key=lambda r: (-r.n, r.w)):
-            ranks.setdefault(row.w, len(ranks) + 1)
-    return ranks
-
-
-def scan(text: str | None, least: float = LEAST_DIGITS, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
-    """All spans (start, number of the kind, end) of a whole text, sorted; null is empty."""
+def letter_words(value: str) -> set[str]:
+    """All words a dictionary may hold that stand in a value: runs of 3 to 20 letters, also as digits for letters."""
+    low = value.lower() if len(value.lower()) == len(value) else value
+    found = set()
+    for text in {low, low.translate(LEET)}:
+        for run in LETTERS.finditer(text):
+            a, b = run.span()
+            found.update(text[s : s + n] for s in range(a, b - SHORTEST + 1) for n in range(SHORTEST, min(LONGEST, b - s) + 1))
+    return found
+
+
+def corpus_ranks(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(word, rank) of all words of 3 to 20 letters that stand in ``least`` different texts of ``docs(text)`` or more.
+
+    Texts that are equal count once, and what stands in credential context doesn't count at all, or a secret
+    that was copied would turn into a word.  A word's rank follows the fixed list's: one more than the words
+    that stand in more texts.  All words are counted, and none leaves Spark."""
+    texts = exact_dedup.deduplicate(docs.select(F.lit(0).alias("doc_id"), "text"))
+    prose = F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")
+    words = F.array_distinct(F.split(F.lower(prose), r"[^\p{L}]+"))
+    said = texts.select(F.explode(words).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
+    often = saved(said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & ~F.col("word").isin(list(RANK))))
+    down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # over one row a frequency
+    classes = often.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    ranks = classes.select("n", (F.lit(len(RANK) + 1) + F.coalesce(F.sum("k").over(down), F.lit(0))).alias("rank"))
+    return often.join(ranks, "n").select("word", "rank")
+
+
+def _judged(values: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(key) of the ``values(key, value)`` that take 10**least guesses or more, each with its own part of the dictionary.
+
+    Words only make a value cheaper, so those that the fixed list alone makes cheap are settled first.  Of the
+    rest all words that may stand in them are listed and looked up among the corpus's, so what a task gets is
+    one value's own words."""
+
+    @F.pandas_udf("boolean")
+    def dear(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: guess_digits(t, RANK, least) >= least)
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, value in zip(frame["key"], frame["value"], strict=True):
+                words = sorted(letter_words(value) - RANK.keys())
+                for a in range(0, len(words), 50_000):
+                    yield pd.DataFrame({"key": key, "word": words[a : a + 50_000]})
+
+    @F.pandas_udf("boolean")
+    def still_dear(texts: pd.Series, words: pd.Series, ranks: pd.Series) -> pd.Series:
+        own = [RANK | dict(zip(w, map(int, r), strict=True)) for w, r in zip(words, ranks, strict=True)]
+        return pd.Series([guess_digits(t, o, least) >= least for t, o in zip(texts, own, strict=True)], dtype=bool)
+
+    open_ = saved(values.where(dear("value")))
+    if open_.isEmpty():
+        return open_.select("key")
+    pieces = open_.mapInPandas(listed, "key string, word string")
+    known = pieces.join(corpus_ranks(docs), "word").groupBy("key").agg(F.collect_list(F.struct("word", "rank")).alias("own"))
+    both = open_.join(known, "key", "left").withColumn("own", F.coalesce("own", F.expr("cast(array() as array<struct<word: string, rank: bigint>>)")))
+    return both.where(still_dear("value", "own.word", "own.rank")).select("key")
+
+
+def examine(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
+    """Base spans (start, number of the kind, end) of a whole text, and (start, end, value) of its credential contexts."""
     if not text:
-        return []
-    low, found = text.lower(), []
+        return [], []
+    low, found, values = text.lower(), [], []
     if any(h in low for h in ("password", "passwd", "secret", "token", "api")):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(h in low for h in HINTS):
-        found += [(m.start(2), 3, m.end(2)) for m in CONTEXT.finditer(text) if len(m[2]) >= 6 and guess_digits(m[2], ranks, least) >= least]
-    return sorted(found)
+        values = [(m.start(2), m.end(2), m[2]) for m in CONTEXT.finditer(text) if len(m[2]) >= 6]
+    return sorted(found), values
+
+
+def scan(text: str | None, least: float = LEAST_DIGITS, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
+    """All spans (start, number of the kind, end) of a whole text by one dictionary, sorted; null is empty."""
+    found, values = examine(text)
+    return sorted(found + [(a, 3, b) for a, b, value in values if guess_digits(value, ranks, least) >= least])
 
 
 def joined(spans: list[tuple[int, int, int]], kinds=KINDS) -> str:
@@ -181,35 +226,66 @@ def digest(spans: list[tuple[int, int, int]], n_base: int, kinds) -> tuple:
     return (*counts, hashlib.sha256(joined(base, kinds).encode()).hexdigest(), joined(spans, kinds))
 
 
-def find_secrets(docs: DataFrame, least_digits: float = LEAST_DIGITS, ranks: dict[str, int] | None = None) -> DataFrame:
-    """All columns of ``docs(text, ...)`` and n_assign, n_access, n_hex, base_sha256, spans.
+def _examined(texts: pd.Series) -> pd.DataFrame:
+    rows = [examine(t) for t in texts]
+    return pd.DataFrame({"base": [[{"a": a, "k": k, "b": b} for a, k, b in r[0]] for r in rows], "contexts": [[{"a": a, "b": b, "value": v} for a, b, v in r[1]] for r in rows]})
+
+
+def spans_of(docs: DataFrame, carry: Sequence[str], least_digits: float = LEAST_DIGITS, learn: bool = True) -> DataFrame:
+    """(row__, spans__): the ``carry`` columns of ``docs(text, ...)``, and all spans as sorted (a, k, b).
+
+    Texts are searched once; a table of carried columns, base spans and credential values is written.
+    Every different value is judged once, by the fixed words and those that ``docs`` teach (only the fixed ones
+    if not ``learn``).  Rows without a value aren't shuffled again; the others get back which of theirs are
+    secrets, joined by the value's hash, broadcast if that's small by measure."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row__")
+    find = F.pandas_udf(_examined, "base array<struct<a: long, k: int, b: long>>, contexts array<struct<a: long, b: long, value: string>>")
+    rows = saved(docs.select(kept, find("text").alias("f__"), F.monotonically_increasing_id().alias("mark__")))
+    none = F.size("f__.contexts") == 0
+    held = rows.where(~none).select("mark__", F.explode("f__.contexts").alias("c")).select("mark__", "c.a", "c.b", "c.value", F.sha2("c.value", 256).alias("key"))
+    values = saved(held.groupBy("key").agg(F.first("value").alias("value")))
+    if learn:
+        secrets = saved(_judged(values, docs.select("text"), least_digits))
+    else:
+        least = least_digits
+        dear = F.pandas_udf(lambda texts: texts.map(lambda t: guess_digits(t, RANK, least) >= least), "boolean")
+        secrets = saved(values.where(dear("value")).select("key"))
+    small = small_enough(secrets.count(), 100)
+    guessed = held.join(hinted(secrets, small), "key").groupBy("mark__").agg(F.collect_list(F.struct("a", F.lit(3).alias("k"), "b")).alias("g__"))
+    with_values = rows.where(~none).join(guessed, "mark__", "left")
+    every = F.array_sort(F.concat("f__.base", F.coalesce("g__", F.expr("cast(array() as array<struct<a: bigint, k: int, b: bigint>>)"))))
+    return rows.where(none).select("row__", F.col("f__.base").alias("spans__")).unionByName(with_values.select("row__", every.alias("spans__")))
+
+
+def find_secrets(docs: DataFrame, least_digits: float = LEAST_DIGITS, learn: bool = True, carry: Sequence[str] | None = None) -> DataFrame:
+    """The ``carry`` columns (all if none are named) of ``docs(text, ...)`` and n_assign, n_access, n_hex, base_sha256, spans.
 
     Offsets count code points, ends are exclusive; the method's own spans have kind ``guess``.
-    ``ranks`` is the dictionary, learned from ``docs`` if not given.  Whole texts of any length are
-    searched, and values of any length judged.  Null and empty texts have no spans; repeated rows
-    get equal results; an empty table gives no rows."""
-    ranks = frequent_words(docs.select("text")) if ranks is None else ranks
+    Whole texts of any length are searched, and values of any length judged.  Null and empty texts have no
+    spans; repeated rows get equal results; an empty table gives no rows."""
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    def find(texts: pd.Series) -> pd.DataFrame:
-        rows = [digest(scan(t, least_digits, ranks), 3, KINDS) for t in texts]
+    def told(spans: pd.Series) -> pd.DataFrame:
+        rows = [digest([(s["a"], s["k"], s["b"]) for s in own], 3, KINDS) for own in spans]
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    rows = packed(docs).withColumn("f__", find(F.col("row__.text")))
+    columns = list(docs.columns if carry is None else carry)
+    rows = spans_of(docs, columns, least_digits, learn).withColumn("d__", told("spans__"))
     names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
-    return unpacked(rows, docs.columns, **{c: F.col(f"f__.{c}") for c in names})
+    return unpacked(rows, columns, **{c: F.col(f"d__.{c}") for c in names})
 
 
-def mask_secrets(docs: DataFrame, mark: str = "[secret]", least_digits: float = LEAST_DIGITS, ranks: dict[str, int] | None = None) -> DataFrame:
+def mask_secrets(docs: DataFrame, mark: str = "[secret]", least_digits: float = LEAST_DIGITS, learn: bool = True) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; overlapping spans merge."""
-    ranks = frequent_words(docs.select("text")) if ranks is None else ranks
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else masked(t, scan(t, least_digits, ranks), lambda _: mark))
+    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        made = [t if t is None else masked(t, [(s["a"], s["k"], s["b"]) for s in own], lambda _: mark) for t, own in zip(texts, spans, strict=True)]
+        return pd.Series(made, dtype=object)
 
-    text = mask(F.col("text"))
-    return docs.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rows = spans_of(docs, docs.columns, least_digits, learn)
+    text = mask(F.col("row__.text"), F.col("spans__"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row__.`{c}`").alias(c) for c in docs.columns])
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], mark) -> str:

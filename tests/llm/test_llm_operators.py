@@ -671,16 +671,56 @@ def test_long_values_are_judged_like_short_ones():
     assert [k for _, k, _ in secret_scan.scan(text)].count(3) == 1
 
 
-def test_words_are_learned_from_the_corpus(spark):
-    rows = [(i, f"Kolmeneljä {'rareword' if i < 2 else ''} Éa x" * 2, None, None, None) for i in range(5)] + [(9, None, None, None, None), (10, "password=kolmeneljä!", None, None, None)]
-    docs = spark.createDataFrame(rows, DOC)
-    ranks = secret_scan.frequent_words(docs)
-    assert ranks["password"] == 1 and ranks["kolmeneljä"] == len(secret_scan.RANK) + 1 and "rareword" not in ranks
+def test_words_are_learned_from_different_texts(spark):
+    rows = [(i, f"Kolmeneljä {'rareword' if i < 2 else ''} Éa x{i} " * 2) for i in range(5)] + [(6, "copied " * 3)] * 9 + [(9, None), (10, "password=kolmeneljä!")]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOC)
+    assert {r.word: r["rank"] for r in secret_scan.corpus_ranks(docs).collect()} == {"kolmeneljä": len(secret_scan.RANK) + 1}
     assert {r.doc_id: r["spans"] for r in secret_scan.find_secrets(docs).collect()}[10] == ""
-    assert "guess" in {r.doc_id: r["spans"] for r in secret_scan.find_secrets(docs, ranks=secret_scan.RANK).collect()}[10]
+    assert "guess" in {r.doc_id: r["spans"] for r in secret_scan.find_secrets(docs, learn=False).collect()}[10]
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0 and secret_scan.mask_secrets(docs.limit(0)).count() == 0
 
 
+def test_a_copied_secret_is_no_word(spark):
+    told = "pwd: zarquovebliknorst and prose"
+    rows = [(i, told) for i in range(100)] + [(100 + i, f"number {i}, pwd: zarquovebliknorst") for i in range(9)] + [(200, "zarquovebliknorst said once"), (201, "zarquovebliknorst said twice")]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOC)
+    found = {r.doc_id: r["spans"] for r in secret_scan.find_secrets(docs).collect()}
+    assert all(found[i] == "guess:5:22" for i in range(100)) and all("guess" in found[100 + i] for i in range(9)) and found[200] == ""
+    assert secret_scan.mask_secrets(clashing(docs)).where("doc_id = 5").first().text == "pwd: [secret] and prose"
+
+
+def test_many_equally_frequent_words_teach(spark):
+    letters = "bcdfghjklm"
+    names = ["q" + "".join(letters[n // 10**k % 10] for k in range(5)) + "z" for n in range(25_000)]
+    rows = [(i, f"{' '.join(names)} {i}") for i in range(3)] + [(9, "token: " + "".join(names[7:10]))]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOC)
+    assert {r["rank"] for r in secret_scan.corpus_ranks(docs).collect()} == {len(secret_scan.RANK) + 1}
+    assert {r.doc_id: r["spans"].count("guess") for r in secret_scan.find_secrets(docs, carry=("doc_id",)).collect()} == {0: 0, 1: 0, 2: 0, 9: 0}
+    assert "guess" in secret_scan.find_secrets(docs, learn=False).where("doc_id = 9").first()["spans"]
+
+
+def test_secret_scan_equals_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [w for w in words(rng, 150) if w.isalpha()] + ["Öljy", "passage"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 40))) for _ in range(150)]
+    for _ in range(80):
+        value = "".join(rng.choice([w, w.capitalize(), w.translate(str.maketrans("aeo", "430")), "7", "-", "2019", "Kq"]) for w in rng.choices(vocabulary, k=rng.randint(1, 5)))
+        texts.append(f"{rng.choice(vocabulary)} {rng.choice(['pwd: ', 'Token=', 'api_key => '])}{value} {rng.choice(vocabulary)}")
+    texts += rng.choices(texts, k=60) + [None, ""]
+    said = {}
+    for t in {t or "" for t in texts}:
+        for w in set(re.findall(r"[^\W\d_]+", secret_scan.CONTEXT.sub(" ", t).lower())):
+            said[w] = said.get(w, 0) + 1
+    often = {w: n for w, n in said.items() if n >= 3 and 3 <= len(w) <= 20 and w not in secret_scan.RANK}
+    ranks = secret_scan.RANK | {w: len(secret_scan.RANK) + 1 + sum(m > n for m in often.values()) for w, n in often.items()}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r["spans"] for r in secret_scan.find_secrets(clashing(docs)).collect()}
+    want = {i: secret_scan.joined(secret_scan.scan(t, 10.0, ranks)) for i, t in enumerate(texts)}
+    assert got == want
+    fixed = {i: secret_scan.joined(secret_scan.scan(t)) for i, t in enumerate(texts)}
+    assert sum(map(bool, want.values())) > 5 and want != fixed  # some values are secrets, some only by the fixed words
+
+
 def base_personal(text):
     text, out = text or "", []
     luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
