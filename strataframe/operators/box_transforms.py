@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators.boxes import convert_mode, corners_of, suppress
+from strataframe.operators.boxes import corners_of, suppress
 from strataframe.operators.partition import hash_order
 
 
@@ -117,31 +117,34 @@ def mask_box(mask: Column, size: Sequence[int], background: int = -1) -> Column:
     return F.when(F.size(cells) > 0, found)
 
 
+def _middles_and_sizes(box: Column, n: int) -> tuple[list[Column], list[Column]]:
+    low, high = corners_of(box, _mode(n))
+    return [(a + b) / 2 for a, b in zip(low, high, strict=True)], [b - a for a, b in zip(low, high, strict=True)]
+
+
 def encode_box(truth: Column, proposal: Column, weights: Sequence[float]) -> Column:
     """What a regressor learns for a proposal: weighted shifts of the centre in sizes, and logarithms of ratios.
 
-    Null where a side has no length."""
+    Null where a side has no length.  Both boxes should be columns: they're named many times."""
     n = len(weights) // 2
-    center = "ccwh" if n == 2 else "cccwhd"
-    t, p = convert_mode(truth, _mode(n), center), convert_mode(proposal, _mode(n), center)
-    at = lambda c, i: F.get(c, F.lit(i))
-    shifts = [F.lit(float(weights[i])) * (at(t, i) - at(p, i)) / at(p, n + i) for i in range(n)]
-    ratios = [F.lit(float(weights[n + i])) * F.ln(at(t, n + i) / at(p, n + i)) for i in range(n)]
+    (tm, ts), (pm, ps) = _middles_and_sizes(truth, n), _middles_and_sizes(proposal, n)
+    shifts = [F.lit(float(weights[i])) * (tm[i] - pm[i]) / ps[i] for i in range(n)]
+    ratios = [F.lit(float(weights[n + i])) * F.ln(ts[i] / ps[i]) for i in range(n)]
     fine = F.lit(True)
-    for i in range(n, 2 * n):
-        fine = fine & (at(t, i) > 0) & (at(p, i) > 0)
+    for size in (*ts, *ps):
+        fine = fine & (size > 0)
     return F.when(fine, F.array(*shifts, *ratios))
 
 
 def decode_box(code: Column, proposal: Column, weights: Sequence[float], most: float = math.log(1000.0 / 16)) -> Column:
-    """The box that a code stands for, given its proposal; logarithms of ratios end at ``most``."""
+    """The box that a code stands for, given its proposal; logarithms of ratios end at ``most``.  Both should be columns."""
     n = len(weights) // 2
-    center = "ccwh" if n == 2 else "cccwhd"
-    p = convert_mode(proposal, _mode(n), center)
-    at = lambda c, i: F.get(c, F.lit(i))
-    middles = [at(code, i) / float(weights[i]) * at(p, n + i) + at(p, i) for i in range(n)]
-    sizes = [F.exp(F.least(at(code, n + i) / float(weights[n + i]), F.lit(most))) * at(p, n + i) for i in range(n)]
-    return F.when(code.isNotNull() & p.isNotNull(), convert_mode(F.array(*middles, *sizes), center, _mode(n)))
+    pm, ps = _middles_and_sizes(proposal, n)
+    at = lambda i: F.get(code, F.lit(i)) / float(weights[i])
+    middles = [at(i) * ps[i] + pm[i] for i in range(n)]
+    halves = [F.exp(F.least(at(n + i), F.lit(most))) * ps[i] / 2 for i in range(n)]
+    corners = [m - h for m, h in zip(middles, halves, strict=True)] + [m + h for m, h in zip(middles, halves, strict=True)]
+    return F.when(code.isNotNull() & proposal.isNotNull(), F.array(*corners))
 
 
 def anchor_shapes(scales: Sequence[float], ratios: Sequence) -> list[list[float]]:
@@ -175,6 +178,24 @@ def anchor_grid(spark: SparkSession, image: Sequence[int], levels: Sequence[Sequ
     return made
 
 
+def image_anchors(images: DataFrame, levels: Sequence[Sequence[int]], shapes: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
+    """``images(image, size)`` -> (image, level, anchor, box): the anchors of ``anchor_grid`` for every image of a table.
+
+    ``size`` is an array of whole lengths; cells of a level are as far apart as the image's length, divided by the
+    level's, is whole.  Cells are made from numbers where images are read, so nothing is shuffled."""
+    made = None
+    for level, (size, forms) in enumerate(zip(levels, shapes, strict=True)):
+        cells = images.select("image", "size", F.explode(F.sequence(F.lit(0), F.lit(math.prod(size) - 1)).cast("array<long>")).alias("id"))
+        at = [(x * F.floor(F.get("size", F.lit(i)) / n)).cast("double") for i, (x, n) in enumerate(zip(_cell(F.col("id"), size), size, strict=True))]
+        placed = cells.select("image", "id", *[x.alias(f"x{i}") for i, x in enumerate(at)])
+        corners = [F.col(f"x{i}") for i in range(len(size))] * 2
+        boxes = F.array(*[F.array(*[x + v for x, v in zip(corners, form, strict=True)]) for form in forms])
+        one = placed.select("image", F.lit(level).alias("level"), "id", F.posexplode(boxes).alias("form", "box"))
+        one = one.select("image", "level", (F.col("id") * len(forms) + F.col("form")).alias("anchor"), "box")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 def match_anchors(pairs: DataFrame, image: str, anchor: str, truth: str, low: float, high: float, weak: bool = True) -> DataFrame:
     """The truth of each anchor by overlap: ``truth`` where iou reaches ``high``, -2 between the limits, -1 below ``low``.
 

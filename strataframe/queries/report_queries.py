@@ -117,10 +117,10 @@ def clip_score(spark, d):
     return rounded(R.clip_score(_cells(spark, d).select("case_id", "place", "value"), ["case_id"], "value"))
 
 
-@query(_C + """, r as (select segment % 50 as g, quantile_cont(pred, 0.01) as a, quantile_cont(pred, 0.99) as b, min(pred) as c, max(pred) as e from c where segment % 50 < 25 or pred = 2 group by all)
+@query(_C + """, r as (select segment % 50 as g, quantile_cont(pred, 0.01) as a, quantile_cont(pred, 0.99) as b, min(pred) as c, max(pred) as e from c group by all)
 select g, round(case when b <= a then c else a end, 4) as low, round(case when b <= a then e else b end, 4) as high from r""")
 def robust_range(spark, d):
-    rows = _cells(spark, d).where("segment % 50 < 25 or pred = 2").select((F.col("segment") % 50).alias("g"), F.col("pred").cast("double").alias("pred"))
+    rows = _cells(spark, d).select((F.col("segment") % 50).alias("g"), F.col("pred").cast("double").alias("pred"))
     return rounded(R.robust_range(rows, ["g"], "pred"))
 
 

@@ -64,19 +64,23 @@ select box, round(10 * ((xmin + xmax) - (x0 + x1)) / 2 / (x1 - x0), 4) as e0, ro
 def box_codes(spark, d):
     at = lambda i, by: F.get("q", F.lit(i)) + by
     proposal, weights = F.array(at(0, 3.0), at(1, -2.0), at(2, 8.0), at(3, 1.0)), (10.0, 10.0, 5.0, 5.0)
-    code = T.encode_box(F.col("q"), proposal, weights)
-    return _spread(_array_boxes(spark, d), e=(code, 4), d=(T.decode_box(code, proposal, weights), 4))
+    rows = _array_boxes(spark, d).withColumn("p", proposal).withColumn("code", T.encode_box(F.col("q"), F.col("p"), weights))
+    return _spread(rows, e=(F.col("code"), 4), d=(T.decode_box(F.col("code"), F.col("p"), weights), 4))
 
 
-@query("""with s as (select i as level, n, m, 64 // n as a, 48 // m as b, z from (values (0, 16, 12, 16.0::double), (1, 8, 6, 32.0::double)) v(i, n, m, z)),
+@query("""with i as (select distinct p_partkey // 10 as image, 64 + 16 * (p_partkey // 10 % 5) as wide, 48 + 12 * (p_partkey // 10 % 3) as high from part),
+s as (select * from (values (0, 16, 12, 16.0::double), (1, 8, 6, 32.0::double)) v(level, n, m, z)),
 r as (select * from (values (0, 0.5::double), (1, 1.0::double), (2, 2.0::double)) v(k, ratio)),
-g as (select level, x, y, a, b, z, (x * m + y) as cell from s, unnest(range(n)) t(x), unnest(range(m)) u(y))
-select level, cell * 3 + k as anchor, x * a - round_even(z / sqrt(ratio) / 2, 0) as q0, y * b - round_even(z * sqrt(ratio) / 2, 0) as q1, x * a + round_even(z / sqrt(ratio) / 2, 0) as q2, y * b + round_even(z * sqrt(ratio) / 2, 0) as q3
+g as (select image, level, x, y, wide // n as a, high // m as b, z, (x * m + y) as cell from i, s, unnest(range(n)) t(x), unnest(range(m)) u(y))
+select image, level, cell * 3 + k as anchor, x * a - round_even(z / sqrt(ratio) / 2, 0) as q0, y * b - round_even(z * sqrt(ratio) / 2, 0) as q1, x * a + round_even(z / sqrt(ratio) / 2, 0) as q2, y * b + round_even(z * sqrt(ratio) / 2, 0) as q3
 from g, r""")
 def anchor_grid(spark, d):
+    """Anchors of two levels for each of a table of images of different sizes."""
+    number = F.floor(F.col("p_partkey") / 10).cast("long")
+    images = table(spark, d, "part").select(number.alias("image"), F.array(64 + number % 5 * 16, 48 + number % 3 * 12).alias("size")).distinct()
     shapes = [T.anchor_shapes([z], [0.5, 1.0, 2.0]) for z in (16.0, 32.0)]
-    made = T.anchor_grid(spark, (64, 48), [(16, 12), (8, 6)], shapes)
-    return made.select("level", "anchor", *[F.get("box", F.lit(i)).alias(f"q{i}") for i in range(4)])
+    made = T.image_anchors(images, [(16, 12), (8, 6)], shapes)
+    return made.select("image", "level", "anchor", *[F.get("box", F.lit(i)).alias(f"q{i}") for i in range(4)])
 
 
 _MATCHES = _BOXES + """, p as (select a.image, a.box as anchor, b.box as truth, (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) as inter,
@@ -185,22 +189,22 @@ def kspace_masks(spark, d):
     return rows.select("slice", "place", Z.random_mask(c, 64, 0.08, 4.0, 3, "slice").alias("random"), Z.even_mask(c, 64, 0.08, 4.0, 2).alias("even"))
 
 
-_PAIRED = """with i as (select vec_id, embedding[1:12] as v, row_number() over (order by vec_id) as k, row_number() over (order by md5('5:' || vec_id), vec_id) as h from embeddings),
+_PAIRED = """with i as (select vec_id, embedding as v, row_number() over (order by vec_id) as k, row_number() over (order by md5('5:' || vec_id), vec_id) as h from embeddings),
 p as (select a.vec_id, b.vec_id as other, a.v, b.v as w from i a join i b on b.h = a.k),
 u as (select *, ('0x' || substr(md5('8:' || vec_id), 1, 13))::bigint / 4503599627370496::double as x, ('0x' || substr(md5('9:' || vec_id), 1, 13))::bigint / 4503599627370496::double as y from p),
-e as (select *, floor(x * 3) - floor(sqrt(0.4::double) * 3 / 2) as x0, floor(x * 3) + floor(sqrt(0.4::double) * 3 / 2) as x1, floor(y * 4) - floor(sqrt(0.4::double) * 4 / 2) as y0, floor(y * 4) + floor(sqrt(0.4::double) * 4 / 2) as y1 from u),
-c as (select vec_id, other, v, w, greatest(x0, 0) as x0, least(x1, 3) as x1, greatest(y0, 0) as y0, least(y1, 4) as y1 from e)
+e as (select *, floor(x * 8) - floor(sqrt(0.4::double) * 8 / 2) as x0, floor(x * 8) + floor(sqrt(0.4::double) * 8 / 2) as x1, floor(y * 8) - floor(sqrt(0.4::double) * 8 / 2) as y0, floor(y * 8) + floor(sqrt(0.4::double) * 8 / 2) as y1 from u),
+c as (select vec_id, other, v, w, greatest(x0, 0) as x0, least(x1, 8) as x1, greatest(y0, 0) as y0, least(y1, 8) as y1 from e)
 """
 
 
 @query(_PAIRED + """select vec_id, other, i as place, round(0.7 * v[i + 1]::double + 0.3 * w[i + 1]::double, 4) as mixed,
-  round(case when i // 4 >= x0 and i // 4 < x1 and i % 4 >= y0 and i % 4 < y1 then w[i + 1] else v[i + 1] end::double, 4) as cut,
-  round(case when i // 4 >= x0 and i // 4 < x1 and i % 4 >= y0 and i % 4 < y1 then 0 else v[i + 1] end::double, 4) as blank,
-  round(1 - greatest(x1 - x0, 0) * greatest(y1 - y0, 0) / 12, 4) as kept from c, unnest(range(12)) t(i)""")
+  round(case when i // 8 >= x0 and i // 8 < x1 and i % 8 >= y0 and i % 8 < y1 then w[i + 1] else v[i + 1] end::double, 4) as cut,
+  round(case when i // 8 >= x0 and i // 8 < x1 and i % 8 >= y0 and i % 8 < y1 then 0 else v[i + 1] end::double, 4) as blank,
+  round(1 - greatest(x1 - x0, 0) * greatest(y1 - y0, 0) / 64, 4) as kept from c, unnest(range(64)) t(i)""")
 def mixed_pairs(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("v"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     both = M.paired(rows, "vec_id", 5)
-    v, w, size = F.col("v"), F.col("v_other"), (3, 4)
+    v, w, size = F.col("v"), F.col("v_other"), (8, 8)
     arrays = F.arrays_zip(M.mix_up(v, w, F.lit(0.7)).alias("mixed"), M.cut_mix(v, w, size, F.lit(0.6), 8, "vec_id").alias("cut"), M.cut_out(v, size, 0.4, 8, "vec_id").alias("blank"))
     made = both.select("vec_id", F.col("vec_id_other").alias("other"), M.kept_share(size, F.lit(0.6), 8, "vec_id").alias("kept"), F.posexplode(arrays).alias("place", "x"))
     return rounded(made.select("vec_id", "other", F.col("place").cast("long").alias("place"), "x.mixed", "x.cut", "x.blank", "kept"))

@@ -84,8 +84,8 @@ def test_flips_and_turns(spark, given):
     df = table(spark, given, (3, 4))
     same(arrays(crops.flip(df, "case", AXES, ["y"])), {k: a[:, ::-1] for k, a in given.items()})
     for turns in range(-1, 5):
-        same(arrays(crops.rotate90(df, "case", AXES, turns, ("x", "y"))), {k: np.rot90(a, turns, (1, 0)) for k, a in given.items()})
-        same(arrays(crops.rotate90(df, "case", AXES, turns, ("y", "x"))), {k: np.rot90(a, turns, (0, 1)) for k, a in given.items()})
+        same(arrays(crops.rotate90(df, "case", AXES, turns, ("x", "y"))), {k: np.rot90(a, turns, (0, 1)) for k, a in given.items()})
+        same(arrays(crops.rotate90(df, "case", AXES, turns, ("y", "x"))), {k: np.rot90(a, turns, (1, 0)) for k, a in given.items()})
 
 
 def test_centers_are_drawn_by_kind_and_weight(spark):
