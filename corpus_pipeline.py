@@ -9,19 +9,30 @@ from strataframe.llm import decontaminate, language_id, mixing, near_dedup, shar
 from strataframe.llm.common import saved
 
 
+#: A text of at least so many characters whose best score is below the second number is in no known language: it
+#: lies farther from every profile than three quarters of the greatest distance.
+JUDGED, LEAST_SCORE = 200, 0.25
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without a letter.  ``lang`` stays as it is.
+    """Documents without a language go: null texts, those without a letter, and those that fit no learned profile
+    (see ``LEAST_SCORE``); shorter ones are too little to tell and stay.  A null ``lang`` becomes the predicted one.
 
-    On a table without a label nothing is learned; then too only texts without a letter go."""
+    On a table without a label nothing is learned; then only texts without a letter go.  Texts of any length are
+    judged whole, and repeated rows alike."""
     found = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "lang"))
-    known = (F.col("lang_pred") != language_id.UNKNOWN) | F.col("text").rlike(r"\p{L}")
-    return found.where(known).select("doc.*")
+    learned = F.col("lang_pred") != language_id.UNKNOWN
+    foreign = learned & (F.length("text") >= JUDGED) & (F.col("score") < LEAST_SCORE)
+    kept = found.where(F.col("text").rlike(r"\p{L}") & ~foreign)
+    lang = F.coalesce("doc.lang", F.when(learned, F.col("lang_pred")))
+    return kept.select(*[lang.alias(c) if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of least doc_id.
 
-    Texts without a word and rows without an id stay; of rows equal in id and text one stays."""
+    Texts without a word and rows without an id stay; of rows equal in id and text one stays.  Texts of any
+    length are compared whole."""
     return near_dedup.deduplicate(docs)
 
 
