@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from strataframe.llm import language_id
 from tests.llm.test_llm_operators import DOC, clashing, corpus, plain_words, words
 
 BENCH = [(1, " ".join(words(random.Random(77), 30)))]
@@ -29,8 +30,10 @@ def test_stages(spark, folder):
         kept = corpus_pipeline.saved(stage(spark, kept, folder))
         assert kept.columns == columns
         sizes.append(kept.count())
-    texts = [r.text for r in docs.collect()]
-    assert sizes[1] == sum(1 for t in texts if t and any(c.isalpha() for c in t))
+    judged = language_id.identify(docs).collect()
+    lettered = [r for r in judged if r.text and any(c.isalpha() for c in r.text)]
+    foreign = [r for r in lettered if len(r.text) >= corpus_pipeline.JUDGED and r.score < corpus_pipeline.LEAST_SCORE]
+    assert sizes[1] == len(lettered) - len(foreign) and len(foreign) < 0.05 * len(lettered)
     assert sizes[2] < sizes[1] and sizes[3] == sizes[2] - 1 and sizes[4] != sizes[3]
     assert kept.where("doc_id = 500").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, kept, folder).collect()
@@ -40,6 +43,20 @@ def test_stages(spark, folder):
         assert slots == list(range(len(slots)))
 
 
+def test_language_decides(spark, folder):
+    """A script that nothing taught goes, if there's enough of it; an unlabelled text gets its language."""
+    rng = random.Random(4)
+    plain = {"en": "an the er on re sh ti".split(), "fr": "ou be lo é ñi qua".split()}
+    say = lambda lang, n: " ".join("".join(rng.choices(plain[lang], k=3)) for _ in range(n))
+    rows = [(i, say(lang, 60), lang, None, None) for i, lang in enumerate(["en", "fr"] * 60)]
+    rows += [(900, "Съешь ещё этих мягких французских булок " * 9, None, None, None), (901, "Привет", None, None, None), (902, say("fr", 60), None, "s", 1), (903, say("en", 60), "de", "s", 1), (904, say("en", 200_000), None, None, None)]
+    kept = {r.doc_id: r for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, DOC), folder).collect()}
+    assert set(range(120)) | {901, 902, 903, 904} == set(kept)
+    assert kept[902].lang == "fr" and kept[903].lang == "de" and kept[904].lang == "en" and kept[902].source == "s"
+    unlabelled = spark.createDataFrame([(1, say("en", 80), None, None, None), (2, "12 34", None, None, None)], DOC)
+    assert [(r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, unlabelled, folder).collect()] == [(1, None)]
+
+
 def test_run_and_empty_and_extra_columns(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     clashing(docs).write.parquet(f"{tmp_path}/a/documents.parquet")
