@@ -67,8 +67,15 @@ def unique(values: Column) -> Column:
 
 def mode(values: Column) -> Column:
     """The most frequent element, the least of equally frequent ones."""
-    counted = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-v).alias("low")))
-    return -F.array_max(counted)["low"]
+    ordered = F.array_sort(values)
+    first = F.get(ordered, F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["at"], s["run"] + 1).otherwise(1)
+        return F.struct(F.when(run > s["n"], x).otherwise(s["best"]).alias("best"), F.greatest(run, s["n"]).alias("n"), x.alias("at"), run.alias("run"))
+
+    start = F.struct(first.alias("best"), F.lit(0).alias("n"), first.alias("at"), F.lit(0).alias("run"))
+    return F.aggregate(ordered, start, step)["best"]
 
 
 def is_in(values: Column, chosen: Sequence) -> Column:

@@ -58,7 +58,7 @@ def stratified(df: DataFrame, label: str, parts: int, *order: str | Column) -> D
     A hot class would be one window; its places come from sub-ranges of its rows instead."""
     indexed = with_row_index(df, label, *order)
     first = indexed.groupBy(F.col(label).alias("label__")).agg(F.min("row_index").alias("first__"))
-    both = indexed.join(F.broadcast(first), F.col(label).eqNullSafe(F.col("label__")))
+    both = indexed.join(first, F.col(label).eqNullSafe(F.col("label__")))
     return both.withColumn("part", F.pmod(F.col("row_index") - F.col("first__"), F.lit(parts)).cast("int")).drop("label__", "first__")
 
 

@@ -40,7 +40,8 @@ def robust_moments(df: DataFrame, segment: list[str], value: str, trim: float =
 
 
 def quantiles(df: DataFrame, segment: list[str], value: str, at: list[float]) -> DataFrame:
-    return df.groupBy(*segment).agg(*[F.percentile(value, q).alias(f"q{int(q * 100):02d}") for q in at])
+    found = df.groupBy(*segment).agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in at])).alias("q__"))
+    return found.select(*segment, *[F.get("q__", F.lit(i)).alias(f"q{int(q * 100):02d}") for i, q in enumerate(at)])
 
 
 def dense_labels(df: DataFrame, label: str, name: str = "dense") -> DataFrame:

@@ -18,16 +18,12 @@ def sample_stats(df: DataFrame, keys: list[str], value: str, accuracy: int | Non
 
     Percentiles interpolate; with ``accuracy`` they are approximate and take bounded memory."""
     v = nan_to_null(F.col(value).cast("double"))
-    def at(q):
-        return F.percentile_approx(v, q, accuracy) if accuracy else F.percentile(v, q)
-    return df.groupBy(*keys).agg(
-        F.max(v).alias("max"),
-        F.avg(v).alias("mean"),
-        at(0.5).alias("median"),
-        F.min(v).alias("min"),
-        F.stddev_pop(v).alias("stdev"),
-        *[at(q).alias(name) for name, q in PERCENTILES.items()],
-    )
+    names = ("median", *PERCENTILES)
+    fractions = F.array(*[F.lit(q) for q in (0.5, *PERCENTILES.values())])
+    every = F.percentile_approx(v, fractions, accuracy) if accuracy else F.percentile(v, fractions)  # one buffer for all
+    found = df.groupBy(*keys).agg(F.max(v).alias("max"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.stddev_pop(v).alias("stdev"), every.alias("q__"))
+    at = {name: F.get("q__", F.lit(i)) for i, name in enumerate(names)}
+    return found.select(*keys, *[(at[c] if c in at else F.col(c)).alias(c) for c in STATS])
 
 
 def summarise(stats: DataFrame, keys: list[str]) -> DataFrame:
