@@ -103,7 +103,7 @@ def _linked(frame: pd.DataFrame, window: int, threshold: float, fresh: int = 0):
                     yield int(ids[p]), int(ids[q])
 
 
-def _scan(window: int, threshold: float):
+def _scan(window: int, threshold: float, kind: str):
     """Links within one sorted partition; its first and last rows go on, for the pairs across borders."""
 
     def run(batches):
@@ -120,29 +120,31 @@ def _scan(window: int, threshold: float):
             both = both.assign(fresh__=np.arange(len(both)))
             pairs = list(_linked(both, window, threshold, held))
             if pairs:
-                yield _record(links=pairs)
+                yield _record(kind, links=pairs)
             carry = both[columns][-window:]
             seen += len(frame)
         if first is not None:
-            yield _record(border=first, at=at - 1, side=1)
-            yield _record(border=carry, at=at, side=0)
+            yield _record(kind, border=first, at=at - 1, side=1)
+            yield _record(kind, border=carry, at=at, side=0)
 
     return run
 
 
-EDGE = "a long, b long, at int, side int, place int, turn int, label int, dim int, rep long, emb array<float>"
+def _edge(kind: str) -> str:
+    return f"a long, b long, at int, side int, place int, turn int, label long, dim int, rep long, emb array<{kind}>"
 
 
-def _record(links=None, border=None, at=0, side=0) -> pa.RecordBatch:
+def _record(kind: str, links=None, border=None, at=0, side=0) -> pa.RecordBatch:
     n = len(links) if links is not None else len(border)
-    none = lambda kind: pa.nulls(n, kind)
+    none = lambda type_: pa.nulls(n, type_)
+    numbers = pa.list_(pa.float64() if kind == "double" else pa.float32())
     if links is not None:
-        data = [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64()), *[none(pa.int32())] * 6, none(pa.int64()), none(pa.list_(pa.float32()))]
+        data = [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64()), *[none(pa.int32())] * 4, none(pa.int64()), none(pa.int32()), none(pa.int64()), none(numbers)]
     else:
         data = [none(pa.int64())] * 2 + [pa.array(np.full(n, v, np.int32)) for v in (at, side)] + [pa.array(np.arange(n, dtype=np.int32))]
-        data += [pa.array(border[c].to_numpy(np.int32)) for c in ("turn", "label", "dim")]
-        data += [pa.array(border["rep"].to_numpy(np.int64)), pa.array([np.asarray(v, np.float32) for v in border["emb"]], pa.list_(pa.float32()))]
-    return pa.RecordBatch.from_arrays(data, names=[c.split()[0] for c in EDGE.split(", ")])
+        data += [pa.array(border[c].to_numpy(t)) for c, t in (("turn", np.int32), ("label", np.int64), ("dim", np.int32), ("rep", np.int64))]
+        data.append(pa.array([np.asarray(v, np.float64 if kind == "double" else np.float32) for v in border["emb"]], numbers))
+    return pa.RecordBatch.from_arrays(data, names=[c.split()[0] for c in _edge(kind).split(", ")])
 
 
 def _bridge(window: int, threshold: float):
@@ -220,11 +222,12 @@ def _links(classes: DataFrame, threshold: float, window: int, recall: float) ->
     where the crowds of a label, added up, are more work than all its pairs, its pairs are compared
     once instead of in every pass."""
     label, rows = ["label", "dim"], classes.select("label", "dim", "rep", "emb")
+    kind = rows.schema["emb"].dataType.elementType.typeName()
     groups = saved(classes.groupBy(*label).agg(F.count(F.lit(1)).alias("n")))
     largest = groups.agg(F.max("n")).first()[0] or 0
     passes, crowd = passes_needed(largest, threshold, window, recall), [*label, "turn", "prefix"]
     # Bits are taken once; a vector is multiplied by the passes only on its way into the sort.
-    keys = saved(rows.mapInPandas(_keys(passes), "label int, dim int, rep long, emb array<float>, keys array<long>"))
+    keys = saved(rows.mapInPandas(_keys(passes), f"label long, dim int, rep long, emb array<{kind}>, keys array<long>"))
     keyed = keys.select(*label, "rep", "emb", F.posexplode("keys").alias("turn", "sortkey"))
     prefixed = keyed.withColumn("prefix", F.shiftright("sortkey", BITS - leading_bits(largest, window)))
     # Up to a window and one more, each vector of a crowd is within the window of all others.
@@ -233,7 +236,7 @@ def _links(classes: DataFrame, threshold: float, window: int, recall: float) ->
     dense = saved(groups.join(work, label).where(F.col("work") > F.col("n").cast("double") * F.col("n")).select(*label, "n"))
     crowds = crowds.join(hinted(dense.select(*label), small_enough(dense.count(), 16)), label, "left_anti").select(*crowd, "n")
     order = ["turn", "label", "dim", "sortkey", "rep"]
-    found = saved(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(window, threshold), EDGE))
+    found = saved(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(window, threshold, kind), _edge(kind)))
     within = found.where("a is not null").select("a", "b")
     across = found.where("a is null").groupBy("at").applyInPandas(_bridge(window, threshold), "a long, b long")
     crowded = _compared(prefixed, crowds, crowd, threshold).union(_compared(rows, dense, label, threshold))
@@ -244,27 +247,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     """All columns of ``vectors(vec_id, embedding, label, ...)`` and n_links, component_id, kept.
 
     Vectors of equal label and length link if their cosine in double precision reaches
-    ``threshold``.  Copies of one vector are one class in the passes and count as links of each
+    ``threshold``; arrays of doubles are taken as they are, others as floats.  Labels are whole numbers; of
+    others the 64-bit hash counts.  Copies of one vector are one class in the passes and count as links of each
     other.  What is null, zero, has a null or non-finite component, or a null label or vec_id links
-    with nothing and is its own component.  Repeated rows count as copies; an empty table gives none.
+    with nothing and is its own component.  Repeated rows count as copies, and rows of one
+    id with different vectors as vectors of their own; an empty table gives none.
 
     A pair is met with chance ``recall`` or more on its own, however many vectors lie near it and
     whatever the label's size.  Links are counted over whole components, block by block, so none
     within a component is missed."""
+    kinds = dict(vectors.dtypes)
+    kind = "double" if kinds["embedding"] == "array<double>" else "float"
+    whole = kinds["label"] in ("tinyint", "smallint", "int", "bigint")
     rows = packed(vectors).select(
         "row__",
         F.col("row__.vec_id").cast("long").alias("id"),
-        F.col("row__.label").cast("int").alias("label"),
-        F.col("row__.embedding").cast("array<float>").alias("emb"),
+        (F.col("row__.label").cast("long") if whole else F.when(F.col("row__.label").isNotNull(), F.xxhash64("row__.label"))).alias("label"),
+        F.col("row__.embedding").cast(f"array<{kind}>").alias("emb"),
     )
     finite = F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("emb").isNotNull() & finite & F.exists("emb", lambda v: v != 0)
     # Two 64-bit hashes stand for the vector wherever only its identity matters.
     rows = rows.withColumns({"h1": F.xxhash64("emb"), "h2": F.xxhash64(F.lit("again"), F.reverse("emb")), "fit": F.coalesce(fit, F.lit(False))})
     good = rows.where("fit")
-    classes = saved(
-        good.groupBy("label", "emb").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"), F.min("h1").alias("h1"), F.min("h2").alias("h2")).withColumn("dim", F.size("emb"))
-    )
+    # A class has a number of its own, as an id may stand in rows of different vectors.
+    made = good.groupBy("label", "emb").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
+    classes = saved(made.withColumns({"dim": F.size("emb"), "rep": F.monotonically_increasing_id()}))
     linked = saved(connected_components(_links(classes, threshold, window, recall)))
     sizes = linked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = classes.select("rep", "emb", "times").join(linked.join(sizes, "component"), F.col("rep") == F.col("node"))
@@ -273,12 +281,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(1024))).otherwise(F.xxhash64("component"))
     every = every.select("component", "rep", "emb", "times", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), task.alias("task"))
     counts = every.groupBy("task", "i", "j").applyInPandas(_counted(threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    named = linked.select(F.col("node").alias("rep"), "component")
+    lowest = named.join(classes.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("lowest"))
     told = (
-        linked.select(F.col("node").alias("rep"), "component")
+        named.join(lowest, "component")
         .join(counts, "rep", "left")
-        .join(classes.select("rep", "label", "h1", "h2", "times"), "rep", "right")
+        .join(classes.select("rep", "label", "h1", "h2", "times", "low"), "rep", "right")
         .where("times > 1 or component is not null")
-        .select(F.col("label").alias("l__"), F.col("h1").alias("x__"), F.col("h2").alias("y__"), F.coalesce("component", "rep").alias("c__"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n__"))
+        .select(F.col("label").alias("l__"), F.col("h1").alias("x__"), F.col("h2").alias("y__"), F.coalesce("lowest", "low").alias("c__"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n__"))
     )
     both = rows.join(told, F.col("fit") & (F.col("label") == F.col("l__")) & (F.col("h1") == F.col("x__")) & (F.col("h2") == F.col("y__")), "left")
     component = F.coalesce("c__", "id")

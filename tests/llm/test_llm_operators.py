@@ -360,6 +360,15 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_doubles_with_other_labels(spark):
+    """Cosines a ten-billionth off the threshold, which floats would move; labels as text; one id with two vectors."""
+    at = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [(1, [1.0, 0.0], "a"), (2, at(0.93 + 1e-10), "a"), (3, [1.0, 0.0], "b"), (4, at(0.93 - 1e-10), "b"), (5, [1.0, 0.0], "c"), (5, [0.0, 1.0], "c"), (6, [0.0, 2.0], "c"), (7, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    assert found == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     rows = [(i, [1.0, i / 1000.0], 0) for i in range(60)]
