@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataframe.plans.cache import NamedStep, RowCache
 from strataframe.sources.nrrd import parse_header, read_nrrd, write_nrrd
 from strataframe.streaming.buffers import shuffle_buffer
+from strataframe.streaming.cumulative import CumulativeSums, counts_of_agreement
 
 
 def test_nrrd_planes(spark, tmp_path):
@@ -157,3 +158,23 @@ def test_shuffle_buffer_outlives_batches_and_restarts(spark, tmp_path):
         assert sorted(rows()) == list(range(100))
     finally:
         spark.conf.unset(key)
+
+
+def test_cumulative_sums(spark, tmp_path):
+    rows = [(k, p, t) for k in ("a", "b") for p, t in ((True, True), (True, False), (False, True), (False, False), (None, True), (True, True))]
+    batch = spark.createDataFrame(rows, "k string, p boolean, t boolean")
+    made = lambda source: CumulativeSums(spark, str(tmp_path / "sums"), ["k"], counts_of_agreement(F.col("p"), F.col("t")), source)
+    sums = made("one")
+    assert sums.current() is None
+    for number in (0, 1, 1):  # the second comes again after a failure
+        sums.add(batch, number)
+    assert {r.k: (r.tp, r.fp, r.fn, r.tn) for r in sums.current().collect()} == dict.fromkeys("ab", (4, 2, 2, 2))
+    made("two").add(batch.where("k = 'a'"), 0)
+    assert {r.k: r.tp for r in sums.current().collect()} == {"a": 6, "b": 4}
+    sums.reset()
+    assert sums.current() is None and sums.current(0).count() == 2
+    batch.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a restarted query adds nothing twice
+        q = sums.attach(spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "at"), availableNow=True)
+        q.awaitTermination(90)
+    assert {r.k: (r.tp, r.fp, r.fn, r.tn) for r in sums.current().collect()} == dict.fromkeys("ab", (2, 1, 1, 1))
