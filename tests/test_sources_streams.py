@@ -139,7 +139,7 @@ def test_shuffle_buffer_outlives_batches_and_restarts(spark, tmp_path):
             q = shuffle_buffer(stream, 10, lanes=2, wait_ms=1500 if last else 3_600_000).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/at").start(out)
             ends = time.time() + 90
             while q.isActive and time.time() < ends:
-                if (len(rows()) == 90) if last else (q.lastProgress is not None and q.lastProgress.batchId >= 2 and len(rows()) == 70):
+                if (len(rows()) == 100) if last else (q.lastProgress is not None and q.lastProgress.batchId >= 2 and len(rows()) == 70):
                     break
                 time.sleep(0.5)
             q.stop()
