@@ -121,7 +121,8 @@ def _paths(leaves: DataFrame, nodes: DataFrame, tails: DataFrame, most: int) ->
         height += STRIDE
     above = None
     for level in range(height, -1, -STRIDE):
-        here = leaves if level == 0 else nodes.where(F.col("level") == level).withColumn("row", F.lit(None).cast("boolean"))
+        # A tree that ends at or below this level enters lower down: its root asks for nothing here.
+        here = leaves if level == 0 else nodes.where((F.col("level") == level) & (F.col("n") > 1)).withColumn("row", F.lit(None).cast("boolean"))
         here = here.select("tree", _over("at", BLOCK).alias("block"), "at", "n", "row")
         coordinates = F.concat(*[_siblings(level, j) for j in range(STRIDE)])
         asked = here.select("tree", "block", F.col("at").alias("asker"), F.explode(coordinates).alias("c"))

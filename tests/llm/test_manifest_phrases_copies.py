@@ -160,6 +160,24 @@ def op11_of(df):
     return merkle.verify_rows(df, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, changed))
 
 
+def test_manifest_has_one_path_above_each_block(spark, monkeypatch):
+    """A tree of 17 to 256 leaves beside a larger one ends at level 2; it must not leave a second, null path there, of
+    which the order of shuffled rows would take either."""
+    seen = []
+
+    def watched(df):
+        out = merkle_saved(df)
+        if "path" in out.columns:
+            seen.append(out.where("path is null or roots is null").count())
+        return out
+
+    merkle_saved = merkle.saved
+    monkeypatch.setattr(merkle, "saved", watched)
+    rows = [(i, f"T{i}", "en", "big" if i < 300 else "mid" if i < 340 else "small", i) for i in range(345)]
+    assert sorted(map(tuple, op11_of(frame(spark, rows)).collect()), key=repr) == sorted(manifest(rows), key=repr)
+    assert len(seen) == 2 and not any(seen)
+
+
 def test_manifest_of_an_empty_table(spark):
     assert op11_of(frame(spark, [])).count() == 0
     assert merkle.verify_rows(frame(spark, [(1, "a", None, None, None)])).first().verified
