@@ -203,3 +203,23 @@ def test_weighted_sample_when_the_bracket_misses(spark, monkeypatch):
     df = spark.createDataFrame([(i, 1.0 + i % 5) for i in range(500)], "k long, w double")
     keys = sorted((r.sample_key, r.k) for r in partition.weighted_sample(df, "w", 500, "k").collect())
     assert {r.k for r in partition.weighted_sample(df, "w", 77, "k").collect()} == {k for _, k in keys[:77]}
+
+
+def test_suppression_of_copies_compares_each_shape_once(spark, monkeypatch):
+    """Two thousand copies of two boxes: the rows that meet are shapes, and boxes without an area all stay."""
+    met = []
+    join = boxes.overlap_join
+    monkeypatch.setattr(boxes, "overlap_join", lambda left, *a, **k: (met.append(left.count()), join(left, *a, **k))[1])
+    rows = [(i, 0, float(i % 7), 0.0 + i % 2, 0.0, 10.0 + i % 2, 10.0) for i in range(2000)] + [(5000 + i, 0, 1.0, 3.0, 3.0, 3.0, 3.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, g int, score double, xmin double, ymin double, xmax double, ymax double")
+    kept = sorted(r.id for r in boxes.suppress(df, ["g"], "score", "id", 0.5).collect())
+    assert kept == [6, 5000, 5001, 5002] and met == [2]
+
+
+def test_overlaps_of_copies_are_all_pairs(spark):
+    rows = [(i, i % 2, float(i % 3), 0.0, 4.0 + i % 3, 4.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, image int, xmin double, ymin double, xmax double, ymax double")
+    got = {(r.a_id, r.b_id): r.iou for r in boxes.overlap_join(df, df, "image", 3.0).collect()}
+    gap = lambda a, b: abs(a[2] - b[2])
+    want = {(a[0], b[0]): (16 - 4 * gap(a, b)) / (16 + 4 * gap(a, b)) for a in rows for b in rows if a[1] == b[1]}
+    assert got == pytest.approx(want)
