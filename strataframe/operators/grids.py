@@ -17,6 +17,10 @@ from strataframe.core.components import components
 from strataframe.core.storage import saved
 
 
+#: Lines of at most this many cells are swept together, each cell against each of its line.
+SHORT = 64
+
+
 def steps(n_axes: int, full: bool) -> list[tuple[int, ...]]:
     """Half of the steps to neighbouring cells: the other half are their opposites."""
     every = np.stack(np.meshgrid(*[[-1, 0, 1]] * n_axes, indexing="ij"), -1).reshape(-1, n_axes)
@@ -149,8 +153,19 @@ def _lines(frames: Iterator[pd.DataFrame], key: list[str], axis: str, weight: fl
         at, d2 = frame[axis].to_numpy(float), frame["d2"].to_numpy(float)
         new = (frame[key] != frame[key].shift()).any(axis=1).to_numpy()
         ends = np.append(np.flatnonzero(new), len(frame))
-        parts = [lower_envelope(at[a:b], d2[a:b], weight) for a, b in zip(ends, ends[1:], strict=False)]
-        return frame.assign(d2=np.concatenate(parts))
+        lengths, out = np.diff(ends), np.empty(len(frame))
+        for n in np.unique(lengths):
+            begins = ends[:-1][lengths == n]
+            if n > SHORT:
+                for a in begins:
+                    out[a : a + n] = lower_envelope(at[a : a + n], d2[a : a + n], weight)
+                continue
+            rows = begins[:, None] + np.arange(n)
+            x, height, best = at[rows], d2[rows], np.full(rows.shape, np.inf)
+            for j in range(n):
+                best = np.minimum(best, weight * (x - x[:, j : j + 1]) ** 2 + height[:, j : j + 1])
+            out[rows] = best
+        return frame.assign(d2=out)
 
     for frame in frames:
         if not len(frame):
@@ -186,8 +201,10 @@ def distance_transform(cells: DataFrame, case: str, axes: Sequence[str], source:
     first, weight = axes[0], spacing[0] * spacing[0]
     line = Window.partitionBy(case, *axes[1:]).orderBy(first)
     place = F.when(F.coalesce(source, F.lit(False)), F.col(first))
+    back = Window.partitionBy(case, *axes[1:]).orderBy(F.desc(first))
     before = F.last(place, True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first(place, True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    # Read from the end: a frame up to the end of a line would be gone through anew for each of its rows.
+    behind = F.last(place, True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     nearest = F.least(F.col(first) - before, behind - F.col(first)).cast("double")
     now = cells.withColumn("d2", F.coalesce(nearest * nearest * weight, F.lit(float("inf"))))
     for axis, size in zip(axes[1:], spacing[1:], strict=True):

@@ -262,3 +262,13 @@ def test_share_budgets(spark):
     sizes = spark.createDataFrame([("a", "x", 100), ("a", "y", 100), ("a", "z", 2), ("b", "y", 50), ("c", "w", 9)], "case string, bucket string, n long")
     got = {(r.case, r.bucket): r.budget for r in seeds.share_budgets(sizes, 10, {"x": 1.0, "y": 1.0, "z": 1.0}).collect()}
     assert got == {("a", "x"): 4, ("a", "y"): 3, ("a", "z"): 2, ("b", "y"): 10}
+
+
+def test_distances_read_no_line_anew_for_each_cell(spark, capsys):
+    """A frame to the end of a line costs the square of its length; long lines and short ones give the same sums."""
+    cells = spark.createDataFrame([(0, x, y, (x * 7 + y * 5) % 23 == 0) for x in range(90) for y in range(70)], "c int, x int, y int, on boolean")
+    found = grids.distance_transform(cells, "c", ["x", "y"], F.col("on"))
+    found.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+    sources = [(r.x, r.y) for r in cells.where("on").collect()]
+    assert all(r.d2 == min((r.x - a) ** 2 + (r.y - b) ** 2 for a, b in sources) for r in found.where("x % 9 = 0").collect())
