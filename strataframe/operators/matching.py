@@ -23,7 +23,7 @@ def nearest_anchors(truths: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     cells around its own, one ring at first and twice as many in each round, until its k-th anchor is no
     farther than the rings reach, so the answer is exact; only truths that are still open ask again.  Equal
     distances fall to the lesser anchor.  Fewer than k anchors are all taken."""
-    places = _centres(anchors).select("image", "level", "anchor", F.col("cx").alias("ax"), F.col("cy").alias("ay"))
+    places = saved(_centres(anchors).select("image", "level", "anchor", F.col("cx").alias("ax"), F.col("cy").alias("ay")))
     grouped = places.groupBy("image", "level").agg(F.count(F.lit(1)).alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1"))
     wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     side = F.sqrt(F.greatest(wide, F.lit(1e-9)) * F.greatest(high, F.lit(1e-9)) * k / F.col("n"))
@@ -60,6 +60,7 @@ def atss_match(truths: DataFrame, anchors: DataFrame, candidates: int = 4, per_p
     it by more than ``eps`` (if asked), match; an anchor takes the matching truth of greatest overlap, the
     lesser of equal ones, or null.  A truth's only candidate matches in any case.  Overlaps within 1e-9 of
     the bar reach it.  Ids must be unique in an image; images without truths keep their anchors."""
+    truths, anchors = saved(truths), saved(anchors)
     near = nearest_anchors(truths, anchors, candidates * per_place)
     sided = lambda df, name, side: df.select("image", name, *[F.col(c).cast("double").alias(f"{side}{c}") for c in CORNERS])
     both = near.join(sided(truths, "truth", "t_"), ["image", "truth"]).join(sided(anchors, "anchor", "a_"), ["image", "anchor"])

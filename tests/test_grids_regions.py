@@ -272,3 +272,13 @@ def test_distances_read_no_line_anew_for_each_cell(spark, capsys):
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
     sources = [(r.x, r.y) for r in cells.where("on").collect()]
     assert all(r.d2 == min((r.x - a) ** 2 + (r.y - b) ** 2 for a, b in sources) for r in found.where("x % 9 = 0").collect())
+
+
+def test_long_written_tables_are_not_broadcast(spark, capsys):
+    from strataframe.core.storage import saved
+
+    long, short = saved(spark.range(200_000)), saved(spark.range(10))
+    long.join(long.withColumn("b", F.col("id") + 1), "id").explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    long.join(short, "id").count()
+    assert long.join(F.broadcast(short), "id").count() == 10
