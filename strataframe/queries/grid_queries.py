@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataframe.core.storage import table
+from strataframe.core.storage import saved, table
 from strataframe.operators import grids as G
 from strataframe.operators import regions as R
 from strataframe.operators import seeds as S
@@ -22,13 +22,14 @@ g as (
 def _grid(spark, d):
     """A dense box for each of four cases: places of suppliers, seven years, twelve months; quantity and lines sold."""
     lines = table(spark, d, "lineitem").select("l_suppkey", (F.year("l_shipdate") - 1995).cast("long").alias("y"), (F.month("l_shipdate") - 1).cast("long").alias("m"), "l_quantity")
-    sold = lines.where("y between 0 and 6").groupBy("l_suppkey", "y", "m").agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("c"))
+    sold = lines.where("y between 0 and 6").groupBy("l_suppkey", "y", "m").agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("c")).hint("merge")
     k = F.col("s_suppkey")
     every = table(spark, d, "supplier").select(k, F.explode(F.sequence(F.lit(0), F.lit(6)).cast("array<long>")).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<long>")).alias("m"))
     both = every.join(sold.withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey", "y", "m"], "left")
     s = F.floor(k / 4).cast("long")
     label = F.when(F.col("q") >= 260, 2).when(F.col("q") < 110, 1)
-    return both.select((k % 4).alias("case_id"), s.alias("s"), "y", "m", ((s * 7 + F.col("y")) * 12 + F.col("m")).alias("node"), F.coalesce("q", F.lit(0)).alias("q"), F.coalesce("c", F.lit(0)).alias("c"), label.alias("label"))
+    cells = both.select((k % 4).alias("case_id"), s.alias("s"), "y", "m", ((s * 7 + F.col("y")) * 12 + F.col("m")).alias("node"), F.coalesce("q", F.lit(0)).alias("q"), F.coalesce("c", F.lit(0)).alias("c"), label.alias("label"))
+    return saved(cells)
 
 
 _REACH = f"""with recursive {_GRID},
