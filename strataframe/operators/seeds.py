@@ -69,6 +69,36 @@ def cover_points(points: DataFrame, budgets: DataFrame, axes: Sequence[str], blo
         now, round_ = made.drop("place"), round_ + 1
 
 
+def farthest_cover(points: DataFrame, budgets: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """As ``cover_points``, but each group's seeds are those of one sequence of farthest points over the whole group.
+
+    A round for each seed: points keep their squared distance to the seeds so far, a grouped minimum names the
+    farthest, and it's joined back by group.  So the budget, not the size of a group, decides the number of
+    rounds, and no group is gathered."""
+    axes = list(axes)
+    rows = points.select("case", "bucket", "point", *[F.col(a).cast("double").alias(a) for a in axes]).dropna().dropDuplicates(["case", "bucket", "point"])
+    now = saved(rows.join(budgets.where("budget > 0"), ["case", "bucket"]).withColumn("d2", F.lit(float("inf"))))
+    chosen, place = [], 0
+    while True:
+        open_rows = now.where((F.col("budget") > place) & (F.col("d2") >= 0))
+        first = F.min(F.struct((-F.col("d2")).alias("d"), "point", *axes)).alias("s")
+        seeds = saved(open_rows.groupBy("case", "bucket").agg(first).select("case", "bucket", "s.point", *[F.col(f"s.{a}").alias(f"{a}_s") for a in axes]))
+        if seeds.isEmpty():
+            break
+        chosen.append(seeds.select("case", "bucket", "point", F.lit(place).cast("long").alias("place")))
+        gap = F.lit(0.0)
+        for a in axes:
+            gap = gap + (F.col(a) - F.col(f"{a}_s")) * (F.col(a) - F.col(f"{a}_s"))
+        met = open_rows.join(seeds.withColumnRenamed("point", "seed"), ["case", "bucket"])
+        # A chosen point isn't chosen again.
+        far = F.when(F.col("point") == F.col("seed"), -1.0).otherwise(F.least("d2", gap))
+        now, place = saved(met.select(*rows.columns, "budget", far.alias("d2"))), place + 1
+    out = now.select("case", "bucket", "point", F.lit(0).cast("long").alias("place")).limit(0)
+    for part in chosen:
+        out = out.unionByName(part)
+    return out
+
+
 def cover_radius(points: DataFrame, seeds: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(case, bucket, radius): the greatest distance of a point to the nearest seed of its group.
 

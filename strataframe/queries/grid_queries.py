@@ -187,8 +187,8 @@ f(k, "case", bucket, budget, chosen) as (
   from f join p using ("case", bucket) where f.k < f.budget group by f.k, "case", bucket)
 select "case" as case_id, bucket, unnest(chosen).p as point, generate_subscripts(chosen, 1) - 1 as place from f where k = budget""")
 def strategic_seeds(spark, d):
-    """Fourteen seeds a case over three buckets of distance, each the farthest from those before; groups of one block here."""
-    points = _bucketed(spark, d)
+    """Fourteen seeds a case over three buckets of distance, each the farthest from those before in its whole group."""
+    points = saved(_bucketed(spark, d))
     sizes = points.groupBy("case", "bucket").agg(F.count(F.lit(1)).alias("n"))
     budgets = S.share_budgets(sizes, 14, {"within": 5.0, "near": 3.0, "far": 2.0})
-    return S.cover_points(points, budgets, AXES).select(F.col("case").alias("case_id"), "bucket", "point", "place")
+    return S.farthest_cover(points, budgets, AXES).select(F.col("case").alias("case_id"), "bucket", "point", "place")

@@ -282,3 +282,16 @@ def test_long_written_tables_are_not_broadcast(spark, capsys):
     assert "BroadcastHashJoin" not in capsys.readouterr().out
     long.join(short, "id").count()
     assert long.join(F.broadcast(short), "id").count() == 10
+
+
+def test_farthest_cover_is_one_sequence_over_a_group(spark):
+    """Groups longer than a block of ``cover_points``, a group with fewer points than its budget, and none."""
+    rows = [(g, "b", i, float(i * 37 % 211), float(i * 53 % 97)) for g in (0, 1) for i in range(9000 if g else 3)]
+    points = spark.createDataFrame(rows, "case int, bucket string, point int, x double, y double")
+    budgets = spark.createDataFrame([(0, "b", 5), (1, "b", 6), (2, "b", 4)], "case int, bucket string, budget int")
+    got = {(r.case, r.place): r.point for r in seeds.farthest_cover(points, budgets, ["x", "y"]).collect()}
+    for g, n in ((0, 3), (1, 6)):
+        at = np.array([r[3:] for r in rows if r[0] == g])
+        assert [got.pop((g, k)) for k in range(n)] == farthest_points(at, n)
+    assert not got
+    assert seeds.farthest_cover(points.limit(0), budgets, ["x", "y"]).count() == 0
