@@ -94,9 +94,7 @@ w as (select *, row_number() over (partition by image, anchor order by iou desc,
 @query(_MATCHES + """select image, anchor, round(iou, 4) as iou, case when (select bool_or(top) from w z where z.image = w.image and z.anchor = w.anchor) or iou >= 0.5 then truth when iou >= 0.2 then -2 else -1 end as matched from w where k = 1""")
 def anchor_match(spark, d):
     rows = _boxes(spark, d)
-    pairs = B.overlap_join(rows.where("box % 3 <> 0"), rows.where("box % 3 = 0"), "image", 64.0)
-    pairs = pairs.select(F.col("a_image").alias("image"), F.col("a_box").alias("anchor"), F.col("b_box").alias("truth"), "iou")
-    return rounded(T.match_anchors(pairs, "image", "anchor", "truth", 0.2, 0.5))
+    return rounded(T.match_anchor_boxes(rows.where("box % 3 <> 0"), rows.where("box % 3 = 0"), "image", "box", 0.2, 0.5, 64.0))
 
 
 @query(_BOXES.replace("with b as", "with recursive b as") + """, s as (select box, image, label, 1 / (1 + exp(-(score - 1400) / 300)) as score, box % 2 as level, greatest(xmin, 0) as xmin, greatest(ymin, 0) as ymin, least(xmax, 180) as xmax, least(ymax, 120) as ymax from c),
