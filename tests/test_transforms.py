@@ -155,3 +155,17 @@ def test_traced_steps(spark):
     assert {r.v for r in some(spark.range(60).select("id", F.lit(5.0).alias("v"))).collect()} == {5.0, 6.0, 10.0}
     every = trace.some_of([lambda c: c + 1, lambda c: c * 2], ["v"], 1, "id")
     assert {r.v for r in every(spark.range(60).select("id", F.lit(5.0).alias("v"))).collect()} == {12.0, 11.0}
+
+
+def test_masks_are_looked_at_together(spark, monkeypatch):
+    """Boxes beyond the image, upside down, without a side or a label; masks with nulls; and more of them than one part."""
+    monkeypatch.setattr(T, "TOGETHER", 3)
+    rows = [(0, [1.0, 0.0, 9.0, 2.0], 7), (1, [-3.0, -1.0, 1.0, 1.0], 0), (2, [2.0, 2.0, 1.0, 3.0], 4), (3, [0.0, None, 2.0, 2.0], 4), (4, [0.0, 0.0, 2.0, 1.0], None), (5, [2.0, 2.0, 3.0, 3.0], 2)]
+    df = spark.createDataFrame(rows, "k int, q array<double>, label int")
+    made = df.select("k", T.box_mask(F.col("q"), F.col("label"), (3, 3)).alias("m"))
+    found = {r.k: (r.m, r.f and (r.f.box, r.f.label)) for r in made.select("*", T.mask_box(F.col("m"), (3, 3)).alias("f")).collect()}
+    blank, b = [-1] * 9, -1
+    assert found[0] == ([b, b, b, 7, 7, b, 7, 7, b], ([1.0, 0.0, 3.0, 2.0], 7))
+    assert found[1] == ([0] + [b] * 8, ([0.0, 0.0, 1.0, 1.0], 0))
+    assert found[2] == (blank, None) and found[3] == (blank, None)
+    assert found[4] == ([None, b, b, None] + [b] * 5, None) and found[5] == (blank[:8] + [2], ([2.0, 2.0, 3.0, 3.0], 2))
