@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.core.components import components
-from strataframe.core.storage import saved
+from strataframe.core.storage import saved, whole_groups
 from strataframe.operators.boxes import CORNERS
 
 
@@ -110,28 +110,64 @@ def best_assignment(values: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Pairs of an image that one task may hold whole.
+SMALL = 512
+
+
 def optimal_match(pairs: DataFrame, image: str, truth: str, pred: str, value: str, least: float = 0.0) -> DataFrame:
     """The one-to-one matching of greatest total ``value`` in each image, and of it the pairs over ``least``.
 
     ``pairs(image, truth, pred, value)`` holds overlapping pairs only.  Boxes or segments that aren't linked by
-    overlaps, over any number of steps, don't bear on each other: the components of the pairs are found
-    first, and each is solved exactly by itself.  So a task holds a cluster of overlapping things, not an image.
-    Rows with nulls, and values of zero or less, are left out; of repeated pairs the greatest counts; which of
-    several best matchings is given isn't defined."""
+    overlaps, over any number of steps, don't bear on each other: these clusters are solved exactly one by one.
+    Images of at most SMALL pairs are taken whole, many in a task, and fall into their clusters there; of others
+    the clusters are found first, as components of the pairs.  So a task holds a small image or a cluster of
+    overlapping things.  Rows with nulls, and values of zero or less, are left out; of repeated pairs the
+    greatest counts; which of several best matchings is given isn't defined."""
     rows = pairs.select(image, truth, pred, F.col(value).cast("double").alias(value)).dropna().where(F.col(value) > 0)
     rows = saved(rows.groupBy(image, truth, pred).agg(F.max(value).alias(value)))
-    end = lambda kind, c: F.struct(F.col(image).cast("string").alias("i"), F.lit(kind).alias("k"), F.col(c).cast("string").alias("n"))
-    found = components(rows.select(end("t", truth).alias("a"), end("p", pred).alias("b")))
-    dealt = rows.withColumn("node", end("t", truth)).join(found, "node").select(image, truth, pred, value, F.to_json("component").alias("cluster__"))
-    schema = dealt.drop("cluster__").schema
-    names = schema.names
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+    sizes = saved(rows.groupBy(image).agg(F.count(F.lit(1)).alias("n__")).where(F.col("n__") > SMALL).select(image))
+    dealt = rows.join(sizes, image, "left_anti").withColumn("cluster__", F.lit(""))
+    if not sizes.isEmpty():
+        large = rows.join(sizes, image, "left_semi")
+        end = lambda kind, c: F.struct(F.col(image).cast("string").alias("i"), F.lit(kind).alias("k"), F.col(c).cast("string").alias("n"))
+        found = components(large.select(end("t", truth).alias("a"), end("p", pred).alias("b")))
+        named = large.withColumn("node", end("t", truth)).join(found, "node").select(image, truth, pred, value, F.to_json("component").alias("cluster__"))
+        dealt = dealt.unionByName(named)
+    schema, key = rows.schema, [image, "cluster__"]
+
+    def solve(frame: pd.DataFrame) -> np.ndarray:
+        """Which rows of a cluster match."""
         row, rows_ = pd.factorize(frame[truth], sort=True)
         column, columns = pd.factorize(frame[pred], sort=True)
         table = np.zeros((len(rows_), len(columns)))
         table[row, column] = frame[value]
-        chosen = best_assignment(table)
-        return frame.loc[chosen[row] == column, names]
-
-    return dealt.groupBy("cluster__").applyInPandas(solve, schema).where(F.col(value) > least)
+        return best_assignment(table)[row] == column
+
+    def run(frames):
+        for frame in whole_groups(frames, key):
+            group = _clusters(frame, key, truth, pred)
+            order = np.argsort(group, kind="stable")
+            frame, group = frame.iloc[order], group[order]
+            ends = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+            kept = [solve(frame.iloc[a:b]) if b - a > 1 else np.ones(1, bool) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield frame.loc[np.concatenate(kept), schema.names]
+
+    sorted_ = dealt.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+    return sorted_.mapInPandas(run, schema).where(F.col(value) > least)
+
+
+def _clusters(frame: pd.DataFrame, key: list[str], truth: str, pred: str) -> np.ndarray:
+    """For each pair its cluster: pairs of equal ``key`` that share an end, over any number of steps."""
+    group = frame.groupby(key, sort=False).ngroup().to_numpy()
+    a = frame.assign(g__=group).groupby(["g__", truth], sort=False).ngroup().to_numpy()
+    b = frame.assign(g__=group).groupby(["g__", pred], sort=False).ngroup().to_numpy()
+    least = np.arange(len(frame))
+    while True:
+        new = least.copy()
+        for end in (a, b):
+            low = np.full(end.max() + 1, len(frame))
+            np.minimum.at(low, end, new)
+            new = low[end]
+        if (new == least).all():
+            return least
+        least = new

@@ -223,3 +223,25 @@ def test_overlaps_of_copies_are_all_pairs(spark):
     gap = lambda a, b: abs(a[2] - b[2])
     want = {(a[0], b[0]): (16 - 4 * gap(a, b)) / (16 + 4 * gap(a, b)) for a in rows for b in rows if a[1] == b[1]}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("small", [0, 512])
+def test_optimal_match_in_batches(spark, monkeypatch, small):
+    """Small images need no components; both ways give the same matching, whatever batch a group is cut by."""
+    monkeypatch.setattr(matching, "SMALL", small)
+    asked, components = [], matching.components
+    monkeypatch.setattr(matching, "components", lambda edges: (asked.append(1), components(edges))[1])
+    rows = [(i, t, p, 1.0 + (i * 7 + t * 5 + p * 3) % 11 / 16 + t * p / 64) for i in range(30) for t in range(4) for p in range(4) if (t < 2) == (p < 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "image int, truth int, pred int, iou double")
+        found = {(r.image, r.truth, r.pred) for r in matching.optimal_match(df, "image", "truth", "pred", "iou").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    value, want = {r[:3]: r[3] for r in rows}, set()
+    for i in range(30):
+        for low in (0, 2):
+            ways = [[(i, low, low + x), (i, low + 1, low + 1 - x)] for x in (0, 1)]
+            want.update(max(ways, key=lambda w: sum(value[k] for k in w)))
+    assert sum(value[k] for k in found) == pytest.approx(sum(value[k] for k in want)) and len(found) == 120
+    assert bool(asked) == (small == 0)
