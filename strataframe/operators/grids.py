@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from strataframe.core.components import components
-from strataframe.core.storage import saved
+from strataframe.core.storage import saved, whole_groups
 
 
 #: Lines of at most this many cells are swept together, each cell against each of its line.
 SHORT = 64
+#: Places of blocks that a task solves together.
+TOGETHER = 1 << 21
 
 
 def steps(n_axes: int, full: bool) -> list[tuple[int, ...]]:
@@ -27,19 +29,22 @@ def steps(n_axes: int, full: bool) -> list[tuple[int, ...]]:
     return [tuple(map(int, s)) for s in every if tuple(s) > (0,) * n_axes and (full or abs(s).sum() == 1)]
 
 
-def _block_components(side: int, axes: Sequence[str], full: bool):
-    """A function from the cells of one block to their local components, named by their least cell's number."""
+def _block_components(side: int, axes: Sequence[str], full: bool, key: list[str]):
+    """A function from the cells of whole blocks to their local components, named by their least cell's number.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    Blocks of one frame are solved together, side by side in one array."""
+
+    def solve(frame: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
         at = frame[list(axes)].to_numpy() % side
-        where = np.full((side,) * len(axes), -1)
-        where[tuple(at.T)] = np.arange(len(frame))
+        where = np.full((block[-1] - block[0] + 1,) + (side,) * len(axes), -1)
+        block = block - block[0]
+        where[(block, *at.T)] = np.arange(len(frame))
         value = pd.factorize(frame["label__"])[0]
         one, other = [], []
         for step in steps(len(axes), full):
             moved = at + np.array(step)
             inside = ((moved >= 0) & (moved < side)).all(1)
-            there = where[tuple(moved[inside].T)]
+            there = where[(block[inside], *moved[inside].T)]
             here = np.flatnonzero(inside)[there >= 0]
             there = there[there >= 0]
             alike = value[here] == value[there]
@@ -61,6 +66,15 @@ def _block_components(side: int, axes: Sequence[str], full: bool):
         np.minimum.at(least, up, number)
         return frame.assign(local__=least[up])
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = max(1, TOGETHER // side ** len(axes))
+        for frame in whole_groups(frames, key):
+            # Cells are sorted by block, so blocks are numbered in order.
+            block = frame.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+            for first in range(0, block[-1] + 1, most):
+                a, b = np.searchsorted(block, (first, first + most))
+                yield solve(frame.iloc[a:b], block[a:b]).drop(columns=key[1:])
+
     return run
 
 
@@ -68,7 +82,7 @@ def grid_components(cells: DataFrame, case: str, axes: Sequence[str], label: str
     """``cells`` and ``component``: the number of the least cell that each is connected with by cells of its label.
 
     Neighbours share a face (``full``: or an edge or corner).  Cells are numbered in axis order within the
-    extent of the whole table.  Blocks of ``side`` cells an axis are solved one by one; then only cells at
+    extent of the whole table.  Blocks of ``side`` cells an axis are solved whole, many in a task; then only cells at
     block borders meet their neighbours across, and the components of those pairs are joined back.  Cells
     with a null label belong to no component; repeated cells aren't allowed.  An empty table gives no rows."""
     axes = list(axes)
@@ -82,10 +96,10 @@ def grid_components(cells: DataFrame, case: str, axes: Sequence[str], label: str
         number = number * F.lit(size[a]) + (F.col(a) - F.lit(low[a]))
     known = cells.where(F.col(label).isNotNull()).select(F.col(case).alias("case__"), *[F.col(a).cast("long").alias(a) for a in axes], F.col(label).alias("label__"), number.cast("long").alias("number__"))
     block = [F.floor(F.col(a) / side).cast("long").alias(f"b{i}__") for i, a in enumerate(axes)]
-    schema, names, solve = StructType([*known.schema.fields, StructField("local__", LongType())]), known.columns, _block_components(side, axes, full)
-    blocks = known.select("*", *block)
-    local = blocks.groupBy("case__", *[f"b{i}__" for i in range(len(axes))]).applyInPandas(lambda frame: solve(frame[names]), schema)
-    local = saved(local)
+    schema, key = StructType([*known.schema.fields, StructField("local__", LongType())]), ["case__", *[f"b{i}__" for i in range(len(axes))]]
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = known.select("*", *block).repartition(tasks, *key).sortWithinPartitions(*key)
+    local = saved(blocks.mapInPandas(_block_components(side, axes, full, key), schema))
 
     at_border = F.lit(False)
     for a in axes:

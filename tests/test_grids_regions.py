@@ -295,3 +295,16 @@ def test_farthest_cover_is_one_sequence_over_a_group(spark):
         assert [got.pop((g, k)) for k in range(n)] == farthest_points(at, n)
     assert not got
     assert seeds.farthest_cover(points.limit(0), budgets, ["x", "y"]).count() == 0
+
+
+def test_blocks_of_a_batch_are_solved_together(spark, monkeypatch):
+    """Blocks cut by batches and parts: components are those of one block for each case."""
+    a = np.random.default_rng(8).integers(-1, 2, (13, 11))
+    df, axes = cells_of(spark, {"a": a, "b": a.T.copy()})
+    want = {tuple(r) for r in grids.grid_components(df, "case", axes, "label", side=16).collect()}
+    monkeypatch.setattr(grids, "TOGETHER", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert {tuple(r) for r in grids.grid_components(df, "case", axes, "label", side=4).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
