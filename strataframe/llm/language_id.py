@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.llm.common import packed, saved, unpacked
+from strataframe.llm.shingles import slices
 
 #: n-grams of 1 to 3 characters; the most frequent 300 of a text and of a language are ranked.
 ORDERS, TOP = (1, 2, 3), 300
@@ -63,8 +64,8 @@ def ranked(text: str | None) -> np.ndarray:
 def _count(batches):
     """Counts of n-grams by language, summed over a task's texts."""
     totals: dict[str, dict[int, int]] = {}
-    for batch in batches:
-        for lang, texts in batch.groupby("lang")["text"]:
+    for part in (part for batch in batches for part in slices(batch)):
+        for lang, texts in part.to_pandas().groupby("lang")["text"]:
             own = totals.setdefault(lang, {})
             for first in range(0, len(texts), TOGETHER):
                 held = [ngrams(t) for t in texts.iloc[first : first + TOGETHER]]
@@ -72,7 +73,7 @@ def _count(batches):
                 for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
                     own[g] = own.get(g, 0) + n
     for lang, own in totals.items():
-        yield pd.DataFrame({"lang": lang, "gram": list(own), "n": list(own.values())})
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
 def held_out(doc_id):
@@ -89,7 +90,7 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[int]
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
     part = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.join(F.broadcast(sizes), "lang").where(part < F.lit(sample) / F.col("all")).select("lang", "text")
-    counts = chosen.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = counts.withColumn("place", place).where(F.col("place") <= TOP)
     rows = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "gram"))).alias("best")).collect()
@@ -130,11 +131,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]] | None = None, samp
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     made: list = []
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(classifier(shared.value))
-        return pd.DataFrame([made[0](t) for t in texts], columns=["lang", "score"])
+        found = [made[0](t) for i in range(0, len(texts), TOGETHER) for t in texts.slice(i, TOGETHER).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64()))], ["lang", "score"])
 
     rows = packed(docs).withColumn("p__", predict(F.col("row__.text")))
     return unpacked(
