@@ -13,6 +13,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from strataframe.core.storage import saved
 
 
+#: Pairs whose exact distances are taken at once.
+FAR = 1 << 14
+#: Partitions that pairs of blocks are dealt to at most; beyond, a partition holds several pairs.
+PAIRS = 1 << 12
+
+
 def _nearest(here: pd.DataFrame, there: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of ``there`` to each of ``here``, itself left out, by exact distances.
 
@@ -24,11 +30,12 @@ def _nearest(here: pd.DataFrame, there: pd.DataFrame, k: int) -> pd.DataFrame:
         about = xx[a : a + 256, None] + yy - 2 * (x[a : a + 256] @ y.T)
         about[own[a : a + 256, None] == other] = np.inf
         last = np.partition(about, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-        for i, limit in enumerate(last, a):
-            near = np.flatnonzero((about[i - a] <= limit + slack) & (about[i - a] < np.inf))
-            far = np.sqrt(((y[near] - x[i]) ** 2).sum(1))
-            best = np.lexsort((other[near], far))[:k]
-            parts.append(pd.DataFrame({"src": own[i], "dst": other[near][best], "distance": far[best]}))
+        i, j = np.nonzero((about <= last[:, None] + slack) & (about < np.inf))
+        far = np.concatenate([np.zeros(0), *[np.sqrt(((y[j[b : b + FAR]] - x[a + i[b : b + FAR]]) ** 2).sum(1)) for b in range(0, len(i), FAR)]])
+        order = np.lexsort((other[j], far, i))
+        i, j, far = i[order], j[order], far[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        parts.append(pd.DataFrame({"src": own[a + i[best]], "dst": other[j[best]], "distance": far[best]}))
     return pd.concat(parts)
 
 
@@ -56,7 +63,10 @@ def knn(df: DataFrame, node: str, vector: str, group: str, k: int, block: int =
         found = pd.concat([_nearest(sides[0], sides[-1], k), *([_nearest(sides[1], sides[0], k)] if len(sides) > 1 else [])])
         return found.assign(group=frame["group"].iloc[0])[["group", "src", "dst", "distance"]]
 
-    near = every.groupBy("group", "dim__", "i__", "j__").applyInPandas(run, schema)
+    # Work goes with pairs of blocks, not with bytes, so partitions aren't left to be merged by their bytes.
+    pairs = sizes.agg(F.sum(F.col("blocks__") * (F.col("blocks__") + 1) / 2)).first()[0] or 1
+    dealt = every.repartition(int(min(max(pairs, 1), PAIRS)), "group", "dim__", "i__", "j__")
+    near = dealt.groupBy("group", "dim__", "i__", "j__").applyInPandas(run, schema)
     place = F.row_number().over(Window.partitionBy("group", "src").orderBy("distance", "dst"))
     return near.withColumn("place", place).where(F.col("place") <= k)
 
@@ -69,9 +79,10 @@ def median_sigma(edges: DataFrame) -> float:
 
 def affinity(edges: DataFrame, sigma: float | None = None) -> DataFrame:
     """Symmetric edges weighted by exp(-d^2 / (2 sigma^2)), normalised by the roots of both degrees."""
+    edges = saved(edges.select("src", "dst", "distance"))  # read several times, and dear to make
     sigma = sigma or median_sigma(edges)
     one_way = edges.select("src", "dst", F.exp(-F.col("distance") * F.col("distance") / (2 * sigma * sigma)).alias("w"))
-    both = one_way.union(one_way.select("dst", "src", "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    both = saved(one_way.union(one_way.select("dst", "src", "w")).groupBy("src", "dst").agg(F.max("w").alias("w")))
     degree = both.groupBy("src").agg(F.sum("w").alias("d"))
     left = both.join(degree, "src")
     right = degree.select(F.col("src").alias("dst"), F.col("d").alias("d2"))
