@@ -138,7 +138,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]] | None = None, samp
         found = [made[0](t) for i in range(0, len(texts), TOGETHER) for t in texts.slice(i, TOGETHER).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64()))], ["lang", "score"])
 
-    rows = packed(docs).withColumn("p__", predict(F.col("row__.text")))
+    # Were it deterministic to the planner, a filter on the result would judge each text again, in a second worker.
+    rows = packed(docs).withColumn("p__", predict.asNondeterministic()(F.col("row__.text")))
     return unpacked(
         rows,
         docs.columns,

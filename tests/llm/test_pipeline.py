@@ -74,3 +74,9 @@ def test_no_benchmark_words_are_left(spark, folder):
     for r in corpus_pipeline.run(spark, folder).collect():
         w = plain_words(r.text)
         assert not any(tuple(w[i : i + 10]) in wins for i in range(len(w) - 9))
+
+
+def test_texts_are_judged_once(spark, folder, capsys):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline.identify_language(spark, docs, folder).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython ") == 1
