@@ -245,3 +245,17 @@ def test_optimal_match_in_batches(spark, monkeypatch, small):
             want.update(max(ways, key=lambda w: sum(value[k] for k in w)))
     assert sum(value[k] for k in found) == pytest.approx(sum(value[k] for k in want)) and len(found) == 120
     assert bool(asked) == (small == 0)
+
+
+def test_pairs_of_copies_are_shuffled_once_and_whole(spark, capsys, monkeypatch):
+    """Copies in several gatherings and slices give all pairs; the expansion keeps the tasks that its rows are dealt to."""
+    monkeypatch.setattr(boxes, "BLOCK", 16)
+    monkeypatch.setattr(boxes, "SLICE", 3)
+    rows = [(i, i % 2, float(i % 3), 0.0, 4.0 + i % 3, 4.0) for i in range(120)] + [(None, 0, 0.0, 0.0, 4.0, 4.0), (500, 1, -0.0, 0.0, 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "id int, image int, xmin double, ymin double, xmax double, ymax double")
+    found = boxes.overlap_pairs(df, df, "image", "id", 3.0, 4)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("hashpartitioning(b_at") == 2 == plan.count("REPARTITION_BY_NUM")
+    want = sorted((r.a_id, r.b_id, round(r.inter, 4), round(r.iou, 4), round(r.giou, 4)) for r in boxes.overlap_join(df.dropna(), df.dropna(), "image", 3.0).collect())
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 7000
